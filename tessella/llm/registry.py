@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from . import jaccard_join, mixing, quality_rules
 from .packing import op10_packing
 from .token_store import op1_token_shards
 
-QUERIES = {"op1_token_shards": op1_token_shards, "op10_packing": op10_packing}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_token_shards": op1_token_shards,
+    "op3_jaccard_join": jaccard_join.op3_jaccard_join,
+    "op5_mixing": mixing.op5_mixing,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op10_packing": op10_packing,
+}
+ORACLES: dict[str, str] = {"op3_jaccard_join": jaccard_join.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL, "op6_quality_rules": quality_rules.ORACLE_SQL}
