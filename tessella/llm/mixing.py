@@ -13,7 +13,7 @@ times as the quota goes round, and once more where the last round reaches it; su
 
 Defined results: null or blank texts have size 0 and are taken 0 times; the null source is a source of its own, last in
 order; equal rows are placed each for itself, equal ids in the order of their texts' hashes; an empty table gives no rows;
-other columns pass through ``mix`` unharmed, whatever their names.
+other columns pass through ``apply_mix``, whatever their names.
 """
 
 from __future__ import annotations
@@ -97,6 +97,31 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK,
     return d.select("doc_id", "source", "text_key", "size", "source_size", "target", (F.col("rounds") * F.col("size") + inside + wrapped).cast("long").alias("taken"), begin.alias("begin"))
 
 
+_SPLIT = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
+
+
+def apply_mix(docs: DataFrame, **options: object) -> DataFrame:
+    """docs as the mix takes them: a row for each whole copy, and one with the words of the part taken once more.
+
+    Equal rows count as one that takes what each of them would. n_chars, where docs has it, follows the text.
+    """
+    m = mix(docs, **options).groupBy("doc_id", "text_key").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.min("begin").alias("begin")).filter("taken > 0")
+    key = F.xxhash64(F.col("text").cast("string"))
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d0"), key.alias("t0")).dropDuplicates(["d0", "t0"])
+    d = packed.join(m, packed["d0"].eqNullSafe(m["doc_id"]) & (packed["t0"] == m["text_key"]))
+    words = F.when(F.col("taken") % F.col("size") > 0, F.regexp_extract_all(F.col("row.text").cast("string"), F.lit(_SPLIT), F.lit(0)))
+    d = d.withColumns({"words": words, "part": F.col("taken") % F.col("size")})
+    head = F.expr("slice(words, CAST(begin + 1 AS INT), CAST(least(part, size - begin) AS INT))")
+    wrap = F.expr("slice(words, 1, CAST(greatest(part - (size - begin), 0) AS INT))")
+    part = F.when(F.col("part") > 0, F.array(F.array_join(F.concat(head, wrap), ""))).otherwise(F.array().cast("array<string>"))
+    copies = F.array_repeat(F.col("row.text").cast("string"), F.floor(F.col("taken") / F.col("size")).cast("int"))
+    d = d.select("row", F.explode(F.concat(copies, part)).alias("mixed"))
+    row = F.col("row").withField("text", F.col("mixed"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("mixed").cast(docs.schema["n_chars"].dataType))
+    return d.select(row.alias("row")).select("row.*")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(common.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 

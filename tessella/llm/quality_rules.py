@@ -9,7 +9,7 @@ is small too.
 
 Defined results: null, empty and blank texts have no words, fail the base rule and are not kept; null languages and
 sources are groups of their own; equal rows get equal verdicts, each for itself; an empty table gives no rows; other
-columns pass through ``judge`` (its own columns begin with ``q_``).
+columns pass through ``keep_good``, whatever their names.
 """
 
 from __future__ import annotations
@@ -113,8 +113,15 @@ def apply_cutoffs(measured: DataFrame, reach: int = REACH, least_docs: int = LEA
 
 
 def judge(docs: DataFrame, reach: int = REACH, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """docs (text, lang, source and any others) with q_kept, the counts and the measures."""
-    return apply_cutoffs(common.materialise(measure(docs), "measured"), reach, least_docs)
+    """q_row (a struct of the columns of docs, which may have any names) and q_kept; docs needs text, lang and source."""
+    packed = docs.select(F.struct("*").alias("q_row"), *(F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")))
+    judged = apply_cutoffs(common.materialise(measure(packed).drop("text"), "measured"), reach, least_docs)
+    return judged.select("q_row", "q_kept")
+
+
+def keep_good(docs: DataFrame, reach: int = REACH, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """The rows of docs that pass, with the columns of docs."""
+    return judge(docs, reach, least_docs).filter("q_kept").select("q_row.*")
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

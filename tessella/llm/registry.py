@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, mixing, quality_rules
-from .packing import op10_packing
-from .token_store import op1_token_shards
+from . import jaccard_join, languages, media, mixing, packing, quality_mil, quality_rules, quotations, token_store, toxicity
 
 QUERIES = {
-    "op1_token_shards": op1_token_shards,
+    "op1_token_shards": token_store.op1_token_shards,
+    "op2_media_columns": media.op2_media_columns,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
+    "op4_language_id": languages.op4_language_id,
     "op5_mixing": mixing.op5_mixing,
     "op6_quality_rules": quality_rules.op6_quality_rules,
-    "op10_packing": op10_packing,
+    "op7_quotation_linking": quotations.op7_quotation_linking,
+    "op8_quality_attention": quality_mil.op8_quality_attention,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_packing": packing.op10_packing,
 }
 ORACLES: dict[str, str] = {"op3_jaccard_join": jaccard_join.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL, "op6_quality_rules": quality_rules.ORACLE_SQL}
