@@ -5,21 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from tessella.operators import events, lexical, relational
 
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+from .registry import ORACLES, QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revenue by nation: two joins with dimension tables and one aggregation."""
-    return _read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n"))
+    """Ranked prefix search with BM25 and tiers."""
+    return QUERIES["search_ranked"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+MODULES = (events, lexical, relational)
