@@ -168,7 +168,8 @@ def _terms(sample: DataFrame, most_terms: int) -> DataFrame:
     """Words and word beginnings that toxic documents of the sample hold much more often than the others."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)[^\W\d_]+"), F.lit(0)))
     d = sample.select("label", words.alias("w"))
-    starts = [F.transform(F.filter("w", lambda x, k=k: F.length(x) >= k), lambda x, k=k: F.struct(F.lit(k).alias("kind"), F.substring(x, 1, k).alias("term"))) for k in STARTS]
+    start = lambda k: F.transform(F.filter("w", lambda x: F.length(x) >= k), lambda x: F.struct(F.lit(k).alias("kind"), F.substring(x, 1, k).alias("term")))
+    starts = [start(k) for k in STARTS]
     terms = F.array_distinct(F.concat(F.transform("w", lambda x: F.struct(F.lit(0).alias("kind"), x.alias("term"))), *starts))
     t = d.select("label", F.explode(terms).alias("t")).groupBy("t.kind", "t.term").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
