@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,21 +29,31 @@ def words(c: Column, least: int = 1) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1)), lambda w: F.length(w) >= least)
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c computed once for each row, however often a lambda inside f uses it."""
+    return F.transform(F.array(c), f)[0]
+
+
+def _runs(tokens: Column, n: int) -> Column:
+    last = F.size(tokens) - n + 1
+    joined = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    return F.when(last >= 1, joined).otherwise(F.array().cast("array<string>"))
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """All runs of n tokens, joined with blanks; none if there are fewer."""
-    last = F.size(tokens) - n + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return bound(tokens, lambda t: _runs(t, n))
 
 
 def distinct_ngrams(tokens: Column, most: int = 3, longest: int = 40) -> Column:
     """n-grams of 1 to `most` tokens in the order they are first seen, up to `longest` characters."""
-    every = F.flatten(F.array(*[ngrams(tokens, n) for n in range(1, most + 1)]))
+    every = bound(tokens, lambda t: F.flatten(F.array(*[_runs(t, n) for n in range(1, most + 1)])))
     return F.array_distinct(F.filter(every, lambda x: F.length(x) <= longest))
 
 
 def first_hits(text: Column, terms: list[str], limit: int | None = None) -> Column:
     """Those terms, in the order given, that a padded text contains."""
-    hits = F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(text, F.concat(F.lit(" "), t, F.lit(" "))))
+    hits = bound(text, lambda x: F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(x, F.concat(F.lit(" "), t, F.lit(" ")))))
     return hits if limit is None else F.slice(hits, 1, limit)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.operators import events, lexical, relational
+from tessella.operators import documents, events, lexical, relational, vectors
 
 from .registry import ORACLES, QUERIES
 
@@ -24,4 +24,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-MODULES = (events, lexical, relational)
+MODULES = (documents, events, lexical, relational, vectors)
