@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.operators import documents, events, lexical, relational, vectors
+from tessella.operators import documents, events, lexical, relational, release, vectors
+from tessella.streaming import queries as streams
 
 from .registry import ORACLES, QUERIES
 
@@ -24,4 +25,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-MODULES = (documents, events, lexical, relational, vectors)
+MODULES = (documents, events, lexical, relational, release, streams, vectors)
