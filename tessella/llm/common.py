@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
 
     Where the setting is absent (local tests) a temporary folder becomes the session's checkpoint folder.
     """
+    # texts and token sets can be long: batches between Spark and Python are bounded by bytes, not only by rows
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

@@ -30,103 +30,82 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-
-SKETCH_BITS, FREQUENT, LEAST_FREQUENT = 18, 4, 8
+from .shingles import mix as _mix
+from .shingles import parity, parity_distance, shingle_sets
+
+#: Tokens are counted by their leading bits. Counters that reach LOCAL in a task are added up; a token is frequent from
+#: LEAST_FREQUENT on, or FREQUENT times a counter's mean.
+SKETCH_BITS, LOCAL, FREQUENT, LEAST_FREQUENT = 23, 3, 2, 32
+#: A key row packs the set's size and the key's cost (tokens before it that would not be shared) into one number.
+_COST = 24
 SMALL_BUCKET, LONG_SET = 8, 2000
 
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-
-
-class _Hashes(dict):
-    """Hashes of words, kept for the worker's life up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_HASHES = _Hashes()
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingles(text: bytes, k: int) -> np.ndarray:
-    """Sorted hashes of the distinct k-word shingles; of fewer words, the whole sequence is one."""
-    words = text.translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    n = len(h) - k + 1
-    if n < 1:
-        n, k = 1, len(h)
-    out = np.full(n, k, np.uint64)
-    for j in range(k):
-        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n])
-    return np.unique(out)
-
-
 def set_key(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
-def _bucket(tokens: np.ndarray) -> np.ndarray:
+def _counter(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def _profile(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """A row for each document, then one for each used counter of the task's sketch."""
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    names = ["doc_id", "sid", "n", "bucket", "count"]
+    """A row for each document, then one for each counter of the task's sketch that has risen."""
+    counts = np.zeros(1 << SKETCH_BITS, np.int32)
+    total = 0
+    seen: set[bytes] = set()
+    names = ["doc_id", "text_key", "sid", "n", "parity", "bucket", "count"]
     for batch in batches:
-        sid, n = [], []
-        for text in common.utf8(batch.column("text")):
-            s = shingles(text, k)
+        sid, n, bits = [], [], []
+        for s in shingle_sets(common.utf8(batch.column("text")), k):
             n.append(len(s))
             sid.append(set_key(s) if len(s) else None)
-            counts += np.bincount(_bucket(s), minlength=len(counts)) if len(s) > 20_000 else 0
-            if len(s) <= 20_000:
-                np.add.at(counts, _bucket(s), 1)
-        none = pa.nulls(len(n), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sid, pa.binary()), pa.array(n, pa.int64()), pa.nulls(len(n), pa.int32()), none], names=names)
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.binary()), pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32()), pa.array(counts[used], pa.int64())], names=names)
+            bits.append(parity(s) if len(s) else None)
+            if len(s) and sid[-1] not in seen:  # copies don't make a token frequent
+                if len(seen) >= 200_000:
+                    seen.clear()
+                seen.add(sid[-1])
+                np.add.at(counts, _counter(s), 1)
+                total += len(s)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(sid, pa.binary()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())], names=names)
+    used = np.flatnonzero(counts >= LOCAL)
+    none = lambda t: pa.nulls(len(used) + 1, t)
+    risen = (pa.array([-1, *used], pa.int32()), pa.array([total, *counts[used]], pa.int64()))
+    yield pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.binary()), none(pa.int64()), none(pa.binary()), *risen], names=names)
 
 
 def _needed(n: int, num: int, den: int) -> int:
     return -(-n * num // den)
 
 
-def prefix_keys(tokens: np.ndarray, ranks: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The index keys of a token set. ranks: by sketch counter, 0 for rare ones, else higher for more frequent ones."""
+def prefix_keys(tokens: np.ndarray, ranks: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The index keys of a token set, and each key's cost. ranks: by sketch counter, 0 for rare tokens, else higher for more frequent ones.
+
+    If a key is the first that two sets share, none of the tokens that count as its cost are shared: costs of linked sets
+    add up to at most the size of their symmetric difference.
+    """
     n = len(tokens)
     p = n - _needed(n, num, den) + 1
-    rank = ranks[_bucket(tokens)]
+    rank = ranks[_counter(tokens)]
     rare = tokens[rank == 0]
     if len(rare) >= p:
-        return rare[:p]
+        return rare[:p], np.arange(p)
     order = np.lexsort((tokens, rank))[: p + 1]
     head, often = tokens[order], rank[order] > 0
     single, double = n * num > LONG_SET * den, n * num <= LONG_SET * den
     if LONG_SET * num < n * den and n * num < LONG_SET * den:
         single = double = True
-    keys = [head[:p][~often[:p]]]
-    if single:
-        keys.append(head[:p][often[:p]])
+    at = np.arange(len(head))
+    in_p = at < p
+    use = in_p & (~often | single) if n > 1 else in_p  # an only token has no partner
+    keys, costs = [head[use]], [at[use]]
     if double:
-        f = head[often]
-        in_p = int(often[:p].sum())
+        f = at[often]
         i, j = np.triu_indices(len(f), 1)
-        i, j = i[i < in_p], j[i < in_p]
-        keys.append(_mix(f[i] * np.uint64(0xD6E8FEB86659FD93) + _mix(f[j])))
-        if n == 1:  # the only token has no partner
-            keys.append(head)
-    return np.concatenate(keys)
+        i, j = f[i], f[j]
+        i, j = i[in_p[i]], j[in_p[i]]
+        keys.append(_mix(head[i] * np.uint64(0xD6E8FEB86659FD93) + _mix(head[j])))
+        costs.append(j - 1)
+    return np.concatenate(keys), np.concatenate(costs)
 
 
 def _index(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -134,8 +113,7 @@ def _index(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, ranks:
     for batch in batches:
         keys, sids, ns = [], [], []
         held = 0
-        for text in common.utf8(batch.column("text")):
-            s = shingles(text, k)
+        for s in shingle_sets(common.utf8(batch.column("text")), k):
             if not len(s):
                 continue
             sid = set_key(s)
@@ -144,10 +122,10 @@ def _index(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, ranks:
             if len(seen) >= 200_000:
                 seen.clear()
             seen.add(sid)
-            p = prefix_keys(s, ranks, num, den)
+            p, cost = prefix_keys(s, ranks, num, den)
             keys.append(p)
             sids.append(sid)
-            ns.append(len(s))
+            ns.append((len(s) << _COST) + cost)
             held += len(p)
             if held > 500_000:
                 yield _keys(keys, sids, ns)
@@ -156,10 +134,9 @@ def _index(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, ranks:
             yield _keys(keys, sids, ns)
 
 
-def _keys(keys: list[np.ndarray], sids: list[bytes], ns: list[int]) -> pa.RecordBatch:
-    times = [len(x) for x in keys]
-    at = pa.array(np.repeat(np.arange(len(sids)), times))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(ns, np.int64), times)), pa.array(sids, pa.binary()).take(at)], names=["key", "n", "sid"])
+def _keys(keys: list[np.ndarray], sids: list[bytes], ns: list[np.ndarray]) -> pa.RecordBatch:
+    at = pa.array(np.repeat(np.arange(len(sids)), [len(x) for x in keys]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ns), pa.int64()), pa.array(sids, pa.binary()).take(at)], names=["key", "n", "sid"])
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -167,6 +144,13 @@ def _pairs(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
 
     Only the first members of a bucket and its last one are kept in memory.
     """
+    mask = (1 << _COST) - 1
+
+    def fits(x: int, y: int) -> bool:
+        """x is not the larger one."""
+        n, m = x >> _COST, y >> _COST
+        return n * den >= m * num and ((x & mask) + (y & mask)) * (den + num) <= (n + m) * (den - num)
+
     key = None
     head: list[tuple[int, bytes]] = []  # the first SMALL_BUCKET members
     last: tuple[int, bytes] | None = None
@@ -192,14 +176,14 @@ def _pairs(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
                 continue
             size += 1
             if size <= SMALL_BUCKET:
-                rows += [(min(s, sid), max(s, sid), None, None) for m, s in head if m * den >= n * num]
+                rows += [(min(s, sid), max(s, sid), None, None) for m, s in head if fits(m, n)]
                 head.append((n, sid))
                 if size == SMALL_BUCKET:
                     rows += [(s, None, key, m) for m, s in head]
             else:
-                if last[0] * den >= n * num:
+                if fits(last[0], n):
                     rows.append((min(last[1], sid), max(last[1], sid), None, None))
-                if head[0][0] * den >= n * num:
+                if fits(head[0][0], n):
                     rows.append((min(head[0][1], sid), max(head[0][1], sid), None, None))
                 rows.append((sid, None, key, n))
             last = (n, sid)
@@ -220,8 +204,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, wanted: np.ndarray) -> Iter
     seen: set[bytes] = set()
     for batch in batches:
         rows = []
-        for text in common.utf8(batch.column("text")):
-            s = shingles(text, k)
+        for s in shingle_sets(common.utf8(batch.column("text")), k):
             if len(s) and wanted[_bit(sid := set_key(s))] and sid not in seen:
                 if len(seen) >= 200_000:
                     seen.clear()
@@ -251,24 +234,49 @@ def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
 
-def _links(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Those of pairs(a, b) that are linked."""
-    pairs = common.materialise(pairs, "pairs")
+def _near(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose parities leave a link possible, with the lower bound of their difference."""
+    for batch in batches:
+        rows = []
+        for a, b, n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "pa", "pb"))):
+            d = parity_distance(x, y)
+            if d * (den + num) <= (n + m) * (den - num):
+                rows.append((a, b, d))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.int64()))], names=["a", "b", "d"])
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    a = classes.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
+    b = classes.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
+    near = pairs.join(a, "a").join(b, "b").mapInArrow(lambda it: _near(it, num, den), "a binary, b binary, d long")
+    return common.materialise(near, "pairs")
+
+
+def _token_sets(texts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """sid and tokens of (at least) the classes in pairs(a, b)."""
     bits = pairs.select(F.explode(F.array("a", "b")).alias("s")).select((F.conv(F.hex(F.substring("s", 1, 4)), 16, 10).cast("long") % (1 << _BITMAP)).alias("bit"))
-    # a bitmap of fixed size, built by Spark: at most 128 rows of 4 KB come to the driver
+    # a bitmap of fixed size, built by Spark: at most 129 rows of 4 KB come to the driver
     words = bits.groupBy(F.bitmap_bucket_number("bit").alias("word")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
     wanted = np.zeros(1 << _BITMAP, bool)
-    for r in words:  # bucket n has the bits of 1 + (n - 1) * 32768 .. n * 32768, of bucket 0 only 0
+    for r in words:  # word 0 has the bit of 0; word w has those from 1 + (w - 1) * 32768 on
         at = (r["word"] - 1) * 32768 + 1 if r["word"] > 0 else 0
-        got = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little").astype(bool)
-        got = got[: len(wanted) - at]
+        got = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little").astype(bool)[: len(wanted) - at]
         wanted[at : at + len(got)] |= got
-    if not words:
-        return pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).limit(0)
     sets = texts.mapInArrow(lambda it: _sets(it, k, wanted), "sid binary, tokens binary")
-    sets = common.materialise(sets.groupBy("sid").agg(F.first("tokens").alias("tokens")), "sets")
+    return common.materialise(sets.groupBy("sid").agg(F.first("tokens").alias("tokens")), "sets")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of pairs(a, b) that are linked, by their sets."""
     a, b = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(a, "a").join(b, "b").mapInArrow(lambda it: _verify(it, num, den), "u binary, v binary")
+    links = pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(lambda it: _verify(it, num, den), "u binary, v binary")
+    return common.materialise(links, "links")
+
+
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) whose classes are in different components as yet."""
+    p = pairs.join(comps.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(comps.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    return p.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
 def _across(members: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
@@ -281,45 +289,66 @@ def _across(members: DataFrame, comps: DataFrame, num: int, den: int) -> DataFra
     o = out.select("key", F.col("n").alias("n1"), F.col("sid").alias("s1"), F.col("comp").alias("c1"))
     r = rest.select("key", F.col("n").alias("n2"), F.col("sid").alias("s2"), F.col("comp").alias("c2"), "top")
     fits = (F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("top")) | (F.col("s1") < F.col("s2")))
-    fits = fits & (F.col("n1") * den >= F.col("n2") * num) & (F.col("n2") * den >= F.col("n1") * num)
+    n1, n2, mask = F.shiftright("n1", _COST), F.shiftright("n2", _COST), F.lit((1 << _COST) - 1)
+    cost = F.col("n1").bitwiseAND(mask) + F.col("n2").bitwiseAND(mask)
+    fits = fits & (n1 * den >= n2 * num) & (n2 * den >= n1 * num) & (cost * (den + num) <= (n1 + n2) * (den - num))
     p = o.join(r, "key").filter(fits)
     return p.select(F.least("s1", "s2").alias("a"), F.greatest("s1", "s2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, similarity: tuple[int, int] = (90, 100)) -> DataFrame:
-    """doc_id, sid, n_shingles, component_id, root for each row of docs(doc_id, text).
+    """doc_id, text_key, sid, n_shingles, component_id, root for each row of docs(doc_id, text).
 
     Rows with an equal ``sid`` (null: no shingles) have equal sets; ``root`` is one sid for each component.
     """
     num, den = similarity
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    first = common.materialise(texts.mapInArrow(lambda it: _profile(it, k), "doc_id long, sid binary, n long, bucket int, count long"), "profile")
-    rows = first.filter("bucket IS NULL").select("doc_id", "sid", "n")
-    counters = first.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("count"))
-    counters = common.materialise(counters, "counters")
-    mean = (counters.agg(F.sum("count")).first()[0] or 0) / (1 << SKETCH_BITS)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
+    first = common.materialise(texts.mapInArrow(lambda it: _profile(it, k), "doc_id long, text_key long, sid binary, n long, parity binary, bucket int, count long"), "profile")
+    rows = first.filter("bucket IS NULL").select("doc_id", "text_key", "sid", "n")
+    risen = common.materialise(first.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("count")), "counters")
+    total = risen.filter("bucket = -1").agg(F.sum("count")).first()[0] or 0
     ranks = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for r in counters.filter(F.col("count") > max(FREQUENT * mean, LEAST_FREQUENT)).collect():  # under a quarter of the counters
-        ranks[r["bucket"]] = int(r["count"] / max(mean, 1)).bit_length() + 1
+    bar = max(FREQUENT * total / len(ranks), LEAST_FREQUENT)
+    for r in risen.filter((F.col("bucket") >= 0) & (F.col("count") >= bar)).collect():  # at most half of the counters
+        ranks[r["bucket"]] = int(r["count"] / bar).bit_length()
     index = texts.mapInArrow(lambda it: _index(it, k, num, den, ranks), "key long, n long, sid binary")
     found = index.repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(lambda it: _pairs(it, num, den), "a binary, b binary, key long, n long")
     found = common.materialise(found, "found")
-    links = common.materialise(_links(texts, found.filter("b IS NOT NULL").select("a", "b").distinct(), k, num, den), "links")
-    comps = components(links)
+    classes = common.materialise(first.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("parity").alias("parity")), "classes")
+    pairs = _possible(found.filter("b IS NOT NULL").select("a", "b").distinct(), classes, num, den)
+    sets = _token_sets(texts, pairs, k)
+    # first each class with its nearest candidate, which links most of what is linked; then what is still apart
+    side = F.explode(F.array(F.struct(F.col("a").alias("s"), F.col("b").alias("t"), "d"), F.struct(F.col("b").alias("s"), F.col("a").alias("t"), "d"))).alias("p")
+    best = pairs.select(side).groupBy("p.s").agg(F.min(F.struct("p.d", "p.t")).alias("m")).select(F.least("s", "m.t").alias("a"), F.greatest("s", "m.t").alias("b")).distinct()
+    links = _links(best, sets, num, den)
+    comps = common.materialise(components(links), "components")
+    links = links.unionByName(_links(_apart(pairs, comps), sets, num, den))
+    comps = common.materialise(components(links), "components")
     members = found.filter("key IS NOT NULL").select("key", "n", F.col("a").alias("sid")).distinct()
     if not members.isEmpty():
-        comps = common.materialise(comps, "components")
-        more = common.materialise(_links(texts, _across(members, comps, num, den), k, num, den), "links")
+        more = _possible(_across(members, comps, num, den), classes, num, den)
         if not more.isEmpty():
-            comps = components(links.unionByName(more))
-    classes = rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"))
+            links = links.unionByName(_links(more, _token_sets(texts, more, k), num, den))
+            comps = components(links)
     roots = classes.join(comps, classes["sid"] == comps["node"], "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
     roots = common.materialise(roots, "roots")
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     roots = roots.select("sid", "root").join(least, "root")
     out = rows.join(roots, "sid", "left")
     own = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "sid", F.col("n").alias("n_shingles"), own.alias("component_id"), "root")
+    return out.select("doc_id", "text_key", "sid", F.col("n").alias("n_shingles"), own.alias("component_id"), "root")
+
+
+def keep_one(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
+    """docs with one row of each component, that of the smallest doc_id; rows without words all stay."""
+    near = common.materialise(near_duplicates(docs, k, similarity), "components")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("d"), F.col("text_key").alias("t"))).alias("m")
+    chosen = near.filter("root IS NOT NULL").groupBy("root").agg(first).select("m.d", "m.t")
+    bare = near.filter("root IS NULL").select(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).distinct()
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d0"), F.xxhash64(F.col("text").cast("string")).alias("t0"))
+    on = F.col("d0").eqNullSafe(F.col("d")) & (F.col("t0") == F.col("t"))
+    one = packed.join(chosen, on, "left_semi").dropDuplicates(["d0", "t0"])
+    return one.unionByName(packed.join(bare, on, "left_semi")).select("row.*")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
