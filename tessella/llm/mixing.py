@@ -113,7 +113,9 @@ def apply_mix(docs: DataFrame, **options: object) -> DataFrame:
     d = d.withColumns({"words": words, "part": F.col("taken") % F.col("size")})
     head = F.expr("slice(words, CAST(begin + 1 AS INT), CAST(least(part, size - begin) AS INT))")
     wrap = F.expr("slice(words, 1, CAST(greatest(part - (size - begin), 0) AS INT))")
-    part = F.when(F.col("part") > 0, F.array(F.array_join(F.concat(head, wrap), ""))).otherwise(F.array().cast("array<string>"))
+    # a text's last word has no blank behind it: where the part goes on at the start, a line feed stands between
+    joined = F.concat(F.array_join(head, ""), F.when(F.size(wrap) > 0, F.lit("\n")).otherwise(F.lit("")), F.array_join(wrap, ""))
+    part = F.when(F.col("part") > 0, F.array(joined)).otherwise(F.array().cast("array<string>"))
     copies = F.array_repeat(F.col("row.text").cast("string"), F.floor(F.col("taken") / F.col("size")).cast("int"))
     d = d.select("row", F.explode(F.concat(copies, part)).alias("mixed"))
     row = F.col("row").withField("text", F.col("mixed"))
