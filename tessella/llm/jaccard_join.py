@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -279,20 +279,34 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return p.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def _across(members: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of a bucket's members in different components: each outside the largest component with every other."""
+def _longs(bits: str) -> Column:
+    """A parity, which is a multiple of eight bytes, as an array of numbers."""
+    return F.expr(f"transform(sequence(0, octet_length({bits}) div 8 - 1), i -> conv(hex(substring({bits}, 8 * i + 1, 8)), 16, -10))").cast("array<bigint>")
+
+
+def _across(members: DataFrame, comps: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of a bucket's members in different components: each outside the largest component with every other.
+
+    The join's condition holds lengths, costs and parities, so that a pair is a row only if a link is still possible.
+    """
+    sides = classes.withColumn("w", _longs("parity")).withColumn("half", F.expr("slice(w, 1, size(w) div 2)"))
+    sides = sides.select("sid", "w", F.expr("zip_with(half, slice(w, size(w) div 2 + 1, size(w)), (x, y) -> x ^ y)").alias("half"))
     m = members.join(comps, members["sid"] == comps["node"], "left").select("key", "n", "sid", F.coalesce("root", "sid").alias("comp"))
     counts = m.groupBy("key", "comp").count()
     top = counts.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
-    m = m.join(top, "key")
-    out, rest = m.filter("comp <> top"), m
-    o = out.select("key", F.col("n").alias("n1"), F.col("sid").alias("s1"), F.col("comp").alias("c1"))
-    r = rest.select("key", F.col("n").alias("n2"), F.col("sid").alias("s2"), F.col("comp").alias("c2"), "top")
+    m = common.materialise(m.join(top, "key").join(sides, "sid"), "members")
+    o = m.filter("comp <> top").select("key", F.col("n").alias("n1"), F.col("sid").alias("s1"), F.col("comp").alias("c1"), F.col("w").alias("w1"), F.col("half").alias("h1"))
+    r = m.select("key", F.col("n").alias("n2"), F.col("sid").alias("s2"), F.col("comp").alias("c2"), "top", F.col("w").alias("w2"), F.col("half").alias("h2"))
     fits = (F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("top")) | (F.col("s1") < F.col("s2")))
     n1, n2, mask = F.shiftright("n1", _COST), F.shiftright("n2", _COST), F.lit((1 << _COST) - 1)
     cost = F.col("n1").bitwiseAND(mask) + F.col("n2").bitwiseAND(mask)
-    fits = fits & (n1 * den >= n2 * num) & (n2 * den >= n1 * num) & (cost * (den + num) <= (n1 + n2) * (den - num))
-    p = o.join(r, "key").filter(fits)
+    most = (n1 + n2) * (den - num)
+    fits = fits & (n1 * den >= n2 * num) & (n2 * den >= n1 * num) & (cost * (den + num) <= most)
+    # at a similarity over a half, lengths that fit differ by less than the factor two: at most one side is folded, once;
+    # at a lower one, parities of other sizes don't tell (null)
+    x, y = F.expr("CASE WHEN size(w1) > size(w2) THEN h1 ELSE w1 END"), F.expr("CASE WHEN size(w2) > size(w1) THEN h2 ELSE w2 END")
+    apart = F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    p = o.join(r, "key").filter(fits & (F.coalesce(apart, F.lit(0)) * (den + num) <= most))
     return p.select(F.least("s1", "s2").alias("a"), F.greatest("s1", "s2").alias("b")).distinct()
 
 
@@ -326,7 +340,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, similarity: tuple[int, int] = (
     comps = common.materialise(components(links), "components")
     members = found.filter("key IS NOT NULL").select("key", "n", F.col("a").alias("sid")).distinct()
     if not members.isEmpty():
-        more = _possible(_across(members, comps, num, den), classes, num, den)
+        more = common.materialise(_across(members, comps, classes, num, den), "pairs")
         if not more.isEmpty():
             links = links.unionByName(_links(more, _token_sets(texts, more, k), num, den))
             comps = components(links)
