@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-STEPS, HIDDEN = 64, 8
+STEPS, HIDDEN, BROADCAST_ROWS = 64, 8, 10_000
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -149,7 +149,9 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator
 
 def learn(labelled: DataFrame, per_lang: int = 150, most_rows: int = 3000, windows_per_text: int = 8, steps: int = STEPS, seed: int = 7) -> Model | None:
     """A model from labelled(doc_id, text, lang). Only the sample named above comes to the driver."""
-    counts = labelled.groupBy("lang").count()
+    counts = common.materialise(labelled.groupBy("lang").count(), "counts")
+    if counts.count() <= BROADCAST_ROWS:  # else a shuffled join, in which a frequent language is a large group that Spark splits
+        counts = F.broadcast(counts)
     place = F.abs(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "lang") % 1_000_000)
     rows = labelled.join(counts, "lang").withColumn("place", place).filter(F.col("place") * F.col("count") < F.lit(per_lang) * 1_000_000)
     rows = rows.select("place", "lang", "text").orderBy("place", "lang", "text").limit(most_rows).collect()
