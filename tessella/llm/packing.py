@@ -44,15 +44,22 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, window: i
 
 
 def shortest_pack_first(histogram: dict[int, int], window: int) -> list[tuple[int, tuple[int, ...]]]:
-    """(count, lengths) of each pattern. Work and output are bounded by the number of distinct lengths, not of pieces."""
+    """(count, lengths) of each pattern. Work and output are bounded by the distinct lengths and the window, not by the pieces."""
     heap: list[tuple[int, tuple[int, ...], int]] = []  # (-room, lengths, count)
     full: list[tuple[int, tuple[int, ...]]] = []
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
             if not heap or -heap[0][0] < length:
-                heapq.heappush(heap, (length - window, (length,), left))
-                break
+                # a new pack is then the one filled least, so it takes pieces of this length until none fits
+                each = min(window // length, left)
+                opened = left // each
+                if each * length < window:
+                    heapq.heappush(heap, (each * length - window, (length,) * each, opened))
+                else:
+                    full.append((opened, (length,) * each))
+                left -= opened * each
+                continue
             room, pattern, count = heapq.heappop(heap)
             # as many packs of this pattern as pieces are left take one each
             took = min(left, count)
