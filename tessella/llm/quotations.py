@@ -2,9 +2,10 @@
 
 Each message is parsed line by line: ``>`` marks at a line's start give its quote level, lines of one level that follow each
 other are a passage, and a line that announces a quote ("... wrote:") goes with it. A passage is normalised (lower case,
-letters and digits only) and hashed sentence by sentence, so that a re-wrapped or shortened quote still meets its
-original. A quoted sentence is linked to the latest earlier message of its conversation that says it unquoted. A message
-answers the message that most of its outermost linked quotes come from (the latest, if equal); threads are the trees of
+letters and digits only) and hashed in pieces: each sentence (of the passage, of each paragraph and of each line), each
+line, each paragraph between blank lines, and the whole. So a quote that is re-wrapped, or shortened to some sentences,
+lines or paragraphs, still meets its original, however short they are. Of a quoted sentence the longest piece counts that
+an earlier message of the conversation says unquoted; it is linked to the latest such message. A message answers the message that most of its outermost linked quotes come from (the latest, if equal); threads are the trees of
 answers, found by pointer doubling on DataFrames, so that no conversation is ever in one task's memory.
 
 Rows come back as one for each message, without quotes, ordered by conversation, thread (the turn that began it) and
@@ -18,7 +19,9 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 import xxhash
@@ -30,17 +33,29 @@ from . import common
 _QUOTE = re.compile(r"^((?:[ \t]*>)+)[ \t]?(.*)$")
 _WROTE = re.compile(r"^\s*(?:on|am|le|el)\b.*(?:wrote|schrieb|écrit|escribió)\s*:?\s*$", re.I)
 _SENTENCE = re.compile(r"[.!?]+(?:\s+|$)")
+_PARAGRAPH = re.compile(r"\n\s*\n")
+_LINE = re.compile(r"\n")
 _WORDS = re.compile(r"[^\W_]+")
-LEAST_WORDS = 3
 
-_PARSED = "conv_id long, turn long, role string, text string, n_quotes int, own array<long>, quotes array<struct<level:int,hash:long>>"
+_PARSED = "conv_id long, turn long, role string, text string, n_quotes int, own array<long>, quotes array<struct<level:int,hash:long,words:int,sentences:array<long>>>"
 
 
-def sentence_hashes(passage: str) -> list[int]:
-    """Hashes of the passage's sentences of some words, or else of the whole passage."""
-    parts = [_WORDS.findall(s.lower()) for s in _SENTENCE.split(passage)]
-    parts = [p for p in parts if len(p) >= LEAST_WORDS] or [_WORDS.findall(passage.lower())]
-    return [xxhash.xxh3_64_intdigest(" ".join(p).encode()) - (1 << 63) for p in parts if p]
+def _hash(words: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest(" ".join(words).encode()) - (1 << 63)
+
+
+def pieces(passage: str) -> list[tuple[int, int, list[int]]]:
+    """Hash, number of words, and hashes of the passage's sentences that it lies in, of each piece of the passage."""
+    text = passage.lower()
+    found = list(_WORDS.finditer(text))
+    words, starts, n = [m[0] for m in found], [m.start() for m in found], len(found)
+    # where a piece can begin or end, as numbers of words
+    sentences, lines, paragraphs = ({bisect_left(starts, m.start()) for m in r.finditer(text)} | {0, n} for r in (_SENTENCE, _LINE, _PARAGRAPH))
+    spans = {x for cuts in ({0, n}, sentences, lines, paragraphs, sentences | lines, sentences | paragraphs) for x in pairwise(sorted(cuts))}
+    ends = sorted(sentences)
+    hashes = [_hash(words[i:j]) for i, j in pairwise(ends)]
+    at = lambda word: bisect_left(ends, word + 1) - 1
+    return [(_hash(words[i:j]), j - i, hashes[at(i) : at(j - 1) + 1]) for i, j in sorted(spans)]
 
 
 def parse(text: str | None) -> tuple[str, list[str], list[tuple[int, str]]]:
@@ -63,7 +78,7 @@ def parse(text: str | None) -> tuple[str, list[str], list[tuple[int, str]]]:
         clean = text or ""
     else:
         clean = "\n".join(own)
-    quoted = [(level, " ".join(ls)) for level, ls in runs if level and any(x.strip() for x in ls)]
+    quoted = [(level, "\n".join(ls)) for level, ls in runs if level and any(x.strip() for x in ls)]
     return clean, own, quoted
 
 
@@ -72,21 +87,24 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for text in batch.column("text").to_pylist():
             clean, own, quoted = parse(text)
-            rows.append((clean, len(quoted), list({h for p in own for h in sentence_hashes(p.replace("\n", " "))}), [{"level": level, "hash": h} for level, p in quoted for h in sentence_hashes(p)]))
-        kinds = (pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64())])))
+            rows.append((clean, len(quoted), list({h for p in own for h, _, _ in pieces(p)}), [{"level": level, "hash": h, "words": n, "sentences": s} for level, p in quoted for h, n, s in pieces(p)]))
+        kinds = (pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("words", pa.int32()), ("sentences", pa.list_(pa.int64()))])))
         kept = [batch.column(c) for c in ("conv_id", "turn", "role")]
         yield pa.RecordBatch.from_arrays([*kept, *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=["conv_id", "turn", "role", "text", "n_quotes", "own", "quotes"])
 
 
 def answers(parsed: DataFrame) -> DataFrame:
-    """conv_id, turn, parent (a turn), n_linked of messages with a linked quote."""
-    q = parsed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.hash").distinct()
+    """conv_id, turn, parent (a turn), n_linked (quoted sentences that are linked) of messages with a linked quote."""
+    q = parsed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.*")
     said = parsed.select("conv_id", "turn", F.explode("own").alias("hash")).join(q.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").distinct()
-    both = q.select("conv_id", "hash", "turn", "level").unionByName(said.select("conv_id", "hash", "turn", F.lit(0).alias("level")))
+    both = q.unionByName(said.withColumn("level", F.lit(0)), allowMissingColumns=True)
     # as of a quote's turn, who said it last: a running value, not pairs
     earlier = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     last = both.withColumn("source", F.max(F.when(F.col("level") == 0, F.col("turn"))).over(earlier)).filter("level > 0 AND source IS NOT NULL")
-    votes = last.groupBy("conv_id", "turn", "level", "source").agg(F.count("*").alias("n"))
+    # each sentence has one vote, that of the longest piece found
+    one = last.select("conv_id", "turn", "level", "words", "source", F.explode("sentences").alias("sentence"))
+    one = one.groupBy("conv_id", "turn", "level", "sentence").agg(F.max_by("source", F.struct("words", "source")).alias("source"))
+    votes = one.groupBy("conv_id", "turn", "level", "source").agg(F.count("*").alias("n"))
     return votes.groupBy("conv_id", "turn").agg(F.max_by("source", F.struct(-F.col("level"), F.col("n"), F.col("source"))).alias("parent"), F.sum("n").alias("n_linked"))
 
 
