@@ -92,7 +92,7 @@ def prefix_keys(tokens: np.ndarray, ranks: np.ndarray, num: int, den: int) -> tu
     order = np.lexsort((tokens, rank))[: p + 1]
     head, often = tokens[order], rank[order] > 0
     single, double = n * num > LONG_SET * den, n * num <= LONG_SET * den
-    if LONG_SET * num < n * den and n * num < LONG_SET * den:
+    if LONG_SET * num <= n * den and n * num <= LONG_SET * den:  # all that can be linked with a set beyond the switch
         single = double = True
     at = np.arange(len(head))
     in_p = at < p
