@@ -48,14 +48,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def apportion(rows: DataFrame, votes: str, seats: Column, group: list[str], tie: list[Column], out: str) -> DataFrame:
     """Sainte-Laguë: ``seats`` of each group go to its rows by the highest quotients votes / (2k + 1).
 
-    A row's result lies near its share of the seats: quotients enter the ranking from three below that share on, and
-    what lies further below is won in any case.
+    At some divisor d each row has votes / d seats, give or take a half, so of n rows with votes V / d lies within n / 2 of
+    the seats. Quotients enter the ranking between the two numbers of seats that this leaves a row; all rows together
+    have about 3 n of them, however many a single one has, and what lies below is won in any case.
     """
-    total = F.sum(votes).over(Window.partitionBy(*group))
+    all_ = Window.partitionBy(*group)
+    total, half = F.sum(votes).over(all_), F.sum((F.col(votes) > 0).cast("long")).over(all_) / 2
     t = rows.withColumn("__seats", seats.cast("long"))
-    t = t.withColumn("__sure", F.when(total > 0, F.greatest(F.floor(F.col("__seats") * F.col(votes) / total).cast("long") - 3, F.lit(0))).otherwise(F.lit(0)).cast("long"))
-    t = t.withColumn("__left", F.col("__seats") - F.sum("__sure").over(Window.partitionBy(*group)))
-    c = t.withColumn("__k", F.explode(F.sequence(F.col("__sure"), F.col("__sure") + 7)))
+    near = lambda n, off: F.when(total > 0, F.greatest(F.floor(F.col(votes) * n / total + off), F.lit(0))).otherwise(F.lit(0)).cast("long")
+    t = t.withColumn("__sure", near(F.col("__seats") - half, -0.5)).withColumn("__most", near(F.col("__seats") + half, 0.5))
+    t = t.withColumn("__left", F.col("__seats") - F.sum("__sure").over(all_))
+    c = t.withColumn("__k", F.explode(F.sequence("__sure", "__most")))
     quotient = F.col(votes) / (2 * F.col("__k") + 1)
     won = F.row_number().over(Window.partitionBy(*group).orderBy(quotient.desc(), *tie, F.col("__k")))
     keys = [x for x in rows.columns]
@@ -72,10 +75,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK,
     d = common.materialise(d.withColumn("place", F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")), "sizes")
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"))
     t = targets(sizes, weights)
-    # blocks of each source: with the divisor `block` the highest quotients give round(target / block) seats
-    t = t.withColumn("__all", F.sum(F.round(F.col("target") / block).cast("long")).over(Window.partitionBy()))
-    t = t.withColumn("__one", F.lit(1))
-    t = apportion(t, "target", F.col("__all"), ["__one"], [F.col("source").asc_nulls_last()], "blocks")
+    # at the divisor `block` the highest quotients, as many as all sources have blocks, are these of each source
+    t = t.withColumn("blocks", F.round(F.col("target") / block).cast("long"))
     t = t.select("source", "source_size", "target", "blocks").withColumn("shards", F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)).cast("long"))
     t = common.materialise(t, "targets")
     # a row for each source; sources can be many, so Spark chooses the join
