@@ -1,7 +1,7 @@
 """Operator 4: language identification by a bidirectional gated recurrent network over bytes.
 
-Training: a bounded sample of labelled rows (``per_lang`` rows of each language in expectation, chosen by hash, never more
-than ``most_rows`` in all) comes to the driver; windows of ``steps`` bytes are drawn from whole texts, and a small
+Training: a bounded sample of labelled rows (``per_lang`` rows of each language, chosen by hash; where the languages are
+many, an equal share of ``most_rows``, but one row of each at least) comes to the driver; windows of ``steps`` bytes are drawn from whole texts, and a small
 network (a forward and a backward GRU, whose states label every position) is trained in numpy by backpropagation
 through time with Adam. Scoring: every text is cut into windows of ``steps`` bytes, all of them are labelled at every position,
 many windows at a time, and a document's probabilities are the mean of its positions' log probabilities, normalised.
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -150,11 +150,15 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator
 def learn(labelled: DataFrame, per_lang: int = 150, most_rows: int = 3000, windows_per_text: int = 8, steps: int = STEPS, seed: int = 7) -> Model | None:
     """A model from labelled(doc_id, text, lang). Only the sample named above comes to the driver."""
     counts = common.materialise(labelled.groupBy("lang").count(), "counts")
-    if counts.count() <= BROADCAST_ROWS:  # else a shuffled join, in which a frequent language is a large group that Spark splits
+    n_langs = counts.count()
+    share = min(per_lang, max(most_rows // max(n_langs, 1), 1))
+    if n_langs <= BROADCAST_ROWS:  # else a shuffled join, in which a frequent language is a large group that Spark splits
         counts = F.broadcast(counts)
     place = F.abs(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "lang") % 1_000_000)
-    rows = labelled.join(counts, "lang").withColumn("place", place).filter(F.col("place") * F.col("count") < F.lit(per_lang) * 1_000_000)
-    rows = rows.select("place", "lang", "text").orderBy("place", "lang", "text").limit(most_rows).collect()
+    rows = labelled.join(counts, "lang").withColumn("place", place).filter(F.col("place") * F.col("count") < F.lit(2 * share + 50) * 1_000_000)
+    # the filter leaves each language some more rows than its share, so that the windows are small
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))).filter(F.col("nth") <= share)
+    rows = rows.select("place", "lang", "text").orderBy("place", "lang", "text").collect()
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return None
