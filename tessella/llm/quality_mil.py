@@ -125,14 +125,13 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), batch.column("weight"), pa.array(raw, pa.binary())], names=["doc_id", "label", "weight", "bag"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_passages: int = 200) -> Model | None:
-    """A model from labels(doc_id, quality). Of a sampled document up to ``most_passages`` evenly spaced passages teach."""
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Model | None:
+    """A model from labels(doc_id, quality). All passages of a sampled document teach."""
     sample = labelled_sample(docs, labels, "quality", per_class)
     rows = sample.mapInArrow(_bags, "doc_id long, label int, weight double, bag binary").orderBy("doc_id").collect()
     if not rows:
         return None
     bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, DIM) for r in rows]
-    bags = [b[np.unique(np.linspace(0, len(b) - 1, min(len(b), most_passages)).astype(int))] for b in bags]
     y, w = np.array([r["label"] for r in rows], np.float32), np.array([r["weight"] for r in rows])
     if len(set(y.tolist())) < 2:
         return Model({}, np.zeros(0), np.zeros(0), float(y.mean()))
