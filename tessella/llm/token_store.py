@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +37,15 @@ def _bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(32 - _BITS)
 
 
-def repair(ids: np.ndarray, vocab: int, rounds: int = 4, rules_per_round: int = 2048, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): rule k gives the two symbols of nonterminal vocab + k. Pairs seen under ``least`` times stay."""
+def repair(ids: np.ndarray, vocab: int, rounds: int | None = None, rules_per_round: int = 2048, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, rules): rule k gives the two symbols of nonterminal vocab + k. Pairs seen under ``least`` times stay.
+
+    Rounds go on, unless ``rounds`` bounds them, until no pair is seen so often; each shortens the sequence.
+    """
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     made = 0
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         if len(seq) < 2 * least:
             break
         h = _bucket(seq[:-1], seq[1:])
@@ -151,7 +155,7 @@ class Shard:
         return self.expand(self.symbols[i : j + 1])[start - begin : stop - begin]
 
 
-def _shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_tokens: int, rounds: int) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_tokens: int, rounds: int | None) -> Iterator[pa.RecordBatch]:
     enc, schema = encoder(path), None
     end = np.array([end_id], enc.dtype).tobytes()
     part, size = TaskContext.get().partitionId(), enc.dtype.itemsize
@@ -186,7 +190,7 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_tok
         yield close()
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_tokens: int = 1 << 20, rounds: int = 4) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_tokens: int = 1 << 20, rounds: int | None = None) -> None:
     """Write the ids of docs(doc_id, text) as grammar-compressed shards at path, in ascending order of doc_id."""
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
     dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
