@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -17,7 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which the driver and all executors can reach.
 
-    Where the setting is absent (local tests) a temporary folder becomes the session's checkpoint folder.
+    Where the setting is absent, a temporary folder becomes the session's checkpoint folder, in local mode only: on a
+    cluster each executor would write to a disk of its own, so there the setting is required.
     """
     # texts and token sets can be long: batches between Spark and Python are bounded by bytes, not only by rows
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
@@ -25,16 +27,40 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tessella/{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """The tables that a job writes between its steps, in one new shared folder; each can be dropped when its readers are written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.n = spark, shared_dir(spark), 0
+        self.paths: dict[str, str] = {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        """Write df as Parquet and read it again: lineage ends there, and lost executors cost nothing."""
+        self.n += 1
+        self.paths[name] = path = f"{self.path}/{self.n}_{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            remove(self.spark, self.paths.pop(name))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage ends there, and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as Parquet in the shared folder and read it again. The table stays."""
+    return Scratch(df.sparkSession).put(name, df)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,16 +47,16 @@ def _mark(e: DataFrame) -> tuple[int, int]:
     return r[0], r[1]
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, scratch: common.Scratch, most_rounds: int = 60) -> DataFrame:
     """node, root for every node of links(u, v) that isn't its component's least node.
 
     Each round first contracts links inside tasks, then takes the two star steps; it ends when a round changes nothing.
     Minima are combined before they are shuffled, and joins are Spark's own, so a node with very many links is no
     large group of one task.
     """
-    e = common.materialise(links.select("u", "v").mapInArrow(_contract, "u binary, v binary").distinct(), "links")
+    e = scratch.put("stars_0", links.select("u", "v").mapInArrow(_contract, "u binary, v binary").distinct())
     mark = _mark(e)
-    for _ in range(most_rounds):
+    for i in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -64,7 +64,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         # now u > v on every row: each node's least neighbour below it takes its others
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = common.materialise(small.filter("u <> v").mapInArrow(_contract, "u binary, v binary").distinct(), "stars")
+        e = scratch.put(f"stars_{i + 1}", small.filter("u <> v").mapInArrow(_contract, "u binary, v binary").distinct())
+        scratch.drop(f"stars_{i}")
         now = _mark(e)
         if now == mark:
             break

@@ -2,20 +2,28 @@
 
 A document's tokens are its distinct word shingles, as 64-bit hashes; documents with equal sets are one class (128-bit
 key). A bounded counting sketch over all documents tells frequent token classes from rare ones and orders tokens: rare
-before frequent, then by hash. With similarity t, two linked sets share a token in their prefixes of
-n - ceil(t n) + 1 tokens, and two tokens in prefixes one longer. So a class is indexed under each rare token of its
-prefix, and under each pair of frequent tokens of its extended prefix: if the first shared token is rare, the singles
-meet; if it is frequent, so is the second, and the pairs meet. (Very long sets index frequent tokens singly; sets near
-that length do both.)
-
-Buckets are read as a sorted stream. Small ones give all their pairs of fitting lengths. In larger ones each class first
-meets its neighbour by length and the bucket's first class; verified links give components, and then only pairs of
-classes whose components still differ are tried, from all components of a bucket but its largest. No link between
-components is lost, and a bucket of classes that are all linked costs two pairs for each.
+before frequent, then by hash.
+
+Keys. Let at least ``least`` tokens be shared and at most u not. The first shared token lies in the prefix of n - least + 1
+tokens. If it is rare, both classes index it singly. If not, all shared tokens are frequent, the rare ones are among the u,
+and the prefix is extended: of the first u + 2 shared tokens two stand side by side in both orders, since only u tokens can
+come between them. So a class indexes its rare prefix tokens singly and, where fewer tokens are rare than may differ,
+the combinations of two neighbours of its extended frequent prefix: their number grows with the prefix, not with its square.
+(Where sharing u + 2 tokens isn't certain, as in the smallest sets, frequent prefix tokens are indexed singly too.)
+
+Buckets of single tokens are read as a sorted stream; those of up to SMALL_BUCKET classes give pairs of fitting lengths,
+which are dropped by parities or verified. Larger ones, and those of combinations, become groups: each has a reference, the
+member that is in most such buckets, and each member its difference from the reference. For two members,
+|X xor Y| = |dX xor dY|, so a link needs 2 |dX and dY| >= e(X) + e(Y), where e = |d| - n (1 - t) / (1 + t). Members
+with e(X) + e(reference) <= 0 are linked with the reference, and two members with e(X) + e(Y) <= 0 are both among
+these. All others must share tokens of their *differences*: the same keys are taken of those, buckets in which no
+two members can share enough are dropped by their extremes of e and of what can still be shared, small ones give pairs,
+and large ones are groups of their own reference again. So neither near copies nor common passages are paired with each other
+inside a group, and no link between components is lost.
 
 Defined results: null, empty and blank texts have an empty set, n_shingles 0, and are linked with nothing (component_id is
 their own doc_id); null doc_ids never lend a component its id, unless it has no other; equal rows stay rows of their own
-and share a class; an empty table gives no rows; other columns are ignored.
+and share a class; very long texts are sets like others; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -35,10 +43,13 @@ from .shingles import parity, parity_distance, shingle_sets
 
 #: Tokens are counted by their leading bits. Counters that reach LOCAL in a task are added up; a token is frequent from
 #: LEAST_FREQUENT on, or FREQUENT times a counter's mean.
-SKETCH_BITS, LOCAL, FREQUENT, LEAST_FREQUENT = 23, 3, 2, 32
+SKETCH_BITS, LOCAL, FREQUENT, LEAST_FREQUENT = 22, 3, 2, 32
 #: A key row packs the set's size and the key's cost (tokens before it that would not be shared) into one number.
 _COST = 24
-SMALL_BUCKET, LONG_SET = 8, 2000
+SMALL_BUCKET = 8
+#: Groups within groups; what is left beyond them is paired inside its buckets.
+LEVELS = 6
+
 
 def set_key(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
@@ -77,41 +88,46 @@ def _needed(n: int, num: int, den: int) -> int:
     return -(-n * num // den)
 
 
-def prefix_keys(tokens: np.ndarray, ranks: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """The index keys of a token set, and each key's cost. ranks: by sketch counter, 0 for rare tokens, else higher for more frequent ones.
+def most_apart(n: int, num: int, den: int) -> int:
+    """The most tokens that a set of n and one linked with it don't share."""
+    return n * (den - num) // num
+
+
+def prefix_keys(tokens: np.ndarray, ranks: np.ndarray, least: int, apart: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of sorted tokens that share ``least`` with any partner, ``apart`` not; each key's cost; which are combinations.
 
-    If a key is the first that two sets share, none of the tokens that count as its cost are shared: costs of linked sets
-    add up to at most the size of their symmetric difference.
+    ranks: by sketch counter, 0 for rare tokens, else higher for more frequent ones. A key's cost is a number of tokens that
+    can't be shared if the key is the one that tells: those before a single token, the rare ones for a combination.
     """
-    n = len(tokens)
-    p = n - _needed(n, num, den) + 1
+    p = len(tokens) - least + 1
+    if p <= 0:
+        return tokens[:0], np.zeros(0, np.int64), np.zeros(0, bool)
     rank = ranks[_counter(tokens)]
-    rare = tokens[rank == 0]
+    often = rank > 0
+    rare = tokens[~often]
     if len(rare) >= p:
-        return rare[:p], np.arange(p)
-    order = np.lexsort((tokens, rank))[: p + 1]
-    head, often = tokens[order], rank[order] > 0
-    single, double = n * num > LONG_SET * den, n * num <= LONG_SET * den
-    if LONG_SET * num <= n * den and n * num <= LONG_SET * den:  # all that can be linked with a set beyond the switch
-        single = double = True
-    at = np.arange(len(head))
-    in_p = at < p
-    use = in_p & (~often | single) if n > 1 else in_p  # an only token has no partner
-    keys, costs = [head[use]], [at[use]]
-    if double:
-        f = at[often]
-        i, j = np.triu_indices(len(f), 1)
-        i, j = f[i], f[j]
-        i, j = i[in_p[i]], j[in_p[i]]
-        keys.append(_mix(head[i] * np.uint64(0xD6E8FEB86659FD93) + _mix(head[j])))
-        costs.append(j - 1)
-    return np.concatenate(keys), np.concatenate(costs)
+        return rare[:p], np.arange(p), np.zeros(p, bool)
+    frequent = tokens[often][np.lexsort((tokens[often], rank[often]))]
+    keys, costs, combined = [rare], [np.arange(len(rare))], [np.zeros(len(rare), bool)]
+    u = apart - len(rare)  # of the tokens apart, those that aren't this set's rare ones
+    if u < 0:
+        u = -1  # then nothing is shared unless a rare token is
+    if least < u + 2:
+        keys.append(frequent[: p - len(rare)])
+        costs.append(np.arange(len(rare), p)[: len(keys[-1])])
+        combined.append(np.ones(len(keys[-1]), bool))
+    if u >= 0:
+        head = frequent[: u + 2 + p - 1 - len(rare)]
+        keys.append(_mix(head[:-1] * np.uint64(0xD6E8FEB86659FD93) + _mix(head[1:])))
+        costs.append(np.full(len(keys[-1]), len(rare)))
+        combined.append(np.ones(len(keys[-1]), bool))
+    return np.concatenate(keys), np.concatenate(costs), np.concatenate(combined)
 
 
 def _index(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
     seen: set[bytes] = set()  # a class's keys once for each task
     for batch in batches:
-        keys, sids, ns = [], [], []
+        rows: list[tuple] = []
         held = 0
         for s in shingle_sets(common.utf8(batch.column("text")), k):
             if not len(s):
@@ -122,27 +138,27 @@ def _index(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, ranks:
             if len(seen) >= 200_000:
                 seen.clear()
             seen.add(sid)
-            p, cost = prefix_keys(s, ranks, num, den)
-            keys.append(p)
-            sids.append(sid)
-            ns.append((len(s) << _COST) + cost)
-            held += len(p)
+            n = len(s)
+            keys, costs, often = prefix_keys(s, ranks, _needed(n, num, den), most_apart(n, num, den))
+            rows.append((sid, keys, (n << _COST) + costs, often))
+            held += len(keys)
             if held > 500_000:
-                yield _keys(keys, sids, ns)
-                keys, sids, ns, held = [], [], [], 0
-        if keys:
-            yield _keys(keys, sids, ns)
+                yield _keys(rows)
+                rows, held = [], 0
+        if rows:
+            yield _keys(rows)
 
 
-def _keys(keys: list[np.ndarray], sids: list[bytes], ns: list[np.ndarray]) -> pa.RecordBatch:
-    at = pa.array(np.repeat(np.arange(len(sids)), [len(x) for x in keys]))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ns), pa.int64()), pa.array(sids, pa.binary()).take(at)], names=["key", "n", "sid"])
+def _keys(rows: list[tuple]) -> pa.RecordBatch:
+    at = pa.array(np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows]))
+    columns = [pa.array(np.concatenate([r[1] for r in rows]).view(np.int64)), pa.array(np.concatenate([r[2] for r in rows]), pa.int64()), pa.array([r[0] for r in rows], pa.binary()).take(at), pa.array(np.concatenate([r[3] for r in rows]))]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "n", "sid", "often"])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Of a stream sorted by key, n, sid: pairs to verify (key null), and the members (b null) of larger buckets.
+def _pairs(batches: Iterator[pa.RecordBatch], num: int, den: int, small: int) -> Iterator[pa.RecordBatch]:
+    """Of a stream sorted by often, key, n, sid: pairs to verify (key null), and members (b null) of groups.
 
-    Only the first members of a bucket and its last one are kept in memory.
+    Only the first members of a bucket and its last one are kept in memory; keys marked ``often`` are passed on.
     """
     mask = (1 << _COST) - 1
 
@@ -152,11 +168,16 @@ def _pairs(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
         return n * den >= m * num and ((x & mask) + (y & mask)) * (den + num) <= (n + m) * (den - num)
 
     key = None
-    head: list[tuple[int, bytes]] = []  # the first SMALL_BUCKET members
+    head: list[tuple[int, bytes]] = []  # the first ``small`` members
     last: tuple[int, bytes] | None = None
     size = 0
     rows: list[tuple] = []
     for batch in batches:
+        often = np.asarray(batch.column("often").cast(pa.int8())).astype(bool)
+        if often.any():
+            passed = batch.filter(pa.array(often))
+            yield pa.RecordBatch.from_arrays([passed.column("sid"), pa.nulls(len(passed), pa.binary()), passed.column("key")], names=["a", "b", "key"])
+            batch = batch.filter(pa.array(~often))
         ks = np.asarray(batch.column("key"))
         if not len(ks):
             continue
@@ -170,42 +191,92 @@ def _pairs(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
         ns, sids = np.asarray(batch.column("n"))[at].tolist(), batch.column("sid").take(pa.array(at)).to_pylist()
         for kk, n, sid in zip(ks[at].tolist(), ns, sids):
             if kk != key:
+                if size <= small:
+                    rows += _all_pairs(head, fits)
                 key, head, last, size = kk, [(n, sid)], (n, sid), 1
                 continue
             if last == (n, sid):
                 continue
+            last = (n, sid)
             size += 1
-            if size <= SMALL_BUCKET:
-                rows += [(min(s, sid), max(s, sid), None, None) for m, s in head if fits(m, n)]
-                head.append((n, sid))
-                if size == SMALL_BUCKET:
-                    rows += [(s, None, key, m) for m, s in head]
+            if size <= small:
+                head.append(last)
             else:
-                if fits(last[0], n):
-                    rows.append((min(last[1], sid), max(last[1], sid), None, None))
-                if fits(head[0][0], n):
-                    rows.append((min(head[0][1], sid), max(head[0][1], sid), None, None))
-                rows.append((sid, None, key, n))
-            last = (n, sid)
+                if size == small + 1:
+                    rows += [(s, None, key) for _, s in head]
+                rows.append((sid, None, key))
         if len(rows) > 50_000:
             yield _pair_rows(rows)
             rows = []
+    if size <= small:
+        rows += _all_pairs(head, fits)
     if rows:
         yield _pair_rows(rows)
 
 
+def _all_pairs(head: list[tuple[int, bytes]], fits) -> list[tuple]:
+    """The pairs of a small bucket's members, in order of size."""
+    return [(min(s, t), max(s, t), None) for j, (m, t) in enumerate(head) for n, s in head[:j] if s != t and fits(n, m)]
+
+
 def _pair_rows(rows: list[tuple]) -> pa.RecordBatch:
     rows = list(dict.fromkeys(rows))
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.int64(), pa.int64()))], names=["a", "b", "key", "n"])
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.int64()))], names=["a", "b", "key"])
+
+
+def _near(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose parities leave a link possible."""
+    for batch in batches:
+        rows = []
+        for a, b, n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "pa", "pb"))):
+            if parity_distance(x, y) * (den + num) <= (n + m) * (den - num):
+                rows.append((a, b))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    a = classes.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
+    b = classes.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
+    return pairs.join(a, "a").join(b, "b").mapInArrow(lambda it: _near(it, num, den), "a binary, b binary")
+
+
+def _groups(members: DataFrame) -> DataFrame:
+    """ref, sid: for each key of members(key, sid) with several, all others with the one that is in most buckets."""
+    load = members.groupBy("sid").count().withColumnRenamed("count", "load")
+    refs = members.join(load, "sid").groupBy("key").agg(F.count("*").alias("size"), F.max_by("sid", F.struct("load", "sid")).alias("ref"))
+    return members.join(refs.filter("size > 1").select("key", "ref"), "key").filter("sid <> ref").select("ref", "sid").distinct()
+
+
+#: The bitmap of wanted classes has about 16 bits for each, and from 4 to 64 million.
+_LEAST_BITS, _MOST_BITS = 22, 26
+
+
+def _wanted(sids: DataFrame) -> np.ndarray:
+    """A bitmap, built by Spark, that has the bit of every sid (and of others): at most 8 MB come to the driver."""
+    size = sids.count()
+    bits = min(max(_LEAST_BITS, (16 * size).bit_length()), _MOST_BITS)
+    numbers = sids.select((F.conv(F.hex(F.substring("sid", 1, 4)), 16, 10).cast("long") % (1 << bits)).alias("bit"))
+    words = numbers.groupBy(F.bitmap_bucket_number("bit").alias("word")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    wanted = np.zeros(1 << bits, bool)
+    for r in words:  # word 0 has the bit of 0; word w has those from 1 + (w - 1) * 32768 on
+        at = (r["word"] - 1) * 32768 + 1 if r["word"] > 0 else 0
+        got = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little").astype(bool)[: len(wanted) - at]
+        wanted[at : at + len(got)] |= got
+    return np.packbits(wanted, bitorder="little")
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
     """sid and tokens of classes that the bitmap names, once for each task."""
     seen: set[bytes] = set()
+    last = 8 * len(wanted) - 1
     for batch in batches:
         rows = []
         for s in shingle_sets(common.utf8(batch.column("text")), k):
-            if len(s) and wanted[_bit(sid := set_key(s))] and sid not in seen:
+            if not len(s):
+                continue
+            sid = set_key(s)
+            at = int.from_bytes(sid[:4], "big") & last
+            if wanted[at >> 3] >> (at & 7) & 1 and sid not in seen:
                 if len(seen) >= 200_000:
                     seen.clear()
                 seen.add(sid)
@@ -213,14 +284,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, wanted: np.ndarray) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], names=["sid", "tokens"])
 
 
-_BITMAP = 22
-
-
-def _bit(sid: bytes) -> int:
-    return int.from_bytes(sid[:4], "big") & ((1 << _BITMAP) - 1)
-
-
-def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         u, v = [], []
         for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))):
@@ -234,135 +298,141 @@ def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
 
-def _near(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Pairs whose parities leave a link possible, with the lower bound of their difference."""
-    for batch in batches:
-        rows = []
-        for a, b, n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "pa", "pb"))):
-            d = parity_distance(x, y)
-            if d * (den + num) <= (n + m) * (den - num):
-                rows.append((a, b, d))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.int64()))], names=["a", "b", "d"])
-
-
-def _possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    a = classes.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
-    b = classes.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
-    near = pairs.join(a, "a").join(b, "b").mapInArrow(lambda it: _near(it, num, den), "a binary, b binary, d long")
-    return common.materialise(near, "pairs")
-
-
-def _token_sets(texts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """sid and tokens of (at least) the classes in pairs(a, b)."""
-    bits = pairs.select(F.explode(F.array("a", "b")).alias("s")).select((F.conv(F.hex(F.substring("s", 1, 4)), 16, 10).cast("long") % (1 << _BITMAP)).alias("bit"))
-    # a bitmap of fixed size, built by Spark: at most 129 rows of 4 KB come to the driver
-    words = bits.groupBy(F.bitmap_bucket_number("bit").alias("word")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-    wanted = np.zeros(1 << _BITMAP, bool)
-    for r in words:  # word 0 has the bit of 0; word w has those from 1 + (w - 1) * 32768 on
-        at = (r["word"] - 1) * 32768 + 1 if r["word"] > 0 else 0
-        got = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little").astype(bool)[: len(wanted) - at]
-        wanted[at : at + len(got)] |= got
-    sets = texts.mapInArrow(lambda it: _sets(it, k, wanted), "sid binary, tokens binary")
-    return common.materialise(sets.groupBy("sid").agg(F.first("tokens").alias("tokens")), "sets")
+def _with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
+    """pairs with the token sets x of column a and y of column b."""
+    return pairs.join(sets.select(F.col("sid").alias(a), F.col("tokens").alias("x")), a).join(sets.select(F.col("sid").alias(b), F.col("tokens").alias("y")), b)
 
 
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Those of pairs(a, b) that are linked, by their sets."""
-    a, b = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y"))
-    links = pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(lambda it: _verify(it, num, den), "u binary, v binary")
-    return common.materialise(links, "links")
+    return _with_sets(pairs.select("a", "b"), sets, "a", "b").mapInArrow(lambda it: _linked(it, num, den), "u binary, v binary")
 
 
-def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) whose classes are in different components as yet."""
-    p = pairs.join(comps.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(comps.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    return p.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+_DIFFERENCE = "ref binary, sid binary, key long, e long, f long, far boolean"
 
 
-def _longs(bits: str) -> Column:
-    """A parity, which is a multiple of eight bytes, as an array of numbers."""
-    return F.expr(f"transform(sequence(0, octet_length({bits}) div 8 - 1), i -> conv(hex(substring({bits}, 8 * i + 1, 8)), 16, -10))").cast("array<bigint>")
+def _differences(batches: Iterator[pa.RecordBatch], num: int, den: int, ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """For each (ref, sid): a row without key, ``far`` unless linked; then the keys of the set's difference from the reference's.
 
-
-def _across(members: DataFrame, comps: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of a bucket's members in different components: each outside the largest component with every other.
-
-    The join's condition holds lengths, costs and parities, so that a pair is a row only if a link is still possible.
+    e and f are in units of 1 / (den + num): two members can be linked only if the e of each is at most the other's f.
     """
-    sides = classes.withColumn("w", _longs("parity")).withColumn("half", F.expr("slice(w, 1, size(w) div 2)"))
-    sides = sides.select("sid", "w", F.expr("zip_with(half, slice(w, size(w) div 2 + 1, size(w)), (x, y) -> x ^ y)").alias("half"))
-    m = members.join(comps, members["sid"] == comps["node"], "left").select("key", "n", "sid", F.coalesce("root", "sid").alias("comp"))
-    counts = m.groupBy("key", "comp").count()
-    top = counts.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
-    m = common.materialise(m.join(top, "key").join(sides, "sid"), "members")
-    o = m.filter("comp <> top").select("key", F.col("n").alias("n1"), F.col("sid").alias("s1"), F.col("comp").alias("c1"), F.col("w").alias("w1"), F.col("half").alias("h1"))
-    r = m.select("key", F.col("n").alias("n2"), F.col("sid").alias("s2"), F.col("comp").alias("c2"), "top", F.col("w").alias("w2"), F.col("half").alias("h2"))
-    fits = (F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("top")) | (F.col("s1") < F.col("s2")))
-    n1, n2, mask = F.shiftright("n1", _COST), F.shiftright("n2", _COST), F.lit((1 << _COST) - 1)
-    cost = F.col("n1").bitwiseAND(mask) + F.col("n2").bitwiseAND(mask)
-    most = (n1 + n2) * (den - num)
-    fits = fits & (n1 * den >= n2 * num) & (n2 * den >= n1 * num) & (cost * (den + num) <= most)
-    # at a similarity over a half, lengths that fit differ by less than the factor two: at most one side is folded, once;
-    # at a lower one, parities of other sizes don't tell (null)
-    x, y = F.expr("CASE WHEN size(w1) > size(w2) THEN h1 ELSE w1 END"), F.expr("CASE WHEN size(w2) > size(w1) THEN h2 ELSE w2 END")
-    apart = F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    p = o.join(r, "key").filter(fits & (F.coalesce(apart, F.lit(0)) * (den + num) <= most))
-    return p.select(F.least("s1", "s2").alias("a"), F.greatest("s1", "s2").alias("b")).distinct()
-
-
-def near_duplicates(docs: DataFrame, k: int = 3, similarity: tuple[int, int] = (90, 100)) -> DataFrame:
+    unit = den + num
+    for batch in batches:
+        rows: list[tuple] = []
+        for ref, sid, x, y in zip(*(batch.column(c).to_pylist() for c in ("ref", "sid", "x", "y"))):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            d = np.setxor1d(x, y, assume_unique=True)
+            e, e_ref = unit * len(d) - (den - num) * len(x), -(den - num) * len(y)
+            far = e + e_ref > 0
+            apart = most_apart(len(x), num, den)
+            # a partner's e is e_ref at least, and above -e_ref where one of the two has to be far
+            least = max(1, len(d) - apart, -((-e - e_ref if far else e_ref - e - 1) // (2 * unit)))
+            keys, costs, _ = prefix_keys(d, ranks, least, apart)
+            keys = _mix(keys ^ _mix(np.frombuffer(ref[:8], np.uint64)))
+            rows.append((ref, sid, keys, e, 2 * unit * (len(d) - costs) - e, far))
+        if rows:
+            at = pa.array(np.repeat(np.arange(len(rows)), [len(r[2]) + 1 for r in rows]))
+            null = np.concatenate([np.arange(len(r[2]) + 1) == 0 for r in rows])
+            keys = np.concatenate([np.concatenate(([np.uint64(0)], r[2])) for r in rows]).view(np.int64)
+            f = np.concatenate([np.concatenate(([0], r[4])) for r in rows]).astype(np.int64)
+            take = lambda i, t: pa.array([r[i] for r in rows], t).take(at)
+            columns = [take(0, pa.binary()), take(1, pa.binary()), pa.array(keys, mask=null), take(3, pa.int64()), pa.array(f), take(5, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["ref", "sid", "key", "e", "f", "far"])
+
+
+def _group_links(groups: DataFrame, sets: DataFrame, num: int, den: int, ranks: np.ndarray, small: int, scratch: common.Scratch) -> list[DataFrame]:
+    """Links(u, v) that connect what is connected inside the groups(ref, sid)."""
+    found = []
+    for level in range(LEVELS):
+        name = f"differences_{level}"
+        rows = scratch.put(name, _with_sets(groups, sets, "sid", "ref").mapInArrow(lambda it: _differences(it, num, den, ranks), _DIFFERENCE))
+        found.append(scratch.put(f"near_{level}", rows.filter("key IS NULL AND NOT far").select(F.col("ref").alias("u"), F.col("sid").alias("v"))))
+        keyed = rows.filter("key IS NOT NULL").select("key", "sid", "e", "f", "far")
+        far = F.col("far")
+        ends = keyed.groupBy("key").agg(
+            F.count("*").alias("size"), F.max("f").alias("f_any"), F.min("e").alias("e_any"), F.max(F.when(far, F.col("f"))).alias("f_far"), F.min(F.when(far, F.col("e"))).alias("e_far")
+        )
+        fit = F.when(far, (F.col("e") <= F.col("f_any")) & (F.col("f") >= F.col("e_any"))).otherwise((F.col("e") <= F.col("f_far")) & (F.col("f") >= F.col("e_far")))
+        left = scratch.put(f"left_{level}", keyed.join(ends.filter("size > 1 AND f_far IS NOT NULL"), "key").filter(fit).select("key", "sid", "e", "f", "far"))
+        scratch.drop(name)
+        sizes = left.groupBy("key").agg(F.count("*").alias("size"), F.bool_or("far").alias("any_far")).filter("size > 1 AND any_far")
+        paired = sizes if level == LEVELS - 1 else sizes.filter(F.col("size") <= small)
+        few = left.join(paired.select("key"), "key")
+        x, y = (few.select("key", *(F.col(c).alias(c + i) for c in ("sid", "e", "f", "far"))) for i in ("1", "2"))
+        pairs = x.join(y, "key").filter("sid1 < sid2 AND (far1 OR far2) AND e1 <= f2 AND e2 <= f1").select(F.col("sid1").alias("a"), F.col("sid2").alias("b")).distinct()
+        found.append(scratch.put(f"met_{level}", _links(pairs, sets, num, den)))
+        large = left.join(sizes.filter(F.col("size") > small).select("key"), "key").select("key", "sid").distinct()
+        if level == LEVELS - 1:
+            break
+        large = scratch.put(f"large_{level}", large)
+        scratch.drop(f"left_{level}")
+        if large.isEmpty():
+            break
+        groups = _groups(large)
+    return found
+
+
+def near_duplicates(docs: DataFrame, k: int = 3, similarity: tuple[int, int] = (90, 100), small: int = SMALL_BUCKET) -> DataFrame:
     """doc_id, text_key, sid, n_shingles, component_id, root for each row of docs(doc_id, text).
 
     Rows with an equal ``sid`` (null: no shingles) have equal sets; ``root`` is one sid for each component.
     """
     num, den = similarity
+    scratch = common.Scratch(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
-    first = common.materialise(texts.mapInArrow(lambda it: _profile(it, k), "doc_id long, text_key long, sid binary, n long, parity binary, bucket int, count long"), "profile")
-    rows = first.filter("bucket IS NULL").select("doc_id", "text_key", "sid", "n")
-    risen = common.materialise(first.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("count")), "counters")
+    first = scratch.put("profile", texts.mapInArrow(lambda it: _profile(it, k), "doc_id long, text_key long, sid binary, n long, parity binary, bucket int, count long"))
+    risen = first.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("count"))
     total = risen.filter("bucket = -1").agg(F.sum("count")).first()[0] or 0
     ranks = np.zeros(1 << SKETCH_BITS, np.uint8)
     bar = max(FREQUENT * total / len(ranks), LEAST_FREQUENT)
-    for r in risen.filter((F.col("bucket") >= 0) & (F.col("count") >= bar)).collect():  # at most half of the counters
-        ranks[r["bucket"]] = int(r["count"] / bar).bit_length()
-    index = texts.mapInArrow(lambda it: _index(it, k, num, den, ranks), "key long, n long, sid binary")
-    found = index.repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(lambda it: _pairs(it, num, den), "a binary, b binary, key long, n long")
-    found = common.materialise(found, "found")
-    classes = common.materialise(first.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("parity").alias("parity")), "classes")
-    pairs = _possible(found.filter("b IS NOT NULL").select("a", "b").distinct(), classes, num, den)
-    sets = _token_sets(texts, pairs, k)
-    # first each class with its nearest candidate, which links most of what is linked; then what is still apart
-    side = F.explode(F.array(F.struct(F.col("a").alias("s"), F.col("b").alias("t"), "d"), F.struct(F.col("b").alias("s"), F.col("a").alias("t"), "d"))).alias("p")
-    best = pairs.select(side).groupBy("p.s").agg(F.min(F.struct("p.d", "p.t")).alias("m")).select(F.least("s", "m.t").alias("a"), F.greatest("s", "m.t").alias("b")).distinct()
-    links = _links(best, sets, num, den)
-    comps = common.materialise(components(links), "components")
-    links = links.unionByName(_links(_apart(pairs, comps), sets, num, den))
-    comps = common.materialise(components(links), "components")
-    members = found.filter("key IS NOT NULL").select("key", "n", F.col("a").alias("sid")).distinct()
-    if not members.isEmpty():
-        more = common.materialise(_across(members, comps, classes, num, den), "pairs")
-        if not more.isEmpty():
-            links = links.unionByName(_links(more, _token_sets(texts, more, k), num, den))
-            comps = components(links)
+    high = risen.filter((F.col("bucket") >= 0) & (F.col("count") >= bar)).toArrow()  # at most half of the counters, 12 bytes each
+    ranks[np.asarray(high.column("bucket"))] = np.log2(np.asarray(high.column("count")) / bar).astype(np.uint8) + 1
+    index = texts.mapInArrow(lambda it: _index(it, k, num, den, ranks), "key long, n long, sid binary, often boolean")
+    # keys of frequent tokens are not looked at here, so their buckets need not be in one task
+    dealt = index.repartition("key", F.when(F.col("often"), F.pmod(F.xxhash64("sid"), F.lit(64))).otherwise(F.lit(0))).sortWithinPartitions("often", "key", "n", "sid")
+    found = scratch.put("found", dealt.mapInArrow(lambda it: _pairs(it, num, den, small), "a binary, b binary, key long"))
+    classes = scratch.put("classes", first.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("parity").alias("parity")))
+    pairs = scratch.put("pairs", _possible(found.filter("b IS NOT NULL").select("a", "b").distinct(), classes, num, den))
+    members = scratch.put("members", found.filter("key IS NOT NULL").select("key", F.col("a").alias("sid")).distinct())
+    scratch.drop("found")
+    groups = scratch.put("groups", _groups(members))
+    scratch.drop("members")
+    wanted = _wanted(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).unionByName(groups.select("sid")).unionByName(groups.select(F.col("ref").alias("sid"))))
+    sets = texts.mapInArrow(lambda it: _sets(it, k, wanted), "sid binary, tokens binary")
+    sets = scratch.put("sets", sets.groupBy("sid").agg(F.first("tokens").alias("tokens")))
+    links = scratch.put("linked", _links(pairs, sets, num, den))
+    scratch.drop("pairs")
+    if not groups.isEmpty():
+        for more in _group_links(groups, sets, num, den, ranks, small, scratch):
+            links = links.unionByName(more)
+    scratch.drop("sets")
+    comps = components(links, scratch)
     roots = classes.join(comps, classes["sid"] == comps["node"], "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
-    roots = common.materialise(roots, "roots")
+    roots = scratch.put("roots", roots)
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     roots = roots.select("sid", "root").join(least, "root")
+    rows = first.filter("bucket IS NULL").select("doc_id", "text_key", "sid", "n")
     out = rows.join(roots, "sid", "left")
     own = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "text_key", "sid", F.col("n").alias("n_shingles"), own.alias("component_id"), "root")
+    out = scratch.put("rows", out.select("doc_id", "text_key", "sid", F.col("n").alias("n_shingles"), own.alias("component_id"), "root"))
+    scratch.drop(*(name for name in list(scratch.paths) if name != "rows"))
+    return out
 
 
 def keep_one(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """docs with one row of each component, that of the smallest doc_id; rows without words all stay."""
-    near = common.materialise(near_duplicates(docs, k, similarity), "components")
+    near = near_duplicates(docs, k, similarity)
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("d"), F.col("text_key").alias("t"))).alias("m")
     chosen = near.filter("root IS NOT NULL").groupBy("root").agg(first).select("m.d", "m.t")
-    bare = near.filter("root IS NULL").select(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).distinct()
+    times = near.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).agg(F.count("*").alias("times"))
+    same = F.col("d").eqNullSafe(F.col("cd")) & (F.col("t") == F.col("ct"))
+    chosen = times.join(chosen.select(F.col("d").alias("cd"), F.col("t").alias("ct")), same, "left_semi").withColumn("once", F.lit(True))
+    bare = near.filter("root IS NULL").select(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).distinct().select("d", "t", F.lit(1).cast("long").alias("times"), F.lit(False).alias("once"))
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d0"), F.xxhash64(F.col("text").cast("string")).alias("t0"))
-    on = F.col("d0").eqNullSafe(F.col("d")) & (F.col("t0") == F.col("t"))
-    one = packed.join(chosen, on, "left_semi").dropDuplicates(["d0", "t0"])
-    return one.unionByName(packed.join(bare, on, "left_semi")).select("row.*")
+    kept = packed.join(chosen.unionByName(bare), F.col("d0").eqNullSafe(F.col("d")) & (F.col("t0") == F.col("t")))
+    # only rows that repeat with their id and text need another look
+    one = kept.filter("once AND times > 1").dropDuplicates(["d0", "t0"])
+    return kept.filter("NOT once OR times = 1").unionByName(one).select("row.*")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,13 +29,14 @@ def brute(rows, k, num, den):
     return sorted(((r[0] is not None, r[0] or 0, len(s), -1 if least[root(i)] is None else least[root(i)]) for i, (r, s) in enumerate(zip(rows, sets))))
 
 
-@pytest.mark.parametrize("small,long_set,similarity", [(8, 2000, (90, 100)), (2, 2000, (80, 100)), (3, 20, (90, 100))])
-def test_components_equal_brute_force(docs, rows, monkeypatch, small, long_set, similarity):
-    monkeypatch.setattr(jaccard_join, "SMALL_BUCKET", small)
-    monkeypatch.setattr(jaccard_join, "LONG_SET", long_set)
+def got(df):
+    return sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["n_shingles"], r["component_id"] if r["component_id"] is not None else -1) for r in df.collect()))
+
+
+@pytest.mark.parametrize("small,similarity", [(8, (90, 100)), (2, (80, 100)), (3, (90, 100))])
+def test_components_equal_brute_force(docs, rows, monkeypatch, small, similarity):
     monkeypatch.setattr(jaccard_join, "LEAST_FREQUENT", 3)
-    got = jaccard_join.near_duplicates(docs, 3, similarity).collect()
-    assert sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["n_shingles"], r["component_id"] if r["component_id"] is not None else -1) for r in got)) == brute(rows, 3, *similarity)
+    assert got(jaccard_join.near_duplicates(docs, 3, similarity, small)) == brute(rows, 3, *similarity)
 
 
 def test_one_of_each_group_stays(wide, rows, empty):
