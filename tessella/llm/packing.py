@@ -22,25 +22,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import encoder, tokenizer_path
+from .tokens import encoder, parts, tokenizer_path
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, window: int) -> Iterator[pa.RecordBatch]:
     enc = encoder(path)
-    end = np.array([end_id], enc.dtype).tobytes()
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
     for batch in batches:
-        keys, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-        rows: list[tuple] = []
-        for i in range(0, len(keys), 32):
-            for key, raw in zip(keys[i : i + 32], enc.batch(texts.slice(i, 32).to_pylist())):
-                ids = np.frombuffer(raw + end, enc.dtype).astype("<u4")
-                for start in range(0, len(ids), window):
-                    piece = ids[start : start + window]
-                    rows.append((key, start, len(piece), zlib.crc32(piece), len(ids)))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        for texts in parts(batch, "text"):
+            ids, begin = enc.encode(texts.column("text"))
+            begin = begin.tolist()
+            rows: list[tuple] = []
+            for key, a, b in zip(texts.column("doc_id").to_pylist(), begin, begin[1:]):
+                own = np.full(b - a + 1, end_id, "<u4")
+                own[:-1] = ids[a:b]
+                for start in range(0, len(own), window):
+                    piece = own[start : start + window]
+                    rows.append((key, start, len(piece), zlib.crc32(piece), len(own)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
 
 def shortest_pack_first(histogram: dict[int, int], window: int) -> list[tuple[int, tuple[int, ...]]]:

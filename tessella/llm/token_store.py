@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import encoder, tokenizer_path
+from .tokens import encoder, parts, tokenizer_path
 
 FIELDS = "part int, shard long, first long, n_tokens long, doc_ids array<long>, lengths array<int>, width int, vocab int, symbols binary, rules binary, expansions binary"
 _BITS = 16
@@ -156,36 +156,47 @@ class Shard:
 
 
 def _shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_tokens: int, rounds: int | None) -> Iterator[pa.RecordBatch]:
-    enc, schema = encoder(path), None
-    end = np.array([end_id], enc.dtype).tobytes()
-    part, size = TaskContext.get().partitionId(), enc.dtype.itemsize
+    enc = encoder(path)
+    part = TaskContext.get().partitionId()
     shard = first = held = 0
-    ids: list[bytes] = []
+    ids: list[np.ndarray] = []
+    lengths: list[np.ndarray] = []
     docs: list[int | None] = []
 
     def close() -> pa.RecordBatch:
-        seq = np.frombuffer(b"".join(ids), enc.dtype)
-        symbols, rules = repair(seq, enc.vocab, rounds)
+        symbols, rules = repair(np.concatenate(ids), enc.vocab, rounds)
         width = 2 if enc.vocab + len(rules) <= 0xFFFF else 4
         return pa.RecordBatch.from_pydict(
             {
-                "part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int64()), "first": pa.array([first], pa.int64()), "n_tokens": pa.array([len(seq)], pa.int64()),
-                "doc_ids": pa.array([docs], pa.list_(pa.int64())), "lengths": pa.array([[len(x) // size for x in ids]], pa.list_(pa.int32())), "width": pa.array([width], pa.int32()), "vocab": pa.array([enc.vocab], pa.int32()),
+                "part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int64()), "first": pa.array([first], pa.int64()), "n_tokens": pa.array([held], pa.int64()),
+                "doc_ids": pa.array([docs], pa.list_(pa.int64())), "lengths": pa.array([np.concatenate(lengths)], pa.list_(pa.int32())), "width": pa.array([width], pa.int32()), "vocab": pa.array([enc.vocab], pa.int32()),
                 "symbols": pa.array([symbols.astype(f"<u{width}").tobytes()], pa.binary()), "rules": pa.array([rules.astype("<u4").tobytes()], pa.binary()),
                 "expansions": pa.array([expansion_lengths(rules, enc.vocab).astype("<u4").tobytes()], pa.binary()),
             }
         )
 
     for batch in batches:
-        keys, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-        for i in range(0, len(keys), 32):
-            for key, raw in zip(keys[i : i + 32], enc.batch(texts.slice(i, 32).to_pylist())):
-                ids.append(raw + end)
-                docs.append(key)
-                held += len(raw) // size + 1
+        for texts in parts(batch, "text"):
+            keys = texts.column("doc_id").to_pylist()
+            bare, begin = enc.encode(texts.column("text"))
+            size = np.diff(begin) + 1
+            ends = np.cumsum(size)
+            seq = np.full(int(ends[-1]), end_id, enc.dtype)
+            own = np.ones(len(seq), bool)
+            own[ends - 1] = False
+            seq[own] = bare
+            at = 0
+            while at < len(keys):  # up to the document that fills the shard
+                done = int(ends[at - 1]) if at else 0
+                to = min(int(np.searchsorted(ends, done + shard_tokens - held)) + 1, len(keys))
+                ids.append(seq[done : ends[to - 1]])
+                lengths.append(size[at:to].astype(np.int32))
+                docs += keys[at:to]
+                held += int(ends[to - 1]) - done
+                at = to
                 if held >= shard_tokens:
                     yield close()
-                    shard, first, held, ids, docs = shard + 1, first + held, 0, [], []
+                    shard, first, held, ids, lengths, docs = shard + 1, first + held, 0, [], [], []
     if docs:
         yield close()
 
