@@ -11,15 +11,17 @@ come between them. So a class indexes its rare prefix tokens singly and, where f
 the combinations of two neighbours of its extended frequent prefix: their number grows with the prefix, not with its square.
 (Where sharing u + 2 tokens isn't certain, as in the smallest sets, frequent prefix tokens are indexed singly too.)
 
-Buckets of single tokens are read as a sorted stream; those of up to SMALL_BUCKET classes give pairs of fitting lengths,
-which are dropped by parities or verified. Larger ones, and those of combinations, become groups: each has a reference, the
-member that is in most such buckets, and each member its difference from the reference. For two members,
-|X xor Y| = |dX xor dY|, so a link needs 2 |dX and dY| >= e(X) + e(Y), where e = |d| - n (1 - t) / (1 + t). Members
-with e(X) + e(reference) <= 0 are linked with the reference, and two members with e(X) + e(Y) <= 0 are both among
-these. All others must share tokens of their *differences*: the same keys are taken of those, buckets in which no
-two members can share enough are dropped by their extremes of e and of what can still be shared, small ones give pairs,
-and large ones are groups of their own reference again. So neither near copies nor common passages are paired with each other
-inside a group, and no link between components is lost.
+Buckets of single tokens are read as a stream sorted by size; a class that has fewer than SMALL_BUCKET classes of fitting
+sizes before it is paired with them, and pairs are dropped by costs and parities or verified. Denser stretches, and
+buckets of combinations, become groups: each has a reference, the member that is in most such buckets, and each member its
+difference from the reference. For two members |X xor Y| = |dX xor dY|, so a link needs 2 |dX and dY| >= e(X) + e(Y), where
+e = |d| - n (1 - t) / (1 + t). Members with e(X) + e(reference) <= 0 are linked with the reference, and two members
+with e(X) + e(Y) <= 0 are both among these. All others must share tokens of their *differences*, and the same keys are taken of
+those. A member that is further from the reference than from nothing (they share a passage, say) is indexed under longer
+combinations of its own tokens: of (u + 1)(k - 1) + 1 shared tokens some k stand side by side in both orders, and a chance
+share of k neighbours falls as a power of k. Of these buckets, those in which no two members can share enough are dropped by
+their extremes of e and of what can still be shared, small ones give pairs, and large ones are groups again, now about the
+member of least e, whose difference is what all of them have in common and not much more. So neither near copies nor common passages are paired with each other inside a group, and no link between components is lost.
 
 Defined results: null, empty and blank texts have an empty set, n_shingles 0, and are linked with nothing (component_id is
 their own doc_id); null doc_ids never lend a component its id, unless it has no other; equal rows stay rows of their own
@@ -28,6 +30,7 @@ and share a class; very long texts are sets like others; an empty table gives no
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,9 +49,9 @@ from .shingles import parity, parity_distance, shingle_sets
 SKETCH_BITS, LOCAL, FREQUENT, LEAST_FREQUENT = 22, 3, 2, 32
 #: A key row packs the set's size and the key's cost (tokens before it that would not be shared) into one number.
 _COST = 24
-SMALL_BUCKET = 8
-#: Groups within groups; what is left beyond them is paired inside its buckets.
-LEVELS = 6
+SMALL_BUCKET = 24
+#: Groups within groups. In the buckets of the last ones all pairs that can share enough are verified.
+LEVELS = 2
 
 
 def set_key(tokens: np.ndarray) -> bytes:
@@ -124,6 +127,22 @@ def prefix_keys(tokens: np.ndarray, ranks: np.ndarray, least: int, apart: int) -
     return np.concatenate(keys), np.concatenate(costs), np.concatenate(combined)
 
 
+def run_keys(tokens: np.ndarray, ranks: np.ndarray, least: int, apart: int, k: int) -> np.ndarray:
+    """Keys of k neighbouring tokens of the extended prefix; where not so many need stand side by side, of fewer too."""
+    ordered = tokens[np.lexsort((tokens, ranks[_counter(tokens)]))]
+    sure = min((least - 1) // (apart + 1) + 1, k)
+    keys = []
+    for m in range(sure, k + 1):
+        head = ordered[: (apart + 1) * (m - 1) + 1 + len(tokens) - least]
+        if len(head) < m:
+            break
+        h = _mix(head[: len(head) - m + 1] + np.uint64(m))
+        for j in range(1, m):
+            h = _mix(h * np.uint64(0xD6E8FEB86659FD93) + head[j : len(head) - m + 1 + j])
+        keys.append(h)
+    return np.concatenate(keys) if keys else tokens[:0]
+
+
 def _index(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
     seen: set[bytes] = set()  # a class's keys once for each task
     for batch in batches:
@@ -158,19 +177,11 @@ def _keys(rows: list[tuple]) -> pa.RecordBatch:
 def _pairs(batches: Iterator[pa.RecordBatch], num: int, den: int, small: int) -> Iterator[pa.RecordBatch]:
     """Of a stream sorted by often, key, n, sid: pairs to verify (key null), and members (b null) of groups.
 
-    Only the first members of a bucket and its last one are kept in memory; keys marked ``often`` are passed on.
+    Only the last ``small`` members of a bucket are kept in memory; keys marked ``often`` are passed on.
     """
     mask = (1 << _COST) - 1
-
-    def fits(x: int, y: int) -> bool:
-        """x is not the larger one."""
-        n, m = x >> _COST, y >> _COST
-        return n * den >= m * num and ((x & mask) + (y & mask)) * (den + num) <= (n + m) * (den - num)
-
-    key = None
-    head: list[tuple[int, bytes]] = []  # the first ``small`` members
-    last: tuple[int, bytes] | None = None
-    size = 0
+    key, last, dense, stretch = None, None, False, 0
+    before: deque[tuple[int, bytes]] = deque(maxlen=small)
     rows: list[tuple] = []
     for batch in batches:
         often = np.asarray(batch.column("often").cast(pa.int8())).astype(bool)
@@ -189,34 +200,37 @@ def _pairs(batches: Iterator[pa.RecordBatch], num: int, den: int, small: int) ->
         many[0] = many[-1] = True  # their buckets can go on in another batch
         at = np.flatnonzero(many)
         ns, sids = np.asarray(batch.column("n"))[at].tolist(), batch.column("sid").take(pa.array(at)).to_pylist()
-        for kk, n, sid in zip(ks[at].tolist(), ns, sids):
+        for kk, y, sid in zip(ks[at].tolist(), ns, sids):
             if kk != key:
-                if size <= small:
-                    rows += _all_pairs(head, fits)
-                key, head, last, size = kk, [(n, sid)], (n, sid), 1
-                continue
-            if last == (n, sid):
+                key, last, dense, stretch = kk, None, False, 0
+                before.clear()
+            if last == (y, sid):
                 continue
-            last = (n, sid)
-            size += 1
-            if size <= small:
-                head.append(last)
+            last = (y, sid)
+            n, cost = y >> _COST, y & mask
+            if len(before) == small and (before[0][0] >> _COST) * den >= n * num:
+                if not dense:
+                    stretch += 1
+                    group = _signed(key * 0x9E3779B97F4A7C15 + stretch)
+                    rows += [(s, None, group) for _, s in before]
+                    dense = True
+                rows.append((sid, None, group))
             else:
-                if size == small + 1:
-                    rows += [(s, None, key) for _, s in head]
-                rows.append((sid, None, key))
+                dense = False
+                for x, s in before:
+                    m = x >> _COST
+                    if m * den >= n * num and ((x & mask) + cost) * (den + num) <= (n + m) * (den - num):
+                        rows.append((min(s, sid), max(s, sid), None))
+            before.append(last)
         if len(rows) > 50_000:
             yield _pair_rows(rows)
             rows = []
-    if size <= small:
-        rows += _all_pairs(head, fits)
     if rows:
         yield _pair_rows(rows)
 
 
-def _all_pairs(head: list[tuple[int, bytes]], fits) -> list[tuple]:
-    """The pairs of a small bucket's members, in order of size."""
-    return [(min(s, t), max(s, t), None) for j, (m, t) in enumerate(head) for n, s in head[:j] if s != t and fits(n, m)]
+def _signed(x: int) -> int:
+    return ((x + (1 << 63)) & ((1 << 64) - 1)) - (1 << 63)
 
 
 def _pair_rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -241,9 +255,8 @@ def _possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataF
 
 
 def _groups(members: DataFrame) -> DataFrame:
-    """ref, sid: for each key of members(key, sid) with several, all others with the one that is in most buckets."""
-    load = members.groupBy("sid").count().withColumnRenamed("count", "load")
-    refs = members.join(load, "sid").groupBy("key").agg(F.count("*").alias("size"), F.max_by("sid", F.struct("load", "sid")).alias("ref"))
+    """ref, sid: for each key of members(key, sid, e) with several, all others with the one of the least e."""
+    refs = members.groupBy("key").agg(F.count("*").alias("size"), F.min_by("sid", F.struct("e", "sid")).alias("ref"))
     return members.join(refs.filter("size > 1").select("key", "ref"), "key").filter("sid <> ref").select("ref", "sid").distinct()
 
 
@@ -311,41 +324,47 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 _DIFFERENCE = "ref binary, sid binary, key long, e long, f long, far boolean"
 
 
-def _differences(batches: Iterator[pa.RecordBatch], num: int, den: int, ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """For each (ref, sid): a row without key, ``far`` unless linked; then the keys of the set's difference from the reference's.
+def _differences(batches: Iterator[pa.RecordBatch], num: int, den: int, ranks: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """For each (ref, sid), with their tokens x and y: a row without key, ``far`` unless they are linked; then sid's keys.
 
-    e and f are in units of 1 / (den + num): two members can be linked only if the e of each is at most the other's f.
+    Keys are of its difference from the reference's tokens if that is no larger than the set, else of k of its own tokens; of
+    both, if a class linked with it could be on the other side. e and f are in units of 1 / (den + num): two classes can be
+    linked only if the e of each is at most the other's f.
     """
     unit = den + num
+    own = None
     for batch in batches:
         rows: list[tuple] = []
         for ref, sid, x, y in zip(*(batch.column(c).to_pylist() for c in ("ref", "sid", "x", "y"))):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            d = np.setxor1d(x, y, assume_unique=True)
-            e, e_ref = unit * len(d) - (den - num) * len(x), -(den - num) * len(y)
+            n, d = len(y), np.setxor1d(x, y, assume_unique=True)
+            e, e_ref = unit * len(d) - (den - num) * n, -(den - num) * len(x)
             far = e + e_ref > 0
-            apart = most_apart(len(x), num, den)
-            # a partner's e is e_ref at least, and above -e_ref where one of the two has to be far
-            least = max(1, len(d) - apart, -((-e - e_ref if far else e_ref - e - 1) // (2 * unit)))
-            keys, costs, _ = prefix_keys(d, ranks, least, apart)
-            keys = _mix(keys ^ _mix(np.frombuffer(ref[:8], np.uint64)))
-            rows.append((ref, sid, keys, e, 2 * unit * (len(d) - costs) - e, far))
+            apart = most_apart(n, num, den)
+            rows.append((ref, sid, np.zeros(1, np.uint64), e, np.zeros(1, np.int64), far, True))
+            if len(d) <= n:
+                # a partner's e is e_ref at least, and above -e_ref where one of the two has to be far
+                least = max(1, len(d) - apart, -((-e - e_ref if far else e_ref - e - 1) // (2 * unit)))
+                keys, costs, _ = prefix_keys(d, ranks, least, apart)
+                rows.append((ref, sid, _mix(keys ^ _mix(np.frombuffer(ref[:8], np.uint64))), e, 2 * unit * (len(d) - costs) - e, far, False))
+            if (len(d) + apart) * den > num * n and sid != own:
+                own = sid  # of several references one is enough
+                keys = run_keys(y, ranks, _needed(n, num, den), apart, k)
+                rows.append((ref, sid, keys, 2 * num * n, np.full(len(keys), 2 * den * n), True, False))
         if rows:
-            at = pa.array(np.repeat(np.arange(len(rows)), [len(r[2]) + 1 for r in rows]))
-            null = np.concatenate([np.arange(len(r[2]) + 1) == 0 for r in rows])
-            keys = np.concatenate([np.concatenate(([np.uint64(0)], r[2])) for r in rows]).view(np.int64)
-            f = np.concatenate([np.concatenate(([0], r[4])) for r in rows]).astype(np.int64)
+            at = pa.array(np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows]))
             take = lambda i, t: pa.array([r[i] for r in rows], t).take(at)
-            columns = [take(0, pa.binary()), take(1, pa.binary()), pa.array(keys, mask=null), take(3, pa.int64()), pa.array(f), take(5, pa.bool_())]
+            keys = pa.array(np.concatenate([r[2] for r in rows]).view(np.int64), mask=np.repeat([r[6] for r in rows], [len(r[2]) for r in rows]))
+            columns = [take(0, pa.binary()), take(1, pa.binary()), keys, take(3, pa.int64()), pa.array(np.concatenate([r[4] for r in rows]).astype(np.int64)), take(5, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=["ref", "sid", "key", "e", "f", "far"])
 
 
-def _group_links(groups: DataFrame, sets: DataFrame, num: int, den: int, ranks: np.ndarray, small: int, scratch: common.Scratch) -> list[DataFrame]:
+def _group_links(groups: DataFrame, classes: DataFrame, sets: DataFrame, num: int, den: int, ranks: np.ndarray, small: int, scratch: common.Scratch) -> list[DataFrame]:
     """Links(u, v) that connect what is connected inside the groups(ref, sid)."""
     found = []
     for level in range(LEVELS):
         name = f"differences_{level}"
-        rows = scratch.put(name, _with_sets(groups, sets, "sid", "ref").mapInArrow(lambda it: _differences(it, num, den, ranks), _DIFFERENCE))
+        rows = scratch.put(name, _with_sets(groups, sets, "ref", "sid").mapInArrow(lambda it, k=level + 3: _differences(it, num, den, ranks, k), _DIFFERENCE))
         found.append(scratch.put(f"near_{level}", rows.filter("key IS NULL AND NOT far").select(F.col("ref").alias("u"), F.col("sid").alias("v"))))
         keyed = rows.filter("key IS NOT NULL").select("key", "sid", "e", "f", "far")
         far = F.col("far")
@@ -360,8 +379,8 @@ def _group_links(groups: DataFrame, sets: DataFrame, num: int, den: int, ranks:
         few = left.join(paired.select("key"), "key")
         x, y = (few.select("key", *(F.col(c).alias(c + i) for c in ("sid", "e", "f", "far"))) for i in ("1", "2"))
         pairs = x.join(y, "key").filter("sid1 < sid2 AND (far1 OR far2) AND e1 <= f2 AND e2 <= f1").select(F.col("sid1").alias("a"), F.col("sid2").alias("b")).distinct()
-        found.append(scratch.put(f"met_{level}", _links(pairs, sets, num, den)))
-        large = left.join(sizes.filter(F.col("size") > small).select("key"), "key").select("key", "sid").distinct()
+        found.append(scratch.put(f"met_{level}", _links(_possible(pairs, classes, num, den), sets, num, den)))
+        large = left.join(sizes.filter(F.col("size") > small).select("key"), "key").groupBy("key", "sid").agg(F.min("e").alias("e"))
         if level == LEVELS - 1:
             break
         large = scratch.put(f"large_{level}", large)
@@ -395,7 +414,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, similarity: tuple[int, int] = (
     pairs = scratch.put("pairs", _possible(found.filter("b IS NOT NULL").select("a", "b").distinct(), classes, num, den))
     members = scratch.put("members", found.filter("key IS NOT NULL").select("key", F.col("a").alias("sid")).distinct())
     scratch.drop("found")
-    groups = scratch.put("groups", _groups(members))
+    # the member that is in most buckets is likely to be what the others are copies of
+    load = members.groupBy("sid").agg((-F.count("*")).alias("e"))
+    groups = scratch.put("groups", _groups(members.join(load, "sid")))
     scratch.drop("members")
     wanted = _wanted(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).unionByName(groups.select("sid")).unionByName(groups.select(F.col("ref").alias("sid"))))
     sets = texts.mapInArrow(lambda it: _sets(it, k, wanted), "sid binary, tokens binary")
@@ -403,7 +424,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, similarity: tuple[int, int] = (
     links = scratch.put("linked", _links(pairs, sets, num, den))
     scratch.drop("pairs")
     if not groups.isEmpty():
-        for more in _group_links(groups, sets, num, den, ranks, small, scratch):
+        for more in _group_links(groups, classes, sets, num, den, ranks, small, scratch):
             links = links.unionByName(more)
     scratch.drop("sets")
     comps = components(links, scratch)

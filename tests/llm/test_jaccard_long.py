@@ -32,6 +32,9 @@ def test_linked_sets_share_a_key(similarity):
         seen += 1
         keys = [set(jaccard_join.prefix_keys(s, ranks, jaccard_join._needed(len(s), num, den), jaccard_join.most_apart(len(s), num, den))[0].tolist()) for s in (x, y)]
         assert keys[0] & keys[1]
+        for k in (2, 3, 5, 8):  # or neighbouring tokens
+            keys = [set(jaccard_join.run_keys(s, ranks, jaccard_join._needed(len(s), num, den), jaccard_join.most_apart(len(s), num, den), k).tolist()) for s in (x, y)]
+            assert keys[0] & keys[1]
         # differences from a reference: linked with it, or linked through it, or they share a key that leaves the link possible
         ref = edited(rng.integers(0, 3))
         unit, found = den + num, []
