@@ -44,3 +44,29 @@ def test_many_small_sources_take_nothing_from_a_large_one(spark):
     con.register("documents", d.toArrow())
     want = con.sql(f"SELECT doc_id, taken FROM ({mixing.ORACLE_SQL}) q").fetchall()
     assert sorted((r["doc_id"], r["taken"]) for r in mixing.mix(d).collect()) == sorted(want)
+
+
+def test_tiny_sources_keep_their_targets(spark):
+    rows = [(i, f"a{i} b c", f"s{i:04}") for i in range(1500)] + [(5000, " ".join(f"w{j}" for j in range(40_000)), "t"), (5001, None, "t"), (5001, None, "t"), (None, "a b", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(d).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert r["taken"] <= 2 * r["size"]
+    assert all(abs(taken[k] - v) <= 1 for k, v in target.items())
+    assert sorted((r["doc_id"] or 0, r["taken"]) for r in mixing.mix(d.repartition(7)).collect()) == sorted((r["doc_id"] or 0, r["taken"]) for r in got)
+
+
+def test_mixed_rows_hold_the_words_taken(spark, wide):
+    want = Counter()
+    for r in mixing.mix(wide).collect():
+        want[r["doc_id"]] += r["taken"]
+    have = Counter()
+    rows = mixing.apply_mix(wide)
+    assert rows.columns == wide.columns
+    for r in rows.collect():
+        have[r["doc_id"]] += len((r["text"] or "").encode().split())
+        assert r["n_chars"] == len(r["text"])
+    assert {k: v for k, v in want.items() if v} == dict(have)
