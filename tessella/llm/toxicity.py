@@ -167,11 +167,12 @@ class Model:
 def _terms(sample: DataFrame, most_terms: int) -> DataFrame:
     """Words and word beginnings that toxic documents of the sample hold much more often than the others."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)[^\W\d_]+"), F.lit(0)))
-    d = sample.select("label", words.alias("w"))
-    start = lambda k: F.transform(F.filter("w", lambda x: F.length(x) >= k), lambda x: F.struct(F.lit(k).alias("kind"), F.substring(x, 1, k).alias("term")))
-    starts = [start(k) for k in STARTS]
-    terms = F.array_distinct(F.concat(F.transform("w", lambda x: F.struct(F.lit(0).alias("kind"), x.alias("term"))), *starts))
-    t = d.select("label", F.explode(terms).alias("t")).groupBy("t.kind", "t.term").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+    d = sample.repartition(64, "doc_id").select("label", words.alias("w"))
+    # strings, unlike structs, are made distinct by hashing
+    start = lambda k: F.array_distinct(F.transform(F.filter("w", lambda x: F.length(x) >= k), lambda x: F.concat(F.lit(str(k)), F.substring(x, 1, k))))
+    terms = F.concat(F.transform("w", lambda x: F.concat(F.lit("0"), x)), *(start(k) for k in STARTS))
+    t = d.select("label", F.explode(terms).alias("t")).groupBy("t").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+    t = t.select(F.substring("t", 1, 1).cast("int").alias("kind"), F.expr("substring(t, 2)").alias("term"), "toxic", "clean")
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n1, n0 = max(sizes.get(1, 0), 1), max(sizes.get(0, 0), 1)
     p, k, m = n1 / (n1 + n0), F.col("toxic"), F.col("clean")
@@ -212,23 +213,32 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
         for i in range(0, batch.num_rows, 500):
             part = batch.slice(i, 500)
             y = model.scores(part.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(y, pa.float64())], names=[*part.schema.names, "__toxicity"])
+            kept = [c for c in part.schema.names if c != "text"]  # texts don't come back
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(y, pa.float64())], names=[*kept, "__toxicity"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with the column __toxicity."""
-    schema = StructType([*docs.schema.fields, StructField("__toxicity", DoubleType())])
+    """The other columns of docs(text, ...) with the column __toxicity."""
+    schema = StructType([*(f for f in docs.schema.fields if f.name != "text"), StructField("__toxicity", DoubleType())])
     return docs.mapInArrow(lambda it: _score(it, model), schema)
 
 
+def _mild(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 500):
+            part = batch.slice(i, 500)
+            texts = part.column(0).field("text").cast(pa.string()).to_pylist()
+            yield part.filter(pa.array(model.scores(texts) < threshold))
+
+
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of docs with a lower score, with the columns of docs, which may have any names."""
-    packed = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    return score(packed, model).filter(F.col("__toxicity") < threshold).select("row.*")
+    packed = docs.select(F.struct("*").alias("row"))
+    return packed.mapInArrow(lambda it: _mild(it, model, threshold), packed.schema).select("row.*")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text", (common.crc_mod("doc_id", 5) == 0).alias("held_out"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(common.crc_mod("doc_id", 5) != 0)
-    scored = score(docs, learn(docs.filter("NOT held_out").drop("held_out"), labels)).drop("text")
+    scored = score(docs, learn(docs.filter("NOT held_out").drop("held_out"), labels))
     return scored.select("doc_id", "held_out", F.col("__toxicity").alias("score"), (F.col("__toxicity") >= 0.5).cast("int").alias("predicted"))
