@@ -1,11 +1,14 @@
 """Operator 2: media columns in archive directories, read and written by a custom Spark data source.
 
 Writing (format "tessella_media"): each task streams its rows into a tar archive of its own, one member a row, with an
-index beside it (Arrow IPC: offset, size, crc32 and key of each member). Commit publishes a manifest naming the archives
-of the tasks that won; archives of lost attempts are never in it, and abort removes those it knows of.
-
-Reading: the driver plans byte ranges over the archives from their sizes alone (``range_bytes``); a task opens the range's
-archive, takes the members that begin in it, streams them through one buffered read, checks each one's crc32, and
+index beside it (Arrow IPC: offset, size, crc32 and key of each member, a record batch for each 16 MB of the archive). Commit
+publishes a manifest of its own naming the archives of the tasks that won; archives of lost attempts are never in one,
+and abort removes those it knows of. So writing into a folder that exists adds to it; with mode "overwrite" the earlier
+manifests and their archives go once the new manifest is there.
+
+Reading: the driver plans byte ranges over the archives of all manifests from their sizes and their index batches' first
+offsets (``range_bytes``); a task opens the range's archive, reads the index batches that it needs and no others, takes the
+members that begin in the range, streams them through one buffered read, checks each one's crc32, and
 reads a member that fails again by its own offset, up to ``retries`` times, without giving up the rest of the range. Batches
 go to Spark as Arrow and are closed at ``batch_bytes``. A member that stays unreadable is a row with ``error`` and no
 media.
@@ -14,7 +17,8 @@ The store is reached through pyarrow.fs by the archive folder's URI, so it can b
 
 The payload of a text: its UTF-8, filled with bytes 0 up to a positive multiple of 64, as the rows of a greyscale PNG that
 is 64 samples of 8 bits wide. Defined results: null and empty texts have a payload of 64 bytes 0; null doc_ids stay null;
-equal rows are members of their own; an empty table gives an archive folder without members; other columns are ignored.
+equal rows are members of their own; an empty table gives an archive folder without members; other columns are ignored; a
+member that can't be read is a row with its key and ``error`` (null for all others), and null in the other columns.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ import tarfile
 import time
 import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -105,6 +110,8 @@ class _Range(InputPartition):
     index: str
     start: int
     stop: int
+    first: int
+    last: int
 
 
 @dataclass
@@ -116,47 +123,75 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+_INDEX = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("crc", pa.int64())])
+_INDEX_BYTES = 16 << 20
+
+
+def _manifests(store: fs.FileSystem, root: str) -> dict[str, list[dict]]:
+    """The archives of each manifest, by the manifest's path."""
+    out = {}
+    for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if info.base_name.startswith("_manifest-"):
+            with store.open_input_stream(info.path) as f:
+                out[info.path] = json.loads(f.read())
+    return out
+
+
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, uri: str):
-        self.uri = uri
+    def __init__(self, uri: str, overwrite: bool, index_bytes: int = _INDEX_BYTES):
+        self.uri, self.overwrite, self.index_bytes = uri, overwrite, index_bytes
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         store, root = _store(self.uri)
         store.create_dir(root, recursive=True)
         name = uuid.uuid4().hex
-        keys, offsets, sizes, crcs = [], [], [], []
-        at = 0
-        with store.open_output_stream(f"{root}/{name}.tar") as out:
+        rows: list[tuple] = []
+        starts: list[int] = []
+        at = n = begun = 0
+        with store.open_output_stream(f"{root}/{name}.tar") as out, store.open_output_stream(f"{root}/{name}.idx") as idx, pa.ipc.new_file(idx, _INDEX) as index:
+
+            def close() -> None:
+                starts.append(rows[0][1])
+                index.write_batch(pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], schema=_INDEX))
+
             for batch in iterator:
                 for key, media in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist()):
-                    info = tarfile.TarInfo(f"{'none' if key is None else key}-{len(keys)}.png")
+                    info = tarfile.TarInfo(f"{'none' if key is None else key}-{n}.png")
                     info.size = len(media)
                     head = info.tobuf(tarfile.USTAR_FORMAT)
                     out.write(head)
                     out.write(media)
                     out.write(b"\0" * (-len(media) % 512))
-                    keys.append(key)
-                    offsets.append(at + len(head))
-                    sizes.append(len(media))
-                    crcs.append(zlib.crc32(media))
+                    rows.append((key, at + len(head), len(media), zlib.crc32(media)))
+                    n += 1
                     at += len(head) + len(media) + -len(media) % 512
+                    if at - begun >= self.index_bytes:
+                        close()
+                        rows, begun = [], at
+            if rows:
+                close()
             out.write(b"\0" * 1024)
-        index = pa.table({"doc_id": pa.array(keys, pa.int64()), "offset": pa.array(offsets, pa.int64()), "size": pa.array(sizes, pa.int64()), "crc": pa.array(crcs, pa.int64())})
-        with store.open_output_stream(f"{root}/{name}.idx") as out, pa.ipc.new_file(out, index.schema) as w:
-            w.write_table(index)
-        return _Written([{"archive": f"{name}.tar", "index": f"{name}.idx", "bytes": at}])
+        return _Written([{"archive": f"{name}.tar", "index": f"{name}.idx", "bytes": at, "starts": starts}])
 
     def commit(self, messages: list) -> None:
         store, root = _store(self.uri)
         store.create_dir(root, recursive=True)
+        earlier = _manifests(store, root) if self.overwrite else {}
         files = sorted((f for m in messages if m for f in m.files), key=lambda f: f["archive"])
-        with store.open_output_stream(f"{root}/_part") as out:
+        name = uuid.uuid4().hex
+        with store.open_output_stream(f"{root}/_part-{name}") as out:
             out.write(json.dumps(files).encode())
-        store.move(f"{root}/_part", f"{root}/_manifest")
+        store.move(f"{root}/_part-{name}", f"{root}/_manifest-{name}")
+        for path in earlier:
+            store.delete_file(path)
+        self._remove(store, root, [f for files in earlier.values() for f in files])
 
     def abort(self, messages: list) -> None:
         store, root = _store(self.uri)
-        for f in (f for m in messages if m for f in m.files):
+        self._remove(store, root, [f for m in messages if m for f in m.files])
+
+    def _remove(self, store: fs.FileSystem, root: str, files: list[dict]) -> None:
+        for f in files:
             for name in (f["archive"], f["index"]):
                 store.delete_file(f"{root}/{name}")
 
@@ -170,10 +205,16 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[_Range]:
         store, root = _store(self.uri)
-        with store.open_input_stream(f"{root}/_manifest") as f:
-            files = json.loads(f.read())
-        out = [_Range(f["archive"], f["index"], at, min(at + self.range_bytes, f["bytes"])) for f in files for at in range(0, f["bytes"], self.range_bytes)]
-        return out or [_Range("", "", 0, 0)]
+        manifests = _manifests(store, root)
+        if not manifests:
+            raise FileNotFoundError(f"no media archive at {self.uri}")
+        out = []
+        for f in (f for files in manifests.values() for f in files):
+            starts = f["starts"]
+            for at in range(0, f["bytes"], self.range_bytes):
+                stop = min(at + self.range_bytes, f["bytes"])
+                out.append(_Range(f["archive"], f["index"], at, stop, max(bisect_right(starts, at) - 1, 0), bisect_left(starts, stop)))
+        return out or [_Range("", "", 0, 0, 0, 0)]
 
     def member(self, store: fs.FileSystem, path: str, offset: int, size: int, crc: int) -> tuple[bytes | None, str | None]:
         """One member by its offset, tried again on its own."""
@@ -195,7 +236,8 @@ class _Reader(DataSourceReader):
             return
         store, root = _store(self.uri)
         with store.open_input_file(f"{root}/{partition.index}") as f:
-            index = pa.ipc.open_file(f).read_all()
+            batches = pa.ipc.open_file(f)
+            index = pa.Table.from_batches([batches.get_batch(i) for i in range(partition.first, partition.last)], _INDEX)
         offset = index.column("offset").to_numpy()
         mine = index.take(pa.array(np.flatnonzero((offset >= partition.start) & (offset < partition.stop))))
         path = f"{root}/{partition.archive}"
@@ -229,7 +271,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class MediaArchive(DataSource):
-    """spark.read / df.write with format "tessella_media"; options path, range_bytes, batch_bytes, retries."""
+    """spark.read / df.write with format "tessella_media"; options path, range_bytes, batch_bytes, retries, and to write index_bytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -242,7 +284,7 @@ class MediaArchive(DataSource):
         return _Reader(self.options)
 
     def writer(self, schema: object, overwrite: bool) -> _Writer:
-        return _Writer(self.options["path"])
+        return _Writer(self.options["path"], overwrite, int(self.options.get("index_bytes", _INDEX_BYTES)))
 
 
 def _store_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,11 +318,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
-def write_media(docs: DataFrame, path: str) -> None:
+def write_media(docs: DataFrame, path: str, mode: str = "append", **options: object) -> None:
     """Store the texts of docs(doc_id, text) as images in an archive folder at path (a URI)."""
     docs.sparkSession.dataSource.register(MediaArchive)
     members = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_store_texts, MEMBERS)
-    members.write.format(MediaArchive.name()).mode("append").save(path)
+    members.write.format(MediaArchive.name()).mode(mode).options(**options).save(path)
 
 
 def read_media(spark: SparkSession, path: str, **options: object) -> DataFrame:
@@ -291,4 +333,4 @@ def read_media(spark: SparkSession, path: str, **options: object) -> DataFrame:
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.shared_dir(spark) + "/media"
     write_media(common.documents(spark, sf_dir), path)
-    return read_media(spark, path).mapInArrow(_features, FEATURES).drop("error")
+    return read_media(spark, path).mapInArrow(_features, FEATURES)
