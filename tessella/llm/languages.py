@@ -1,19 +1,19 @@
 """Operator 4: language identification by a bidirectional gated recurrent network over bytes.
 
 Training: a bounded sample of labelled rows (``per_lang`` rows of each language, chosen by hash; where the languages are
-many, an equal share of ``most_rows``, but one row of each at least) comes to the driver; windows of ``steps`` bytes are drawn from whole texts, and a small
-network (a forward and a backward GRU, whose states label every position) is trained in numpy by backpropagation
+many, an equal share of ``most_rows``, but one row of each at least) gives ``windows_per_text`` windows of ``steps`` bytes each,
+which executors draw at seeded places of the whole texts and only which come to the driver. A small network (a forward and a backward GRU, whose states label every position) is trained in numpy by backpropagation
 through time with Adam. Scoring: every text is cut into windows of ``steps`` bytes, all of them are labelled at every position,
 many windows at a time, and a document's probabilities are the mean of its positions' log probabilities, normalised.
 
-Defined results: texts that are null or have no letters are `und` with score 0; languages that are null teach nothing; equal
+Defined results: texts that are null or have no letters (Unicode category L) are `und` with score 0; bytes 0 are bytes like others; languages that are null teach nothing; equal
 texts get equal results; without any labelled row every text is `und`; an empty table gives no rows; other columns are
 ignored; texts of any length are read whole, in windows.
 """
 
 from __future__ import annotations
 
-import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from . import common
 
 STEPS, HIDDEN, BROADCAST_ROWS = 64, 8, 10_000
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -111,12 +110,11 @@ def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], hidden: int
 
 def log_odds(model: Model, texts: list[bytes], steps: int = STEPS, at_once: int = 4096) -> np.ndarray:
     """For each text the sum of log probabilities over all its positions, and its number of positions, in the last column."""
-    joined, doc = [], []
-    for i, t in enumerate(texts):
-        n = -(-len(t) // steps)
-        joined.append(t.ljust(n * steps, b"\0"))
-        doc.append(np.full(n, i))
-    x, doc = np.frombuffer(b"".join(joined), np.uint8).reshape(-1, steps), np.concatenate(doc) if doc else np.zeros(0, int)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    n = -(-sizes // steps)
+    doc = np.repeat(np.arange(len(texts)), n)
+    x = np.frombuffer(b"".join(t.ljust(k * steps, b"\0") for t, k in zip(texts, n.tolist())), np.uint8).reshape(-1, steps)
+    rest = sizes[doc] - steps * (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n))
     out = np.zeros((len(texts), len(model.langs) + 1))
     p = model.params
     for a in range(0, len(x), at_once):
@@ -124,7 +122,7 @@ def log_odds(model: Model, texts: list[bytes], steps: int = STEPS, at_once: int
         f, _ = _run(w, p["tf"], p["uf"], False)
         b, _ = _run(w[::-1], p["tb"], p["ub"], False)
         y = _outputs(p, f, b[::-1])
-        real = (w > 0).astype(np.float32)  # the filling has no say
+        real = (np.arange(steps)[:, None] < rest[a : a + at_once]).astype(np.float32)  # the filling has no say
         np.add.at(out, doc[a : a + at_once], np.concatenate((np.einsum("tbl,tb->bl", y, real), real.sum(0)[:, None]), 1))
     return out
 
@@ -134,7 +132,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator
         for i in range(0, batch.num_rows, 200):
             part = batch.slice(i, 200)
             texts = part.column("text").to_pylist()
-            lettered = [t is not None and bool(_LETTER.search(t)) for t in texts]
+            lettered = [t is not None and any(map(str.isalpha, t)) for t in texts]
             lang, score = ["und"] * len(texts), [0.0] * len(texts)
             at = [j for j, x in enumerate(lettered) if x]
             if model and at:
@@ -147,8 +145,18 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(lang), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
 
+def _windows(batches: Iterator[pa.RecordBatch], n: int, steps: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """n windows of each text, at places that depend on the text alone; none of an empty one."""
+    for batch in batches:
+        out = []
+        for t in common.utf8(batch.column("text")):
+            starts = np.random.default_rng([seed, zlib.crc32(t)]).integers(0, max(len(t) - steps, 0) + 1, n).tolist() if t else []
+            out.append(b"".join(t[a : a + steps].ljust(steps, b"\0") for a in starts))
+        yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("lang"), pa.array(out, pa.binary())], names=["place", "lang", "windows"])
+
+
 def learn(labelled: DataFrame, per_lang: int = 150, most_rows: int = 3000, windows_per_text: int = 8, steps: int = STEPS, seed: int = 7) -> Model | None:
-    """A model from labelled(doc_id, text, lang). Only the sample named above comes to the driver."""
+    """A model from labelled(doc_id, text, lang). Only windows of the sample named above come to the driver."""
     counts = common.materialise(labelled.groupBy("lang").count(), "counts")
     n_langs = counts.count()
     share = min(per_lang, max(most_rows // max(n_langs, 1), 1))
@@ -158,20 +166,12 @@ def learn(labelled: DataFrame, per_lang: int = 150, most_rows: int = 3000, windo
     rows = labelled.join(counts, "lang").withColumn("place", place).filter(F.col("place") * F.col("count") < F.lit(2 * share + 50) * 1_000_000)
     # the filter leaves each language some more rows than its share, so that the windows are small
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))).filter(F.col("nth") <= share)
-    rows = rows.select("place", "lang", "text").orderBy("place", "lang", "text").collect()
-    langs = sorted({r["lang"] for r in rows})
-    if not langs:
-        return None
-    rng = np.random.default_rng(seed)
-    x, y = [], []
-    for r in rows:
-        b = np.frombuffer(r["text"].encode(), np.uint8)
-        if not len(b):
-            continue
-        for at in rng.integers(0, max(len(b) - steps, 0) + 1, windows_per_text).tolist():
-            x.append(np.pad(b[at : at + steps], (0, max(steps - len(b), 0))))
-            y.append(langs.index(r["lang"]))
-    return train(np.array(x), np.array(y), langs, seed=seed) if x else None
+    drawn = rows.select("place", "lang", "text").mapInArrow(lambda it: _windows(it, windows_per_text, steps, seed), "place long, lang string, windows binary")
+    rows = drawn.orderBy("place", "lang", "windows").collect()
+    langs = sorted({r["lang"] for r in rows if r["windows"]})
+    x = [np.frombuffer(r["windows"], np.uint8).reshape(-1, steps) for r in rows if r["windows"]]
+    y = [np.full(len(r["windows"]) // steps, langs.index(r["lang"])) for r in rows if r["windows"]]
+    return train(np.concatenate(x), np.concatenate(y), langs, seed=seed) if x else None
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
