@@ -4,7 +4,8 @@ A document is a bag of passages of ``PASSAGE`` bytes, all of it. A passage's raw
 and changes between classes, and how many distinct pairs and quads of bytes it has. A dense layer encodes each passage;
 gated attention (tanh and sigmoid branches) weighs a document's passages; a logistic layer scores the weighted sum of
 their codes. Labels are of documents only: the attention is learnt from them by backpropagation (numpy, Adam), on a sample
-of at most 2 * ``per_class`` labelled rows, whose passage features (not texts) come to the driver.
+of at most 2 * ``per_class`` labelled rows, whose passage features (not texts) come to the driver: whole documents, in the
+order of a hash, while they have ``most_passages`` passages together and none more than an eighth of that.
 
 Defined results: null and empty texts are one passage of zeros; equal texts get equal scores; without labels of both
 classes every score is the share of class 1 (0.5 without any label); an empty table gives no rows; other columns are
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -125,9 +126,14 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), batch.column("weight"), pa.array(raw, pa.binary())], names=["doc_id", "label", "weight", "bag"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_passages: int = 400_000) -> Model | None:
     """A model from labels(doc_id, quality). All passages of a sampled document teach."""
     sample = labelled_sample(docs, labels, "quality", per_class)
+    n = F.greatest(F.ceil(F.octet_length("text") / PASSAGE), F.lit(1))
+    sample = sample.withColumn("n", n).filter(8 * F.col("n") <= most_passages)
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over the sample's rows alone
+    sizes = sample.select("doc_id", "n").withColumn("upto", upto).filter(F.col("upto") <= most_passages).select("doc_id")
+    sample = sample.join(F.broadcast(sizes), "doc_id")  # at most 2 * per_class rows
     rows = sample.mapInArrow(_bags, "doc_id long, label int, weight double, bag binary").orderBy("doc_id").collect()
     if not rows:
         return None
