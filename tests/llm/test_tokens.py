@@ -1,5 +1,6 @@
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,10 @@ BYTE, WORD = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("word_bpe_49k.j
 PIECES = st.sampled_from(["the", "Word", "'s", "don't", " ", "  ", "\n", "\t", ",", ".", "...", "é", "x́", "İ", "Σας", "12", "3.5", "<|endoftext|>", "*$", "ß", "\x1c", "\xa0", "日本"])
 
 
+cached_encoder = cache(WordEncoder)
+
+
+@cache
 def plain(path):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
@@ -24,8 +29,8 @@ def plain(path):
 @given(st.lists(st.one_of(st.none(), st.lists(PIECES, max_size=25).map("".join)), max_size=5))
 def test_words_give_the_ids_of_the_whole_texts(texts):
     for path in (BYTE, WORD):
-        ids, begin = ENCODERS.setdefault(path, WordEncoder(path)).encode(pa.array(texts, pa.string()))
-        assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:])] == [PLAIN.setdefault(path, plain(path))(t) for t in texts]
+        ids, begin = cached_encoder(path).encode(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:])] == [plain(path)(t) for t in texts]
 
 
 def test_words_are_forgotten_and_parts_are_whole():
@@ -39,8 +44,6 @@ def test_words_are_forgotten_and_parts_are_whole():
         assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:])] == [plain(BYTE)(t) for t in p.column("text").to_pylist()]
 
 
-ENCODERS: dict = {}
-PLAIN: dict = {}
 
 
 @settings(max_examples=60, deadline=None)
