@@ -40,7 +40,7 @@ def dedupe_merge_hits(t: Tables) -> DataFrame:
 
 
 _NGRAMS = """
-w AS (SELECT doc_id, quality, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents JOIN labels USING (doc_id)),
+w AS (SELECT doc_id, quality, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents JOIN labels USING (doc_id)),
 g AS (SELECT DISTINCT doc_id, quality, unnest(list_concat(w, list_concat([w[i] || ' ' || w[i + 1] for i in range(1, greatest(len(w), 1))], [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, greatest(len(w) - 1, 1))]))) AS term FROM w)
 """
 
@@ -164,7 +164,7 @@ def feedback_score(t: Tables) -> DataFrame:
     "language_hints",
     """
 WITH w AS (SELECT doc_id, lang, length(text) - length(translate(text, 'äöüß', '')) AS de, length(text) - length(translate(text, 'ñíó', '')) AS es, length(text) - length(translate(text, 'çèê', '')) AS fr,
-  len([x for x in regexp_extract_all(lower(text), '[a-z0-9]+') if x in ('the', 'of', 'and')]) AS en FROM documents),
+  len([x for x in regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') if x in ('the', 'of', 'and')]) AS en FROM documents),
 s AS (SELECT doc_id, lang, CAST(3 * de AS BIGINT) AS de, CAST(3 * es AS BIGINT) AS es, CAST(3 * fr AS BIGINT) AS fr, CAST(en AS BIGINT) AS en FROM w)
 SELECT doc_id, lang, CASE WHEN en > greatest(de, es, fr) THEN 'en' WHEN de >= greatest(es, fr) AND de > 0 THEN 'de' WHEN fr >= es AND fr > 0 THEN 'fr' WHEN es > 0 THEN 'es' ELSE 'und' END AS guess FROM s
 """,
@@ -180,8 +180,8 @@ def language_hints(t: Tables) -> DataFrame:
 @query(
     "benchmark_overlap",
     """
-WITH b AS (SELECT DISTINCT item_id, unnest([array_to_string(w[i:i+7], ' ') for i in range(1, greatest(len(w) - 6, 1))]) AS g FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark)),
-d AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[i:i+7], ' ') for i in range(1, greatest(len(w) - 6, 1))]) AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents))
+WITH b AS (SELECT DISTINCT item_id, unnest([array_to_string(w[i:i+7], ' ') for i in range(1, greatest(len(w) - 6, 1))]) AS g FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark)),
+d AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[i:i+7], ' ') for i in range(1, greatest(len(w) - 6, 1))]) AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents))
 SELECT doc_id, item_id, count(*) AS shared FROM b JOIN d USING (g) WHERE g <> '' GROUP BY ALL
 """,
 )
@@ -194,7 +194,7 @@ def benchmark_overlap(t: Tables) -> DataFrame:
 
 @query(
     "inverted_index_roundtrip",
-    "SELECT doc_id, md5(array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ')) AS text_hash, CAST(len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS BIGINT) AS n_words FROM documents WHERE len(regexp_extract_all(lower(text), '[a-z0-9]+')) > 0",
+    "SELECT doc_id, md5(array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ')) AS text_hash, CAST(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS BIGINT) AS n_words FROM documents WHERE len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) > 0",
 )
 def inverted_index_roundtrip(t: Tables) -> DataFrame:
     """Word positions inverted to an index and turned back into text."""

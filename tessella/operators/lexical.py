@@ -40,9 +40,9 @@ def corpus_stats(post: DataFrame) -> DataFrame:
 
 
 _POST = """
-p AS (SELECT p_partkey AS key, unnest(list_concat([{'t': x, 'w': 8.0::DOUBLE} for x in regexp_extract_all(lower(p_name), '[a-z0-9]+')],
-  [{'t': x, 'w': 3.0::DOUBLE} for x in regexp_extract_all(lower(p_type), '[a-z0-9]+')])) AS u,
-  len(regexp_extract_all(lower(p_name), '[a-z0-9]+')) + len(regexp_extract_all(lower(p_type), '[a-z0-9]+')) AS length FROM part),
+p AS (SELECT p_partkey AS key, unnest(list_concat([{'t': x, 'w': 8.0::DOUBLE} for x in regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+')],
+  [{'t': x, 'w': 3.0::DOUBLE} for x in regexp_extract_all(lower(p_type), '[\\p{L}\\p{N}]+')])) AS u,
+  len(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+')) + len(regexp_extract_all(lower(p_type), '[\\p{L}\\p{N}]+')) AS length FROM part),
 s AS (SELECT count(*) AS docs, avg(length) AS avg_length FROM (SELECT key, any_value(length) AS length FROM p GROUP BY key)),
 """
 _RANK = """
@@ -86,7 +86,7 @@ def search_ranked(t: Tables) -> DataFrame:
 @query(
     "search_partial_terms",
     """
-WITH p AS (SELECT p_partkey, unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]+')) AS token FROM part),
+WITH p AS (SELECT p_partkey, unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '[\\p{L}\\p{N}]+')) AS token FROM part),
 h AS (SELECT p_partkey, bit_or(CASE WHEN starts_with(token, 'cold') THEN 1 ELSE 0 END | CASE WHEN starts_with(token, 'zebra') THEN 2 ELSE 0 END | CASE WHEN starts_with(token, 'gi') THEN 4 ELSE 0 END) AS mask FROM p GROUP BY p_partkey)
 SELECT CAST(mask AS INTEGER) AS mask, CAST(bit_count(mask) AS INTEGER) AS matched, count(*) AS parts, min(p_partkey) AS first_part FROM h WHERE mask > 0 GROUP BY mask
 """,
@@ -121,7 +121,7 @@ def alias_best_per_key(t: Tables) -> DataFrame:
 @query(
     "fuzzy_token_match",
     """
-WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS token FROM part),
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+')) AS token FROM part),
 q(query) AS (VALUES ('wigdet'), ('colld'), ('giant'), ('gadge'), ('smal'), ('brokn'))
 SELECT query, token, CASE WHEN token = query THEN 'exact' WHEN starts_with(token, query) AND length(token) - length(query) >= 2 THEN 'prefix'
   WHEN levenshtein(token, query) <= CASE WHEN length(query) >= 8 THEN 2 WHEN length(query) >= 4 THEN 1 ELSE 0 END THEN 'edit' ELSE 'swap' END AS how
