@@ -20,6 +20,12 @@ def uuid5(namespace_hex: str, name: Column) -> Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
+def zero_filled(c: Column, width: int) -> Column:
+    """A code with zeros before it up to a width; longer codes stay whole."""
+    c = c.cast("string")
+    return F.when(F.length(c) < width, F.lpad(c, width, "0")).otherwise(c)
+
+
 def hash_share(c: Column) -> Column:
     """The first 60 bits of a text's SHA-256 as a number from 0 (included) to 1, for reproducible samples."""
     return F.conv(F.substring(F.sha2(c, 256), 1, 15), 16, 10).cast("long") / F.lit(float(1 << 60))

@@ -128,14 +128,14 @@ _LEX = ", ".join(f"'{x}'" for x in LEXICON)
 @query(
     "relevance_score",
     rf"""
-WITH p AS (SELECT doc_id, ' ' || trim(regexp_replace(regexp_replace(lower(text), '[µμ]', 'u', 'g'), '[^\p{{L}}\p{{N}}_/%]+', ' ', 'g')) || ' ' AS x FROM documents WHERE lang = 'en'),
+WITH p AS (SELECT doc_id, ' ' || trim(regexp_replace(regexp_replace(lower(text), '[µμ]', 'u', 'g'), '[^\p{{L}}\p{{N}}_/%]+', ' ', 'g')) || ' ' AS x FROM documents WHERE text IS NOT NULL),
 h AS (SELECT doc_id, [t for t in [{_LEX}] if contains(x, ' ' || t || ' ')] AS hits FROM p)
 SELECT doc_id, CAST(len(hits) AS INTEGER) AS n_hits, array_to_string(hits[1:3], '|') AS first_hits, CAST(least(len(hits), 3) * 2 + CASE WHEN list_contains(hits, 'license') OR list_contains(hits, 'copyright') THEN -5 ELSE 0 END AS INTEGER) AS score FROM h
 """,
 )
 def relevance_score(t: Tables) -> DataFrame:
-    """Which phrases of a lexicon an English text holds, in lexicon order, and an additive score with caps."""
-    d = t.documents.filter("lang = 'en'").select("doc_id", text.padded(F.col("text")).alias("x"))
+    """Which phrases of a lexicon a text holds, in lexicon order, and an additive score with caps."""
+    d = t.documents.filter("text IS NOT NULL").select("doc_id", text.padded(F.col("text")).alias("x"))
     d = d.select("doc_id", text.first_hits(F.col("x"), list(LEXICON)).alias("hits"))
     minus = F.when(F.array_contains("hits", "license") | F.array_contains("hits", "copyright"), -5).otherwise(0)
     return d.select("doc_id", F.size("hits").alias("n_hits"), F.array_join(F.slice("hits", 1, 3), "|").alias("first_hits"), (F.least(F.size("hits"), F.lit(3)) * 2 + minus).alias("score"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.ids import zero_filled
 from tessella.plans.registry import Tables, query
+from tessella.sources.files import require_unique as require_unique
 
 
 def best(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -13,14 +15,6 @@ def best(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__rn = 1").drop("__rn")
 
 
-def require_unique(df: DataFrame, key: str, label: str) -> DataFrame:
-    """df, or an error that names offending keys if the key is null, blank or repeated."""
-    bad = df.groupBy(key).count().filter((F.col("count") > 1) | F.col(key).isNull() | (F.trim(F.col(key).cast("string")) == "")).limit(5).collect()
-    if bad:
-        raise ValueError(f"{label}: {key} is not unique: {[r[key] for r in bad]}")
-    return df
-
-
 def require_parents(df: DataFrame, key: str, parents: DataFrame, parent_key: str, label: str) -> DataFrame:
     """df, or an error if a key has no parent row."""
     bad = df.join(parents.select(F.col(parent_key).alias(key)), key, "left_anti").select(key).distinct().limit(5).collect()
@@ -71,7 +65,7 @@ UNION ALL SELECT 'supplier', lpad(CAST(s_suppkey AS VARCHAR), 9, '0'), n_name, s
 def crosswalk_union(t: Tables) -> DataFrame:
     """Two sources brought to one shape through a crosswalk, with keys padded to one width."""
     nation = t.nation.select("n_nationkey", "n_name")
-    pad = lambda c: F.lpad(F.col(c).cast("string"), 9, "0").alias("code")
+    pad = lambda c: zero_filled(F.col(c), 9).alias("code")
     a = t.customer.join(nation, F.col("n_nationkey") == F.col("c_nationkey")).select(F.lit("customer").alias("origin"), pad("c_custkey"), "n_name", F.col("c_acctbal").alias("balance"))
     b = t.supplier.join(nation, F.col("n_nationkey") == F.col("s_nationkey")).select(F.lit("supplier").alias("origin"), pad("s_suppkey"), "n_name", F.col("s_acctbal").alias("balance"))
     return a.unionByName(b)

@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from tessella.functions.ids import zero_filled
+
+
+def require_unique(df: DataFrame, key: str, label: str) -> DataFrame:
+    """df, or an error that names offending keys if the key is null, blank or repeated."""
+    bad = df.groupBy(key).count().filter((F.col("count") > 1) | F.col(key).isNull() | (F.trim(F.col(key).cast("string")) == "")).limit(5).collect()
+    if bad:
+        raise ValueError(f"{label}: {key} is not unique: {[r[key] for r in bad]}")
+    return df
+
 
 def read_csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
     """A CSV with a header (a byte order mark is dropped), all columns as text, blanks as null; extra columns stay.
@@ -21,10 +31,13 @@ def read_csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
 
 
 def read_caret_text(spark: SparkSession, path: str, columns: list[str], code: str, width: int = 5) -> DataFrame:
-    """A legacy table: fields parted by ^, quoted by ~, Latin-1, no header; the code is padded with zeros to one width."""
+    """A legacy table: fields parted by ^, quoted by ~, Latin-1, no header; the code is filled with zeros up to a width.
+
+    Raises ValueError if a code is blank or repeated, and Spark's error for a line with another number of fields.
+    """
     schema = StructType([StructField(c, StringType()) for c in columns])
     d = spark.read.option("sep", "^").option("quote", "~").option("encoding", "ISO-8859-1").option("mode", "FAILFAST").schema(schema).csv(path)
-    return d.withColumn(code, F.lpad(F.trim(code), width, "0"))
+    return require_unique(d.withColumn(code, zero_filled(F.trim(code), width)), code, path)
 
 
 def number(c: Column) -> Column:

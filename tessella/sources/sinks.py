@@ -28,7 +28,10 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], keys: dict[str, l
             # ranges keep the order across files without bringing a table into one task
             ordered = df.repartitionByRange(*keys[name]).sortWithinPartitions(*keys[name]) if keys.get(name) else df
             ordered.write.option("compression", "zstd").parquet(f"{temp}/{name}.parquet")
-            ordered.write.option("header", True).csv(f"{temp}/{name}.csv")
+            # from what was written, so that the two agree whatever made the table
+            again = spark.read.schema(ordered.schema).parquet(f"{temp}/{name}.parquet")
+            again = again.repartitionByRange(*keys[name]).sortWithinPartitions(*keys[name]) if keys.get(name) else again
+            again.write.option("header", True).csv(f"{temp}/{name}.csv")
         old = None
         if fs.exists(goal):
             old = _fs(spark, f"{temp}-old")[1]
