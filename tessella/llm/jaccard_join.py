@@ -96,16 +96,19 @@ def most_apart(n: int, num: int, den: int) -> int:
     return n * (den - num) // num
 
 
-def prefix_keys(tokens: np.ndarray, ranks: np.ndarray, least: int, apart: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def prefix_keys(tokens: np.ndarray, ranks: np.ndarray, least: int, apart: int, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The keys of sorted tokens that share ``least`` with any partner, ``apart`` not; each key's cost; which are combinations.
 
-    ranks: by sketch counter, 0 for rare tokens, else higher for more frequent ones. A key's cost is a number of tokens that
+    ranks: by sketch counter, 0 for rare tokens, else higher for more frequent ones; tokens marked in ``last`` come after all
+    others, as the most frequent ones. A key's cost is a number of tokens that
     can't be shared if the key is the one that tells: those before a single token, the rare ones for a combination.
     """
     p = len(tokens) - least + 1
     if p <= 0:
         return tokens[:0], np.zeros(0, np.int64), np.zeros(0, bool)
     rank = ranks[_counter(tokens)]
+    if last is not None:
+        rank[last] = 255
     often = rank > 0
     rare = tokens[~often]
     if len(rare) >= p:
@@ -260,6 +263,21 @@ def _groups(members: DataFrame) -> DataFrame:
     return members.join(refs.filter("size > 1").select("key", "ref"), "key").filter("sid <> ref").select("ref", "sid").distinct()
 
 
+def _first_groups(members: DataFrame) -> DataFrame:
+    """Groups of members(key, sid) about what they are likely to be copies of.
+
+    A bucket's first choice is its member that is in most buckets; its reference is the best choice of all buckets that
+    the first choice is in: so buckets of copies that lack the same token are compared with the original as well, which
+    needn't be in the bucket.
+    """
+    load = members.groupBy("sid").agg(F.count("*").alias("load"))
+    choice = members.join(load, "sid").groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("load", "sid")).alias("ref")).filter("size > 1").select("key", "ref")
+    both = members.join(choice, "key")
+    lead = both.groupBy("sid").agg(F.max("ref").alias("lead"))
+    refs = choice.join(lead, F.col("ref.sid") == lead["sid"]).select("key", F.col("lead.sid").alias("ref"))
+    return members.join(refs, "key").filter("sid <> ref").select("ref", "sid").distinct()
+
+
 #: The bitmap of wanted classes has about 16 bits for each, and from 4 to 64 million.
 _LEAST_BITS, _MOST_BITS = 22, 26
 
@@ -345,7 +363,8 @@ def _differences(batches: Iterator[pa.RecordBatch], num: int, den: int, ranks: n
             if len(d) <= n:
                 # a partner's e is e_ref at least, and above -e_ref where one of the two has to be far
                 least = max(1, len(d) - apart, -((-e - e_ref if far else e_ref - e - 1) // (2 * unit)))
-                keys, costs, _ = prefix_keys(d, ranks, least, apart)
+                # what the reference has and this set lacks, many members of its group lack
+                keys, costs, _ = prefix_keys(d, ranks, least, apart, np.isin(d, x, assume_unique=True))
                 rows.append((ref, sid, _mix(keys ^ _mix(np.frombuffer(ref[:8], np.uint64))), e, 2 * unit * (len(d) - costs) - e, far, False))
             if (len(d) + apart) * den > num * n and sid != own:
                 own = sid  # of several references one is enough
@@ -414,9 +433,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, similarity: tuple[int, int] = (
     pairs = scratch.put("pairs", _possible(found.filter("b IS NOT NULL").select("a", "b").distinct(), classes, num, den))
     members = scratch.put("members", found.filter("key IS NOT NULL").select("key", F.col("a").alias("sid")).distinct())
     scratch.drop("found")
-    # the member that is in most buckets is likely to be what the others are copies of
-    load = members.groupBy("sid").agg((-F.count("*")).alias("e"))
-    groups = scratch.put("groups", _groups(members.join(load, "sid")))
+    groups = scratch.put("groups", _first_groups(members))
     scratch.drop("members")
     wanted = _wanted(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).unionByName(groups.select("sid")).unionByName(groups.select(F.col("ref").alias("sid"))))
     sets = texts.mapInArrow(lambda it: _sets(it, k, wanted), "sid binary, tokens binary")

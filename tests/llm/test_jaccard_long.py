@@ -43,7 +43,7 @@ def test_linked_sets_share_a_key(similarity):
             e, e_ref = unit * len(d) - (den - num) * len(s), -(den - num) * len(ref)
             far = e + e_ref > 0
             least = max(1, len(d) - jaccard_join.most_apart(len(s), num, den), -((-e - e_ref if far else e_ref - e - 1) // (2 * unit)))
-            keys, costs, _ = jaccard_join.prefix_keys(d, ranks, least, jaccard_join.most_apart(len(s), num, den))
+            keys, costs, _ = jaccard_join.prefix_keys(d, ranks, least, jaccard_join.most_apart(len(s), num, den), np.isin(d, ref))
             found.append((far, e, dict(zip(keys.tolist(), (2 * unit * (len(d) - costs) - e).tolist()))))
         (far1, e1, f1), (far2, e2, f2) = found
         if far1 or far2:
