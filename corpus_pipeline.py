@@ -2,6 +2,11 @@
 
 Each stage takes all that the one before kept and returns the columns of documents (the last one: packed pieces); what it
 returns is written as Parquet in the shared folder and read again, so that a lost executor costs no earlier stage.
+
+Defined results: null, empty and blank texts fail the quality rules, so they go in the first stage; null ids, languages and
+sources are kept as such; equal rows share their verdicts, and of near duplicates, equal rows among them, one stays; texts of
+any length are read whole; an empty table gives no pieces; other columns pass through all stages but the last, whatever
+their names. run() deletes a stage's table once the next one is written.
 """
 
 from __future__ import annotations
@@ -40,7 +45,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir)
+    docs, scratch, before = common.documents(spark, sf_dir), common.Scratch(spark), None
     for name, stage in STAGES:
-        docs = common.materialise(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        docs = scratch.put(name.replace(" ", "_"), stage(spark, docs, sf_dir))
+        if before:
+            scratch.drop(before)
+        before = name.replace(" ", "_")
     return docs
