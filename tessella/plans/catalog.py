@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.operators import documents, events, evidence, figures, lexical, relational, release, resolve, vectors, wording, workflow
+from tessella.operators import documents, events, evidence, figures, lexical, planning, relational, release, resolve, vectors, wording, workflow
 from tessella.streaming import queries as streams
 
 from .registry import ORACLES, QUERIES
@@ -25,4 +25,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-MODULES = (documents, events, evidence, figures, lexical, relational, release, resolve, streams, vectors, wording, workflow)
+MODULES = (documents, events, evidence, figures, lexical, planning, relational, release, resolve, streams, vectors, wording, workflow)
