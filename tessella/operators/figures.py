@@ -262,7 +262,7 @@ def diary_after_changes(t: Tables) -> DataFrame:
     "lowest_progress",
     """
 WITH m AS (SELECT o_custkey, o_orderstatus AS macro, sum(o_totalprice) / CASE o_orderstatus WHEN 'F' THEN 900000.0 WHEN 'O' THEN 700000.0 ELSE 300000.0 END AS share FROM orders GROUP BY o_custkey, o_orderstatus)
-SELECT o_custkey, arg_min(macro, {'s': share, 'm': macro}) AS macro, round(min(share), 6) AS share FROM m GROUP BY o_custkey
+SELECT o_custkey, arg_min(macro, {'s': share, 'm': macro}) AS macro, round(min(share), 4) AS share FROM m GROUP BY o_custkey
 """,
 )
 def lowest_progress(t: Tables) -> DataFrame:
@@ -270,7 +270,7 @@ def lowest_progress(t: Tables) -> DataFrame:
     target = F.when(F.col("o_orderstatus") == "F", 900_000.0).when(F.col("o_orderstatus") == "O", 700_000.0).otherwise(300_000.0)
     m = t.orders.groupBy("o_custkey", F.col("o_orderstatus").alias("macro"), target.alias("target")).agg(F.sum("o_totalprice").alias("amount"))
     m = m.withColumn("share", F.col("amount") / F.col("target"))
-    return m.groupBy("o_custkey").agg(F.min_by("macro", F.struct("share", "macro")).alias("macro"), F.round(F.min("share"), 6).alias("share"))
+    return m.groupBy("o_custkey").agg(F.min_by("macro", F.struct("share", "macro")).alias("macro"), F.round(F.min("share"), 4).alias("share"))
 
 
 @query(
