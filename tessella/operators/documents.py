@@ -189,6 +189,8 @@ def benchmark_overlap(t: Tables) -> DataFrame:
     """Runs of eight words that documents share with evaluation items: an equi join on hashes of the runs, not a pair loop."""
     runs = lambda df, key: df.select(key, F.explode(F.array_distinct(F.transform(text.ngrams(text.words(F.col("text")), 8), lambda g: F.xxhash64(g)))).alias("g"))
     items = runs(t.benchmark, "item_id")
+    if items.count() <= 1_000_000:  # 16 bytes each; then the documents' runs are not shuffled
+        items = F.broadcast(items)
     return runs(t.documents, "doc_id").join(items, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 
@@ -198,7 +200,8 @@ def benchmark_overlap(t: Tables) -> DataFrame:
 )
 def inverted_index_roundtrip(t: Tables) -> DataFrame:
     """Word positions inverted to an index and turned back into text."""
-    pos = t.documents.select("doc_id", F.posexplode(text.words(F.col("text"))).alias("pos", "word"))
+    # one shuffle, of the texts: both aggregations below find their rows in place
+    pos = t.documents.select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(text.words(F.col("text"))).alias("pos", "word"))
     index = pos.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at"))
     back = index.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list(F.transform("at", lambda p: F.struct(p.alias("p"), F.col("word").alias("w")))))).alias("t"))
     return back.select("doc_id", F.md5(F.array_join(F.transform("t", lambda x: x["w"]), " ")).alias("text_hash"), F.size("t").cast("long").alias("n_words"))

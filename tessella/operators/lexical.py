@@ -12,11 +12,10 @@ K1, B = 1.2, 0.75
 
 
 def postings(docs: DataFrame, key: str, weights: dict[str, float]) -> DataFrame:
-    """key, token, weight, length for each token of each weighted column; length counts all tokens of the document."""
+    """key, length and the list of (token, weight) of all weighted columns, a row for each document."""
     weighed = lambda w: lambda t: F.struct(t.alias("token"), F.lit(w).alias("weight"))
     cols = [F.transform(text.words(F.col(c)), weighed(w)) for c, w in weights.items()]
-    d = docs.select(F.col(key).alias("key"), F.flatten(F.array(*cols)).alias("t"))
-    return d.withColumn("length", F.size("t")).select("key", "length", F.explode("t").alias("t")).select("key", "length", "t.token", "t.weight")
+    return docs.select(F.col(key).alias("key"), F.flatten(F.array(*cols)).alias("tokens")).withColumn("length", F.size("tokens")).filter("length > 0")
 
 
 def bm25(post: DataFrame, stats: DataFrame, terms: list[str]) -> DataFrame:
@@ -24,8 +23,10 @@ def bm25(post: DataFrame, stats: DataFrame, terms: list[str]) -> DataFrame:
 
     stats has one row (docs, avg_length). Each term's document frequency counts its prefix matches.
     """
-    t = F.explode(F.array(*[F.struct(F.lit(i).alias("term"), F.lit(x).alias("prefix")) for i, x in enumerate(terms)])).alias("q")
-    hits = post.select("*", t).filter(F.startswith("token", F.col("q.prefix"))).groupBy("key", "length", "q.term").agg(F.sum("weight").alias("f"))
+    # each term's weight is summed up inside the document's list, so a document gives a row for each term that it has, and needs no shuffle
+    total = lambda x: F.aggregate(F.filter("tokens", lambda t: F.startswith(t["token"], F.lit(x))), F.lit(0.0), lambda s, t: s + t["weight"])
+    each = F.explode(F.filter(F.array(*[F.struct(F.lit(i).alias("term"), total(x).alias("f")) for i, x in enumerate(terms)]), lambda h: h["f"] > 0)).alias("h")
+    hits = post.select("key", "length", each).select("key", "length", "h.term", "h.f")
     df = hits.groupBy("term").agg(F.count("*").alias("n"))
     h = hits.join(F.broadcast(df), "term").join(F.broadcast(stats), F.lit(True))  # a row for each query term; one row
     idf = F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
@@ -35,8 +36,7 @@ def bm25(post: DataFrame, stats: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def corpus_stats(post: DataFrame) -> DataFrame:
-    per = post.groupBy("key").agg(F.first("length").alias("length"))
-    return per.agg(F.count("*").alias("docs"), F.avg("length").alias("avg_length"))
+    return post.agg(F.count("*").alias("docs"), F.avg("length").alias("avg_length"))
 
 
 _POST = """

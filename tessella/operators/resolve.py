@@ -50,8 +50,9 @@ def search_release(foods: DataFrame, terms: DataFrame, q: str, limit: int = 20,
     if len(tokens) > 1:
         # which words each food's texts, and each term, have: one pass tells the count of every subset
         first = tokens[:6]
-        mask = lambda p: p.groupBy("key").agg(*[F.bool_or(F.startswith("token", F.lit(w))).alias(f"w{i}") for i, w in enumerate(tokens)])
-        marks = mask(post).unionByName(mask(term_post).withColumn("key", F.col("key.food_id")))
+        has = lambda w: F.exists("tokens", lambda t: F.startswith(t["token"], F.lit(w)))
+        mask = lambda p, key: p.select(F.col(key).alias("key"), *[has(w).alias(f"w{i}") for i, w in enumerate(tokens)])
+        marks = mask(post, "key").unionByName(mask(term_post, "key.food_id"))
         sets = [list(c) for n in range(len(first) - 1, 0, -1) for c in combinations(range(len(first)), n)]
         every = lambda at: F.count_distinct(F.when(F.expr(" AND ".join(f"w{i}" for i in at)), F.col("key")))
         counts = marks.agg(*[every(at).alias(str(k)) for k, at in enumerate([list(range(len(tokens))), *sets])]).first()
