@@ -17,7 +17,7 @@ buckets of combinations, become groups: each has a reference, the member that is
 difference from the reference. For two members |X xor Y| = |dX xor dY|, so a link needs 2 |dX and dY| >= e(X) + e(Y), where
 e = |d| - n (1 - t) / (1 + t). Members with e(X) + e(reference) <= 0 are linked with the reference, and two members
 with e(X) + e(Y) <= 0 are both among these. All others must share tokens of their *differences*, and the same keys are taken of
-those. A member that is further from the reference than from nothing (they share a passage, say) is indexed under longer
+those. A member that is far from the reference (they share a passage, say) is indexed under longer
 combinations of its own tokens: of (u + 1)(k - 1) + 1 shared tokens some k stand side by side in both orders, and a chance
 share of k neighbours falls as a power of k. Of these buckets, those in which no two members can share enough are dropped by
 their extremes of e and of what can still be shared, small ones give pairs, and large ones are groups again, now about the
@@ -345,7 +345,7 @@ _DIFFERENCE = "ref binary, sid binary, key long, e long, f long, far boolean"
 def _differences(batches: Iterator[pa.RecordBatch], num: int, den: int, ranks: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
     """For each (ref, sid), with their tokens x and y: a row without key, ``far`` unless they are linked; then sid's keys.
 
-    Keys are of its difference from the reference's tokens if that is no larger than the set, else of k of its own tokens; of
+    Keys are of its difference from the reference's tokens if that is at most one and a half times the set, else of k of its own tokens; of
     both, if a class linked with it could be on the other side. e and f are in units of 1 / (den + num): two classes can be
     linked only if the e of each is at most the other's f.
     """
@@ -360,13 +360,13 @@ def _differences(batches: Iterator[pa.RecordBatch], num: int, den: int, ranks: n
             far = e + e_ref > 0
             apart = most_apart(n, num, den)
             rows.append((ref, sid, np.zeros(1, np.uint64), e, np.zeros(1, np.int64), far, True))
-            if len(d) <= n:
+            if 2 * len(d) <= 3 * n:
                 # a partner's e is e_ref at least, and above -e_ref where one of the two has to be far
                 least = max(1, len(d) - apart, -((-e - e_ref if far else e_ref - e - 1) // (2 * unit)))
                 # what the reference has and this set lacks, many members of its group lack
                 keys, costs, _ = prefix_keys(d, ranks, least, apart, np.isin(d, x, assume_unique=True))
                 rows.append((ref, sid, _mix(keys ^ _mix(np.frombuffer(ref[:8], np.uint64))), e, 2 * unit * (len(d) - costs) - e, far, False))
-            if (len(d) + apart) * den > num * n and sid != own:
+            if 2 * (len(d) + apart) * den > 3 * num * n and sid != own:
                 own = sid  # of several references one is enough
                 keys = run_keys(y, ranks, _needed(n, num, den), apart, k)
                 rows.append((ref, sid, keys, 2 * num * n, np.full(len(keys), 2 * den * n), True, False))
@@ -383,7 +383,7 @@ def _group_links(groups: DataFrame, classes: DataFrame, sets: DataFrame, num: in
     found = []
     for level in range(LEVELS):
         name = f"differences_{level}"
-        rows = scratch.put(name, _with_sets(groups, sets, "ref", "sid").mapInArrow(lambda it, k=level + 3: _differences(it, num, den, ranks, k), _DIFFERENCE))
+        rows = scratch.put(name, _with_sets(groups, sets, "ref", "sid").mapInArrow(lambda it, k=level + 4: _differences(it, num, den, ranks, k), _DIFFERENCE))
         found.append(scratch.put(f"near_{level}", rows.filter("key IS NULL AND NOT far").select(F.col("ref").alias("u"), F.col("sid").alias("v"))))
         keyed = rows.filter("key IS NOT NULL").select("key", "sid", "e", "f", "far")
         far = F.col("far")
