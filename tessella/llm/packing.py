@@ -27,8 +27,8 @@ from .tokens import encoder, parts, tokenizer_path
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, window: int) -> Iterator[pa.RecordBatch]:
-    enc = encoder(path)
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, window: int, max_words: int) -> Iterator[pa.RecordBatch]:
+    enc = encoder(path, max_words)
     types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
     for batch in batches:
         for texts in parts(batch, "text"):
@@ -103,9 +103,12 @@ def _place(batches: Iterator[pa.RecordBatch], table: dict) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([*kept, pa.array(length), batch.column("ids_crc32"), batch.column("doc_tokens"), pa.array(seq), pa.array(off)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, group_rows: int = 100_000) -> DataFrame:
-    """A row for each piece of docs(doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _pieces(it, tokenizer, end_id, window), PIECES)
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, group_rows: int = 100_000, max_words: int = 1_200_000) -> DataFrame:
+    """A row for each piece of docs(doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    A worker keeps the ids of max_words words: fewer cost time, more cost memory.
+    """
+    pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _pieces(it, tokenizer, end_id, window, max_words), PIECES)
     pieces = common.materialise(pieces, "pieces")
     counts = pieces.groupBy("length").count().collect()  # at most `window` rows
     histogram = {r["length"]: r["count"] for r in counts}

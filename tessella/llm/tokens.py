@@ -34,7 +34,7 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str, max_words: int = 300_000) -> "WordEncoder":
+def encoder(path: str, max_words: int = 1_200_000) -> "WordEncoder":
     """The worker's encoder for a tokenizer file; it outlives tasks, so that words are learnt once for each worker."""
     key = (path, max_words)
     if key not in _ENCODERS:
@@ -43,7 +43,7 @@ def encoder(path: str, max_words: int = 300_000) -> "WordEncoder":
 
 
 class WordEncoder:
-    def __init__(self, path: str, max_words: int = 300_000):
+    def __init__(self, path: str, max_words: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -170,7 +170,7 @@ class WordEncoder:
         """
         if self.rows > self.max_words:
             self._reset()
-        elif len(self.known) > self.max_words // 2:  # the table has what is needed of these
+        elif len(self.known) > self.max_words // 4:  # the table has what is needed of these
             self.known = {}
         texts = pc.fill_null(texts.cast(pa.string()), "")
         if not self.marks_blank:  # as the normalizer does; it makes fewer words to learn
@@ -207,7 +207,7 @@ class WordEncoder:
         return ids, until[np.concatenate(([0], ends))]
 
 
-def parts(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts whose texts have about ``most_bytes`` together; a longer text is a part of its own."""
     size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
     at = 0

@@ -7,7 +7,7 @@ come from a Spark aggregation over the sample; at most ``most_terms`` terms are
 features of at most 2 * ``per_class`` labelled rows, two thirds of them; the others calibrate the score by pooling
 adjacent violators, weighted to the classes' real shares.
 
-Defined results: null and empty texts have features 0; equal texts get equal scores; without labels of both classes every
+Defined results: null and empty texts have features 0; very long texts are read whole; equal texts get equal scores; without labels of both classes every
 score is 0; an empty table gives no rows; other columns are ignored (``drop_toxic`` keeps them); null doc_ids stay null.
 """
 
