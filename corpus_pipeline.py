@@ -35,7 +35,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), max_words=300_000)  # workers share their memory with the other stages
 
 
 STAGES = [("quality rules", quality), ("toxicity", clean), ("n-gram Jaccard join", unique), ("mixing sources", mixed), ("packing", packed)]
