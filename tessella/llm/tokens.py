@@ -9,19 +9,14 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: White space other than blank and line feed. Texts that hold such characters, or blanks that aren't between two others,
-#: are cut by the slower, general pattern.
-_OTHER = r"\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-_ODD = rf"\A | \z|  | \n|\n |[{_OTHER}]"
-_HIGH = r"[\x{130}-\x{10ffff}]"
+#: White space other than blank and line feed; texts that hold such characters are cut by the slower, general pattern.
+_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_HIGH = re.compile("[\u0130-\U0010ffff]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _TAIL = ".,;:!?*$%&#|"
 
@@ -56,11 +51,8 @@ class WordEncoder:
         self.marks = np.zeros(self.vocab, bool)
         for token, i in self.tok.get_vocab().items():
             self.marks[i] = token.startswith("Ġ") if self.marks_blank else token.endswith("</w>")
-        #: Ids of words and their parts, and rows of the table by word: after a blank, and (bare) at a text's start.
         self.known: dict[str, bytes] = {}
-        self.numbers: dict[str, int] = {}
-        self.bare: dict[str, int] = {}
-        self._reset()
+        self.bare: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -129,90 +121,46 @@ class WordEncoder:
             if len(ps) > 1:
                 known[w] = b"".join([known[p] for p in ps])
 
-    def _number(self, ids: bytes) -> int:
-        """A row of the table for a word's ids."""
-        n, row = len(ids) // self.dtype.itemsize, self.rows
-        if row + 1 >= len(self.begin):
-            self.begin = np.concatenate((self.begin, np.zeros_like(self.begin)))
-        at = int(self.begin[row])
-        while at + n > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        self.flat[at : at + n] = np.frombuffer(ids, self.dtype)
-        self.begin[row + 1] = at + n
-        self.rows += 1
-        return row
-
-    def _reset(self) -> None:
-        self.known, self.numbers, self.bare = {}, {}, {}
-        self.flat, self.begin, self.rows = np.zeros(1 << 16, self.dtype), np.zeros(1 << 14, np.int64), 0
-
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        """The rows of words that a blank comes before; unknown ones are learnt."""
-        get = self.numbers.get
-        out = [get(w, -1) for w in words]
-        unknown = {w for w, n in zip(words, out) if n < 0}
-        if unknown:
-            # a part that holds blanks of its own goes to the library whole
-            odd = [w for w in unknown if not w or w[0] == "\n" or " " in w]
-            self.known.update(zip(odd, self._library([" " + w for w in odd])))
-            new = unknown.difference(odd)
-            if new:
-                self._learn(new)
-            known = self.known
-            self.numbers.update((w, self._number(known[w])) for w in sorted(unknown))
-            out = [get(w, -1) for w in words]
-        return np.array(out, np.int64)
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after the other, and where each text's ids begin (one more at the end). Null counts as empty.
-
-        Words are cut and numbered for all texts at once, so that only a distinct word costs Python time.
-        """
-        if self.rows > self.max_words:
-            self._reset()
-        elif len(self.known) > self.max_words // 4:  # the table has what is needed of these
+    def batch(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, as bytes of ``dtype``; null counts as empty."""
+        if len(self.known) > self.max_words:
             self.known = {}
-        texts = pc.fill_null(texts.cast(pa.string()), "")
-        if not self.marks_blank:  # as the normalizer does; it makes fewer words to learn
-            texts = pc.if_else(pc.match_substring_regex(texts, _HIGH), texts, pc.utf8_lower(texts))
-        odd = np.asarray(pc.match_substring_regex(texts, _ODD).cast(pa.int8())).astype(bool)
-        easy = pc.split_pattern(texts.filter(pa.array(~odd)) if odd.any() else texts, " ")
-        words, n = easy.flatten(), np.zeros(len(texts), np.int64)
-        n[~odd] = np.asarray(pc.list_value_length(easy))
-        begin = np.zeros(len(texts), np.int64)
-        begin[~odd] = np.cumsum(n[~odd]) - n[~odd]
-        if odd.any():
-            cut = [_CUT.split(t) for t in texts.filter(pa.array(odd)).to_pylist()]
-            n[odd] = [len(c) for c in cut]
-            begin[odd] = len(words) + np.cumsum(n[odd]) - n[odd]
-            words = pa.concat_arrays([words, pa.array([w for c in cut for w in c], pa.string())])
-        n[np.asarray(pc.binary_length(texts)) == 0] = 0
-        ends = np.cumsum(n)
-        if not len(ends) or not ends[-1]:
-            return np.zeros(0, self.dtype), np.zeros(len(texts) + 1, np.int64)
-        coded = words.dictionary_encode()
-        rows = self._numbers(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
-        full = np.flatnonzero(n)
-        first = words.take(pa.array(begin[full])).to_pylist()
-        new = list(set(first).difference(self.bare))
+        if len(self.bare) > 50_000:
+            self.bare = {}
+        cut: list[tuple[list[str], list[bytes | None]]] = []
+        unknown: set[str] = set()
+        first: set[str] = set()
+        get = self.known.get
+        for t in texts:
+            if not t:
+                cut.append(([], []))
+                continue
+            if not self.marks_blank and not _HIGH.search(t):
+                t = t.lower()  # as the normalizer does; it makes fewer words to learn
+            if t[0] == " " or t[-1] == " " or "  " in t or " \n" in t or "\n " in t or _OTHER_SPACE.search(t):
+                words = _CUT.split(t)
+            else:
+                words = t.split(" ")
+            first.add(words[0])
+            ids = list(map(get, words))
+            if None in ids:
+                unknown.update([w for w, i in zip(words, ids) if i is None])
+            cut.append((words, ids))
+        # a part that holds blanks of its own goes to the library whole
+        odd = [w for w in unknown if not w or w[0] == "\n" or " " in w]
+        if odd:
+            unknown.difference_update(odd)
+            self.known.update(zip(odd, self._library([" " + w for w in odd])))
+        if unknown:
+            self._learn(unknown)
+        new = list(first.difference(self.bare))
         if new:
-            self.bare.update((w, self._number(ids)) for w, ids in zip(new, self._library(new)))
-        rows[begin[full]] = [self.bare[w] for w in first]
-        if odd.any() or ends[-1] < len(rows):
-            rows = rows[np.repeat(begin - (ends - n), n) + np.arange(ends[-1])]
-        at = self.begin[rows]
-        size = self.begin[rows + 1] - at
-        until = np.concatenate(([0], np.cumsum(size)))
-        ids = self.flat[np.repeat(at - until[:-1], size) + np.arange(until[-1])]
-        return ids, until[np.concatenate(([0], ends))]
-
-
-def parts(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in parts whose texts have about ``most_bytes`` together; a longer text is a part of its own."""
-    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
-    at = 0
-    while at < len(size):
-        done = int(size[at - 1]) if at else 0
-        to = max(int(np.searchsorted(size, done + most_bytes, side="right")), at + 1)
-        yield batch.slice(at, to - at)
-        at = to
+            self.bare.update(zip(new, self._library(new)))
+        out, known = [], self.known
+        for words, ids in cut:
+            if ids:
+                ids[0] = self.bare[words[0]]
+                if None in ids:
+                    ids = [known[w] if i is None else i for w, i in zip(words, ids)]
+            out.append(b"".join(ids))
+        return out
