@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters between words: blank, tab, line feed, vertical tab, form feed, carriage return.
@@ -15,14 +15,18 @@ BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def arrow_batches(spark: SparkSession) -> None:
+    """Texts, vectors and token sets can be long: batches between Spark and Python are bounded by bytes, not only by rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which the driver and all executors can reach.
 
     Where the setting is absent, a temporary folder becomes the session's checkpoint folder, in local mode only: on a
     cluster each executor would write to a disk of its own, so there the setting is required.
     """
-    # texts and token sets can be long: batches between Spark and Python are bounded by bytes, not only by rows
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    arrow_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -63,6 +67,19 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return Scratch(df.sparkSession).put(name, df)
 
 
+def numbered(scratch: Scratch, df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with its rows' places in ``order``, from 1, as column ``name``, at any size: ranges of the order are written and counted,
+    and each range numbers its rows after those of the ranges before it."""
+    dealt = scratch.put("dealt", df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    before, starts = 0, []
+    for r in sorted(dealt.groupBy("__range").count().collect(), key=lambda r: r["__range"]):  # one row a range
+        starts.append((r["__range"], before))
+        before += r["count"]
+    first = F.broadcast(scratch.spark.createDataFrame(starts, "__range int, __before long"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.join(first, "__range").withColumn(name, (F.col("__before") + place).cast("long")).drop("__range", "__before")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
