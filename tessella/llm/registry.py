@@ -25,4 +25,5 @@ ORACLES: dict[str, str] = {
     "op6_quality_rules": quality_rules.ORACLE_SQL,
     "op11_vector_codes": vector_codes.ORACLE_SQL,
     "op12_target_resampling": target_resampling.ORACLE_SQL,
+    "op13_page_text": page_differencing.ORACLE_SQL,
 }

@@ -56,12 +56,12 @@ class Block:
     def levels(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For each level of the trie: the texts that its runs begin in, their nodes, and the nodes' counts and CRCs."""
         vocabulary = list(self._number)
-        sizes = np.array([len(x) for x in self._ids])
+        sizes = np.array([len(x) for x in self._ids], np.int64)
         word = np.concatenate(self._ids) if self._ids else np.zeros(0, np.int64)
         start = np.cumsum(sizes) - sizes
         place = np.arange(len(word)) - np.repeat(start, sizes)
         left = np.repeat(sizes, sizes) - place  # words from here to the end of the piece
-        text, own = np.repeat(self._text, sizes).astype(np.int64), place < np.repeat(self._own, sizes)
+        text, own = np.repeat(np.array(self._text, np.int64), sizes), place < np.repeat(np.array(self._own, np.int64), sizes)
         crc = np.array([zlib.crc32(w) for w in vocabulary], np.uint32)
         after = np.array([zlib.crc32(b" " + w) for w in vocabulary], np.uint32)
         length = np.array([len(w) + 1 for w in vocabulary], np.int64)
