@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +13,8 @@ from pyspark.sql.types import IntegerType, StringType
 from tessella.functions import text
 from tessella.plans.registry import Tables, query
 
+from .linking import common_length, components, passage_links
+
 
 def exploded(rows: DataFrame, payload: str, schema: str, keep: list[str]) -> DataFrame:
     """keep, place, item for each element of a JSON array of the given element schema; what is no such array gives no rows."""
@@ -98,20 +99,6 @@ def evidence_places(t: Tables) -> DataFrame:
     return grouped_places(d, ["l_suppkey", "l_returnflag"]).select("l_suppkey", "l_returnflag", F.array_join("foods", ",").alias("foods"), "n", "quote")
 
 
-def common_length(a: str, b: str) -> int:
-    """The length of the longest common substring: one numpy row for each character of the shorter text."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not a:
-        return 0
-    y = np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    run, longest = np.zeros(len(y) + 1, np.int32), 0
-    for x in np.frombuffer(a.encode("utf-32-le"), np.uint32):
-        run[1:] = np.where(y == x, run[:-1] + 1, 0)
-        longest = max(longest, int(run.max()))
-    return longest
-
-
 @F.pandas_udf(IntegerType())
 def longest_common(a: pd.Series, b: pd.Series) -> pd.Series:
     """common_length of two texts; null where either is null."""
@@ -134,31 +121,17 @@ def same_passage(a: str, b: str) -> bool:
 def components_longest(rows: DataFrame, page: list[str]) -> DataFrame:
     """rows(page, id, quote, n) with quotes of one passage on one page put together: page, id (of the longest quote), quote, n, members.
 
-    A page of one document holds few quotes, so each is one group; quotes are compared as plain words.
+    Quotes are compared as plain words; of equally long ones the lowest id stands. Rows with equal page, id and quote are one place;
+    a quote without words stays alone. Pages of any number of quotes: links come from shared runs, components from joins.
     """
-    d = rows.withColumn("__plain", text.plain(F.col("quote")))
-    schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in page), f"id {rows.schema['id'].dataType.simpleString()}", "quote string", "n long", "members long"])
-
-    def merge(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("id").reset_index(drop=True)
-        up = list(range(len(g)))
-
-        def root(i: int) -> int:
-            while up[i] != i:
-                up[i] = i = up[up[i]]
-            return i
-
-        for i in range(len(g)):
-            for j in range(i):
-                if root(i) != root(j) and same_passage(g["__plain"][i], g["__plain"][j]):
-                    up[root(i)] = root(j)
-        out = []
-        for _, own in g.groupby([root(i) for i in range(len(g))]):
-            top = own.loc[own["quote"].map(lambda q: -1 if pd.isna(q) else len(q)).idxmax()]
-            out.append([*(top[c] for c in page), top["id"], top["quote"], own["n"].sum(), len(own)])
-        return pd.DataFrame(out, columns=[*page, "id", "quote", "n", "members"])
-
-    return d.groupBy(*page).applyInPandas(merge, schema)
+    place = F.struct(*page, "id", F.xxhash64("quote").alias("__h"))
+    d = rows.withColumn("__node", place).withColumn("__page", F.struct(*page))
+    texts = d.select("__page", "__node", text.plain(F.col("quote")).alias("__plain")).dropDuplicates(["__node"])
+    roots = components(passage_links(texts, "__page", "__node", "__plain"))
+    d = d.join(roots, F.col("__node") == F.col("node"), "left").withColumn("__root", F.coalesce("root", "__node"))
+    top = F.min_by(F.struct("id", "quote"), F.struct(-F.coalesce(F.length("quote"), F.lit(-1)), F.col("id")))
+    out = d.groupBy("__page", "__root").agg(top.alias("top"), F.sum("n").alias("n"), F.count("*").alias("members"))
+    return out.select(*[F.col(f"__page.{c}").alias(c) for c in page], "top.id", "top.quote", "n", "members")
 
 
 @query("components_longest")

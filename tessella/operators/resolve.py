@@ -12,6 +12,7 @@ from tessella.plans.registry import Tables, query
 
 from .lexical import bm25, corpus_stats, postings
 from .relational import best
+from .text_index import TextIndex
 
 #: The kinds of source terms, best first, and the column weights of the two indexes.
 TERM_KINDS = ("common_name", "foodon_label")
@@ -26,36 +27,58 @@ def query_tokens(q: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"[^\W_]+", q.lower())))
 
 
-def search_release(foods: DataFrame, terms: DataFrame, q: str, limit: int = 20, offset: int = 0) -> dict:
+def _searchable(foods: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    own = foods.filter("is_searchable")
+    return own, terms.join(own.select("food_id"), "food_id", "left_semi").withColumn("term_key", F.struct("food_id", "term", "term_type"))
+
+
+def release_indexes(foods: DataFrame, terms: DataFrame, path: str) -> tuple[TextIndex, TextIndex]:
+    """Stored indexes of a release's searchable foods and of their source terms, for `search_release`."""
+    own, named = _searchable(foods, terms)
+    out = TextIndex(foods.sparkSession, f"{path}/foods"), TextIndex(foods.sparkSession, f"{path}/terms")
+    out[0].add(own, "food_id", NAME_WEIGHTS)
+    out[1].add(named, "term_key", {"term": TERM_WEIGHT})
+    return out
+
+
+def search_release(foods: DataFrame, terms: DataFrame, q: str, limit: int = 20, offset: int = 0, indexes: tuple[TextIndex, TextIndex] | None = None) -> dict:
     """match_mode, matched_terms, total, and items (a DataFrame) of a prefix search over release tables.
 
     foods(food_id, display_name, normalized_description, category_name, search_priority, is_searchable),
     terms(food_id, term, term_type). All words must match a food's own texts or one of its source terms; if nothing
     does, the largest set of the first six words that matches something is used, of these the most selective. Order: exact
     name, name that begins with the query, good source terms, others; then priority, relevance, length, name, id.
+
+    With ``indexes`` (of `release_indexes`) only the query's terms are read; without them, all texts are.
     """
     tokens = query_tokens(q)
     if not tokens:
         raise ValueError("the query has no searchable word")
     limit, offset = max(1, min(limit, 50)), max(0, min(offset, 10_000))
-    own = foods.filter("is_searchable")
-    post = postings(own, "food_id", NAME_WEIGHTS)
-    named = terms.join(own.select("food_id"), "food_id", "left_semi").withColumn("term_key", F.struct("food_id", "term", "term_type"))
-    term_post = postings(named, "term_key", {"term": TERM_WEIGHT})
+    own, named = _searchable(foods, terms)
+    if indexes is None:
+        post, term_post = postings(own, "food_id", NAME_WEIGHTS), postings(named, "term_key", {"term": TERM_WEIGHT})
 
     def hits(words: list[str]) -> tuple[DataFrame, DataFrame]:
+        if indexes is not None:
+            return indexes[0].search(words), indexes[1].search(words)
         return bm25(post, corpus_stats(post), words), bm25(term_post, corpus_stats(term_post), words)
 
+    def marks(words: list[str]) -> DataFrame:
+        """Which words each food's texts, and each term, have."""
+        if indexes is not None:
+            return indexes[0].matches(words).unionByName(indexes[1].matches(words).withColumn("key", F.col("key.food_id")))
+        has = lambda w: F.exists("tokens", lambda t: F.startswith(t["token"], F.lit(w)))
+        mask = lambda p, key: p.select(F.col(key).alias("key"), *[has(w).alias(f"w{i}") for i, w in enumerate(words)])
+        return mask(post, "key").unionByName(mask(term_post, "key.food_id"))
+
     mode, words = "all_terms", tokens
     if len(tokens) > 1:
-        # which words each food's texts, and each term, have: one pass tells the count of every subset
+        # one pass tells the count of every subset
         first = tokens[:6]
-        has = lambda w: F.exists("tokens", lambda t: F.startswith(t["token"], F.lit(w)))
-        mask = lambda p, key: p.select(F.col(key).alias("key"), *[has(w).alias(f"w{i}") for i, w in enumerate(tokens)])
-        marks = mask(post, "key").unionByName(mask(term_post, "key.food_id"))
         sets = [list(c) for n in range(len(first) - 1, 0, -1) for c in combinations(range(len(first)), n)]
         every = lambda at: F.count_distinct(F.when(F.expr(" AND ".join(f"w{i}" for i in at)), F.col("key")))
-        counts = marks.agg(*[every(at).alias(str(k)) for k, at in enumerate([list(range(len(tokens))), *sets])]).first()
+        counts = marks(tokens).agg(*[every(at).alias(str(k)) for k, at in enumerate([list(range(len(tokens))), *sets])]).first()
         if not counts["0"]:
             found = [(-len(at), counts[str(k)], [first[i] for i in at]) for k, at in enumerate(sets, 1) if counts[str(k)]]
             if found:

@@ -20,39 +20,65 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+#: Bytes of the queries that one scan answers, and of them at a time.
+SCAN_BYTES, STEP = 64 << 20, 2000
+
+
+def _units(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows as vectors of length 1; those without a direction, or of another length, as NaN."""
+    rows = column.to_pylist()
+    v = np.array([r if r is not None and len(r) == dim else [np.nan] * dim for r in rows], float).reshape(len(rows), dim)
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def _nearest(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    """For each query the k nearest vectors of a batch, others than itself."""
+    """For each query the k nearest of a task's vectors, others than itself; what can't be among a query's best any more is dropped at once."""
+    at, found, sims = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    bar = np.full(len(ids), -np.inf)
     for batch in batches:
         own = np.asarray(batch.column("vec_id"))
-        v = np.array(batch.column("embedding").to_pylist(), float)
         if not len(own):
             continue
-        with np.errstate(invalid="ignore"):
-            s = np.round(queries @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T, 5)
-        s[ids[:, None] == own] = -np.inf
-        order = np.lexsort((np.broadcast_to(own, s.shape), -s))[:, :k]
-        found = np.take_along_axis(s, order, 1)
-        keep = np.isfinite(found)
-        q = np.broadcast_to(ids[:, None], order.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(own[order][keep]), pa.array(found[keep])], names=["q_id", "vec_id", "similarity"])
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2000) -> DataFrame:
+        v = _units(batch.column("embedding"), queries.shape[1])
+        new = [(at, found, sims)]
+        for q in range(0, len(ids), STEP):
+            with np.errstate(invalid="ignore"):
+                s = np.round(queries[q : q + STEP] @ v.T, 5)
+                s[ids[q : q + STEP, None] == own] = np.nan
+                row, col = np.nonzero(s >= bar[q : q + STEP, None])
+            new.append((row + q, own[col], s[row, col]))
+        at, found, sims = (np.concatenate(x) for x in zip(*new))
+        order = np.lexsort((found, -sims, at))
+        at, found, sims = at[order], found[order], sims[order]
+        first = np.searchsorted(at, at)  # where each row's query begins
+        keep = np.arange(len(at)) - first < k
+        at, found, sims = at[keep], found[keep], sims[keep]
+        count = np.bincount(at, minlength=len(ids))
+        full = np.flatnonzero(count == k)
+        bar[full] = sims[np.cumsum(count)[full] - 1]
+    yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(found, pa.int64()), pa.array(sims, pa.float64())], names=["q_id", "vec_id", "similarity"])
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, scan_bytes: int = SCAN_BYTES) -> DataFrame:
     """q_id, vec_id, similarity, place: the k vectors(vec_id, embedding) nearest to each query by cosine, itself left out.
 
-    Queries go in blocks of `block`, each a matrix of bounded size that tasks multiply their batches with; a batch gives
-    at most k rows a query, and the last ranking sees those alone.
+    One scan of the vectors answers as many queries as take ``scan_bytes``, which are broadcast; a task keeps k rows a query, and the
+    last ranking sees those alone. Null ids, null vectors, those of another length than most queries, and those of norm 0, which have no
+    direction, find nothing and are found by none.
     """
-    q = queries.select("vec_id", "embedding").withColumn("__block", F.pmod(F.xxhash64("vec_id"), F.lit(max(-(-queries.count() // block), 1))))
-    found = None
-    for (b,) in sorted(q.select("__block").distinct().collect()):
+    spark = vectors.sparkSession
+    vectors, q = (d.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter("vec_id IS NOT NULL") for d in (vectors, queries))
+    n, dim = q.filter("embedding IS NOT NULL").agg(F.count("*"), F.mode(F.size("embedding"))).first()
+    scans = max(-(-n * (dim or 1) * 8 // scan_bytes), 1)
+    q = q.withColumn("__block", F.pmod(F.xxhash64("vec_id"), F.lit(scans)))
+    found = spark.createDataFrame([], "q_id long, vec_id long, similarity double")
+    for b in range(scans if dim else 0):
         rows = q.filter(F.col("__block") == b).orderBy("vec_id").toArrow()
-        m = np.array(rows.column("embedding").to_pylist(), float)
-        ids, m = np.asarray(rows.column("vec_id")), m / np.linalg.norm(m, axis=1, keepdims=True)
-        one = vectors.select("vec_id", "embedding").mapInArrow(lambda it, ids=ids, m=m: _nearest(it, ids, m, k), "q_id long, vec_id long, similarity double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], "q_id long, vec_id long, similarity double")
+        if not len(rows):
+            continue
+        sent = spark.sparkContext.broadcast((np.asarray(rows.column("vec_id")), _units(rows.column("embedding"), dim)))
+        found = found.unionByName(vectors.mapInArrow(lambda it, sent=sent: _nearest(it, *sent.value, k), "q_id long, vec_id long, similarity double"))
     place = F.row_number().over(Window.partitionBy("q_id").orderBy(F.col("similarity").desc(), "vec_id"))
     return found.withColumn("place", place).filter(F.col("place") <= k)
 

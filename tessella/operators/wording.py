@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +21,9 @@ def ladder(c: Column, rules: list[tuple[str, str]], otherwise: str | None = None
     return out.otherwise(F.lit(otherwise))
 
 
-#: Markers of failures, by kind, in the order in which they are tried.
-ERRORS = [
-    ("quota", r"quota|rate limit|rate-limit|free_tier|free-tier"),
-    ("fatal", r"not found.*models/.*generate_?content|not supported for generatecontent"),
-    ("retry", r"exceeded|timeout|timed out|deadline|temporarily unavailable|try again|service unavailable|internal error|connection reset|connection aborted|503|500"),
-]
+#: Markers of a spent quota, and of failures that another try may mend.
+QUOTA = ("quota", "rate limit", "rate-limit", "free_tier", "free-tier", "generativelanguage.googleapis.com", "gemini-api")
+AGAIN = ("ai evaluation exceeded", "timeout", "timed out", "deadline", "temporarily unavailable", "try again", "service unavailable", "internal error", "connection reset", "connection aborted", "503", "500")
 #: Sections of nutrients, in order.
 SECTIONS = [
     ("Minerals", "calcium|iron|magnesium|phosphorus|potassium|sodium|zinc|copper|manganese|selenium"),
@@ -35,8 +34,12 @@ SECTIONS = [
 
 
 def error_kind(c: Column) -> Column:
-    """quota, fatal or retry; null for a blank message, `other` for what no marker names."""
-    return F.when(F.trim(F.coalesce(c, F.lit(""))) != "", ladder(c, ERRORS, "other"))
+    """quota, fatal (a model that isn't there) or retry; null for a blank message, `other` for what no marker names."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    has = lambda *markers: reduce(lambda a, b: a | b, [F.contains(low, F.lit(m)) for m in markers])
+    quota = has(*QUOTA) | (has("429") & has("gemini", "generate_content"))
+    fatal = (has("not found") & has("models/") & has("generatecontent", "generate_content")) | has("not supported for generatecontent")
+    return F.when(F.trim(low) != "", F.when(quota, "quota").when(fatal, "fatal").when(has(*AGAIN), "retry").otherwise("other"))
 
 
 def nutrient_section(c: Column) -> Column:
@@ -48,18 +51,21 @@ def preparation_state(c: Column, keywords: dict[str, str]) -> Column:
     return ladder(c, [(state, rf"\b{word}\b") for word, state in keywords.items()], "unspecified")
 
 
-_SAMPLES = ["429: quota exceeded for this key", "models/x is not found for generateContent", "Deadline reached, try again", "  ", "bad request", "HTTP 503"]
-
-
 @query(
     "error_kinds",
     """
-WITH m(k, msg) AS (VALUES (0, '429: quota exceeded for this key'), (1, 'models/x is not found for generateContent'), (2, 'Deadline reached, try again'), (3, '  '), (4, 'bad request'), (5, 'HTTP 503'))
-SELECT CASE k WHEN 0 THEN 'quota' WHEN 1 THEN 'other' WHEN 2 THEN 'retry' WHEN 4 THEN 'other' WHEN 5 THEN 'retry' END AS kind, count(*) AS n FROM events JOIN m ON k = event_id % 6 GROUP BY 1
+WITH m AS (SELECT lower(trim(CASE WHEN event_type = 'purchase' THEN 'models/' || user_id || ' is not found for ' ELSE '' END || CASE WHEN value > 20 THEN 'generateContent ' ELSE '' END || CASE WHEN event_type = 'click' THEN 'Gemini ' ELSE '' END || CASE WHEN event_type <> 'view' THEN 'HTTP ' || (400 + event_id % 131) ELSE '' END)) AS t FROM events),
+k AS (SELECT CASE WHEN t = '' THEN NULL WHEN contains(t, 'quota') OR (contains(t, '429') AND (contains(t, 'gemini') OR contains(t, 'generate_content'))) THEN 'quota'
+  WHEN (contains(t, 'not found') AND contains(t, 'models/') AND (contains(t, 'generatecontent') OR contains(t, 'generate_content'))) OR contains(t, 'not supported for generatecontent') THEN 'fatal'
+  WHEN contains(t, '503') OR contains(t, '500') THEN 'retry' ELSE 'other' END AS kind FROM m)
+SELECT kind, count(*) AS n FROM k GROUP BY kind
 """,
 )
 def error_kinds(t: Tables) -> DataFrame:
-    msg = F.element_at(F.array(*map(F.lit, _SAMPLES)), (F.col("event_id") % 6 + 1).cast("int"))
+    """Messages made of the events' own types, values and numbers, by kind of failure."""
+    e = F.col("event_type")
+    part = lambda cond, *text_: F.when(cond, F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in text_])).otherwise("")
+    msg = F.concat(part(e == "purchase", "models/", F.col("user_id").cast("string"), " is not found for "), part(F.col("value") > 20, "generateContent "), part(e == "click", "Gemini "), part(e != "view", "HTTP ", (400 + F.col("event_id") % 131).cast("string")))
     return t.events.groupBy(error_kind(msg).alias("kind")).agg(F.count("*").alias("n"))
 
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,36 +86,85 @@ def test_amounts_and_portions(spark):
     assert [r["portion_description"] for r in ok.collect()] == ["1 cup"] and bad.count() == 1
 
 
-def reference_fold(rows, per_minute, per_day):
-    out, state = {}, {}
-    for user, event, ts in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
-        recent, days = state.setdefault(user, ([], {}))
-        recent[:] = [x for x in recent if x > ts - dt.timedelta(seconds=60)]
-        ok = len(recent) < per_minute and days.get(ts.date(), 0) < per_day
-        if ok:
-            recent.append(ts)
-            days[ts.date()] = days.get(ts.date(), 0) + 1
-        out[event] = ok
+def reference_fold(rows, limits):
+    """One request after the other, all admissions kept in one list."""
+    taken, opened, out = [], {}, {}
+    for user, event, ts, releases in sorted(rows, key=lambda r: (r[2], r[1])):
+        if releases is not None:
+            if opened.get(user, (None,))[0] == releases:
+                del opened[user]
+            continue
+        if user in opened and limits.open_seconds is not None and opened[user][1] < ts - dt.timedelta(seconds=limits.open_seconds):
+            del opened[user]
+        own = [t for u, t in taken if u == user]
+        if limits.open_seconds is not None and user in opened:
+            why = "request_in_progress"
+        elif sum(t >= ts - dt.timedelta(minutes=1) for t in own) >= limits.per_minute:
+            why = "user_minute_limit"
+        elif sum(t.date() == ts.date() for t in own) >= limits.per_day:
+            why = "user_daily_limit"
+        elif limits.all_per_day is not None and sum(t.date() == ts.date() for _, t in taken) >= limits.all_per_day:
+            why = "all_daily_limit"
+        else:
+            why = None
+            taken.append((user, ts))
+            opened[user] = (event, ts)
+        out[event] = why
     return out
 
 
-def requests():
-    at = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
-    return [(u, 100 * u + i, at + dt.timedelta(seconds=s)) for u in (1, 2) for i, s in enumerate((0, 10, 20, 59, 61, 75, 4000, 86390, 86400, 86405))]
+START = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+REQUESTS = "user_id long, event_id long, ts timestamp, releases long"
+LIMITS = [quotas.Limits(2, 4), quotas.Limits(3, 5, 40.0), quotas.Limits(2, 6, None, 9), quotas.Limits(2, 6, 300.0, 7)]
 
 
-def test_quota_batch_equals_loop(spark):
+def requests(seed=1, n=260):
+    """Two users with fixed times, then bursts of several around midnights; some rows end the request before them."""
+    rows = [(u, 100 * u + i, START + dt.timedelta(seconds=s), None) for u in (1, 2) for i, s in enumerate((0, 10, 20, 59, 60, 61, 75, 4000, 86390, 86400, 86405))]
+    rng = random.Random(seed)
+    for i in range(n):
+        day, at = rng.randrange(3), rng.choice([rng.uniform(0, 200), rng.uniform(86_200, 86_399), rng.uniform(0, 86_400)])
+        rows.append((rng.randrange(1, 9), 1000 + i, START + dt.timedelta(days=day, milliseconds=int(at * 1000)), 1000 + rng.randrange(i) if i and rng.random() < 0.2 else None))
+    return rows
+
+
+@pytest.mark.parametrize("limits", LIMITS)
+def test_quota_batch_equals_loop(spark, limits):
     rows = requests()
-    got = quotas.admit(spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp"), 2, 4)
-    assert {r["event_id"]: r["admitted"] for r in got.collect()} == reference_fold(rows, 2, 4)
+    got = quotas.admit(spark.createDataFrame(rows, REQUESTS).repartition(5), limits).collect()
+    assert {r["event_id"]: r["reason"] for r in got} == reference_fold(rows, limits)
+    assert all(r["admitted"] == (r["reason"] is None) for r in got)
+
+
+def test_quota_limits_must_be_positive_and_tables_may_be_empty(spark):
+    with pytest.raises(ValueError):
+        quotas.Limits(0, 1)
+    assert quotas.admit(spark.createDataFrame([], REQUESTS), quotas.Limits(1, 1, 1.0, 1)).count() == 0
 
 
-def test_quota_stream_equals_loop(spark, tmp_path):
+@pytest.mark.parametrize("limits", LIMITS[1::2])
+def test_quota_stream_equals_loop_whatever_the_order(spark, tmp_path, limits):
+    """Shuffled rows in many small batches; a last row far ahead lets the watermark pass all others."""
     rows = requests()
+    mixed = rows[:]
+    random.Random(3).shuffle(mixed)
+    src = str(tmp_path / "in")
+    for i, part in enumerate([mixed[:90], mixed[90:100], mixed[100:], [(99, 1, START + dt.timedelta(days=30), None)], [(99, 2, START + dt.timedelta(days=60), None)]]):
+        spark.createDataFrame(part, REQUESTS).coalesce(1).write.mode("append").parquet(f"{src}/{i}")
+    stream = spark.readStream.schema(REQUESTS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("latestFirst", False).parquet(src)
+    q = quotas.admit_stream(stream, limits, late="4 days").writeStream.format("memory").queryName(f"admitted{limits.per_minute}").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r["event_id"]: r["reason"] for r in spark.table(f"admitted{limits.per_minute}").collect()}
+    assert {k: v for k, v in got.items() if k > 50} == reference_fold(rows, limits)
+
+
+def test_quota_shards_never_exceed_the_day(spark, tmp_path):
+    rows, limits = requests(), quotas.Limits(5, 50, None, 7)
     src = str(tmp_path / "in")
-    for part in (rows[:4] + rows[10:14], rows[4:10] + rows[14:]):
-        spark.createDataFrame(part, "user_id long, event_id long, ts timestamp").coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema("user_id long, event_id long, ts timestamp").parquet(src)
-    q = quotas.admit_stream(stream, 2, 4, late="2 days").writeStream.format("memory").queryName("admitted").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    spark.createDataFrame([*rows, (99, 1, START + dt.timedelta(days=30), None)], REQUESTS).coalesce(1).write.parquet(src)
+    q = quotas.admit_stream(spark.readStream.schema(REQUESTS).parquet(src), limits, shards=3).writeStream.format("memory").queryName("sharded").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert {r["event_id"]: r["admitted"] for r in spark.table("admitted").collect()} == reference_fold(rows, 2, 4)
+    days = {}
+    for r in spark.table("sharded").filter("admitted AND event_id > 50").collect():
+        days[r["ts"].date()] = days.get(r["ts"].date(), 0) + 1
+    assert days and max(days.values()) <= 7
