@@ -128,13 +128,15 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_passages: int = 400_000) -> Model | None:
     """A model from labels(doc_id, quality). All passages of a sampled document teach."""
-    sample = labelled_sample(docs, labels, "quality", per_class)
+    scratch = common.Scratch(docs.sparkSession)
+    sample = labelled_sample(docs, labels, "quality", per_class, scratch)
     n = F.greatest(F.ceil(F.octet_length("text") / PASSAGE), F.lit(1))
     sample = sample.withColumn("n", n).filter(8 * F.col("n") <= most_passages)
     upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over the sample's rows alone
     sizes = sample.select("doc_id", "n").withColumn("upto", upto).filter(F.col("upto") <= most_passages).select("doc_id")
     sample = sample.join(F.broadcast(sizes), "doc_id")  # at most 2 * per_class rows
     rows = sample.mapInArrow(_bags, "doc_id long, label int, weight double, bag binary").orderBy("doc_id").collect()
+    scratch.drop("sample")
     if not rows:
         return None
     bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, DIM) for r in rows]

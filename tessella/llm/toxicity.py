@@ -4,8 +4,9 @@ Features of a whole text: densities of lexicon words (insults given as a paramet
 training rows show to be much more frequent in toxic documents), how near they stand to second-person words, capitals,
 punctuation, and obfuscation (digits and signs for letters, spaced letters) with the lexicon words it hides. Term counts
 come from a Spark aggregation over the sample; at most ``most_terms`` terms are kept. Trees are grown in numpy on the
-features of at most 2 * ``per_class`` labelled rows, two thirds of them; the others calibrate the score by pooling
-adjacent violators, weighted to the classes' real shares.
+features of at most 2 * ``per_class`` labelled rows, two thirds of them, which the terms come from as well; the others, whose labels
+nothing before has seen, calibrate the score by pooling adjacent violators, weighted to the classes' real shares. (With fewer than three
+rows of a class in either part, all rows do both, and scores are too sure.)
 
 Defined results: null and empty texts have features 0; very long texts are read whole; equal texts get equal scores; without labels of both classes every
 score is 0; an empty table gives no rows; other columns are ignored (``drop_toxic`` keeps them); null doc_ids stay null.
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -186,24 +188,25 @@ def _terms(sample: DataFrame, most_terms: int) -> DataFrame:
 def _sample_features(batches: Iterator[pa.RecordBatch], lex: Lexicon) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = [features(t, lex) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), batch.column("weight"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "label", "weight", "x"])
+        kept = ("doc_id", "label", "weight", "rest")
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(x, pa.list_(pa.float64()))], names=[*kept, "x"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_terms: int = 200, insults: tuple[str, ...] = INSULTS) -> Model:
     """A model from docs(doc_id, text) and labels(doc_id, toxic)."""
-    sample = labelled_sample(docs, labels, "toxic", per_class)
-    terms = _terms(sample, most_terms).collect()
+    scratch = common.Scratch(docs.sparkSession)
+    sample = labelled_sample(docs, labels, "toxic", per_class, scratch).withColumn("rest", F.crc32(F.concat(F.lit("calibrate "), F.col("doc_id").cast("string")).cast("binary")) % 3 == 0)
+    parts = {(r["label"], r["rest"]): r["count"] for r in sample.groupBy("label", "rest").count().collect()}
+    apart = min(parts.get((k, rest), 0) for k in (0, 1) for rest in (False, True)) >= 3
+    terms = _terms(sample.filter("NOT rest") if apart else sample, most_terms).collect()
     lex = Lexicon(frozenset(insults) | {r["term"] for r in terms if r["kind"] == 0}, frozenset(r["term"] for r in terms if r["kind"]))
-    rows = sample.mapInArrow(lambda it: _sample_features(it, lex), "doc_id long, label int, weight double, x array<double>").orderBy("doc_id").collect()
+    rows = sample.mapInArrow(lambda it: _sample_features(it, lex), "doc_id long, label int, weight double, rest boolean, x array<double>").orderBy("doc_id").collect()
+    scratch.drop("sample")
     if len({r["label"] for r in rows}) < 2:
         return Model(lex)
     x, y, w = np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows], float), np.array([r["weight"] for r in rows])
-    rest = np.array([common.py_crc_mod(f"calibrate {r['doc_id']}", 3) == 0 for r in rows])
-    if min(y[rest].sum(), (1 - y[rest]).sum(), y[~rest].sum(), (1 - y[~rest]).sum()) < 3:
-        rest = np.ones(len(y), bool)
-        fit = rest
-    else:
-        fit = ~rest
+    rest = np.array([r["rest"] for r in rows]) if apart else np.ones(len(y), bool)
+    fit = ~rest if apart else rest
     trees = grow(x[fit], y[fit], w[fit] / w[fit].mean())
     return Model(lex, trees, *isotonic(margin(trees, x[rest]), y[rest], w[rest]))
 
@@ -223,18 +226,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(lambda it: _score(it, model), schema)
 
 
-def _mild(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, 500):
-            part = batch.slice(i, 500)
-            texts = part.column(0).field("text").cast(pa.string()).to_pylist()
-            yield part.filter(pa.array(model.scores(texts) < threshold))
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs with a lower score, with the columns of docs, which may have any names. Python gets the texts and returns scores."""
 
+    @F.pandas_udf(DoubleType())
+    def toxicity(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.scores([None if pd.isna(t) else t for t in texts]))
 
-def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs with a lower score, with the columns of docs, which may have any names."""
-    packed = docs.select(F.struct("*").alias("row"))
-    return packed.mapInArrow(lambda it: _mild(it, model, threshold), packed.schema).select("row.*")
+    return docs.filter(toxicity(F.col("text").cast("string")) < threshold)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
