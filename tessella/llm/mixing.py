@@ -14,7 +14,7 @@ document is taken whole as many times as the quota goes round, and once more whe
 are exact per shard.
 
 Defined results: null or blank texts have size 0 and are taken 0 times; the null source is a source of its own, last in
-order; equal rows are placed each for itself, equal ids in the order of their texts' hashes; an empty table gives no rows;
+order; equal rows are placed each for itself, equal ids in the order of their texts' hashes, null ids by their texts; an empty table gives no rows;
 other columns pass through ``apply_mix``, whatever their names.
 """
 
@@ -78,8 +78,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK,
 
     ``begin`` is the first word of the part that is taken once more; words past the end go on at the document's start.
     """
-    d = docs.select(F.col("doc_id").cast("long"), "source", n_words("text").alias("size"), F.xxhash64("text").alias("text_key"))
-    d = common.materialise(d.withColumn("place", _seeded(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "sizes")
+    d = docs.select(F.col("doc_id").cast("long"), "source", n_words("text").alias("size"), F.xxhash64("text").alias("text_key"), F.when(F.col("doc_id").isNull(), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("md5"))
+    # documents without an id are told apart by their texts, so that they are no large group
+    d = common.materialise(d.withColumn("place", _seeded(seed, F.coalesce(F.col("doc_id").cast("string"), "md5"))).drop("md5"), "sizes")
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"))
     t = targets(sizes, weights)
     smallest = F.min(F.when(F.col("target") > 0, F.col("target"))).over(Window.partitionBy())
@@ -147,7 +148,7 @@ _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 ORACLE_SQL = f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST({_WORDS} AS BIGINT) AS size,
-    CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place
+    CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 15) AS BIGINT) AS place
   FROM documents),
 w AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
     CASE (row_number() OVER (ORDER BY source COLLATE "binary" ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
