@@ -108,12 +108,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, g
     A worker keeps the ids of max_words words: fewer cost time, more cost memory.
     """
     pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _pieces(it, tokenizer, end_id, window, max_words), PIECES)
-    pieces = common.materialise(pieces, "pieces")
+    # rows without an id can be equal in all that is told of them: a number keeps them from being one group
+    pieces = common.materialise(pieces.withColumn("__row", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), "pieces")
     counts = pieces.groupBy("length").count().collect()  # at most `window` rows
     histogram = {r["length"]: r["count"] for r in counts}
     table = intervals(shortest_pack_first(histogram, window))
     spread = pieces.sparkSession.createDataFrame([(k, -(-n // group_rows)) for k, n in histogram.items()], "length int, groups long")
-    salted = pieces.join(F.broadcast(spread), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), "groups"))
+    salted = pieces.join(F.broadcast(spread), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "__row"), "groups"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
