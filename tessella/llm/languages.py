@@ -1,8 +1,8 @@
 """Operator 4: language identification by a bidirectional gated recurrent network over bytes.
 
 Training: a bounded sample of labelled rows (``per_lang`` rows of each language, chosen by hash; where the languages are
-many, an equal share of ``most_rows``, but one row of each at least) gives ``windows_per_text`` windows of ``steps`` bytes each,
-which executors draw at seeded places of the whole texts and only which come to the driver. A small network (a forward and a backward GRU, whose states label every position) is trained in numpy by backpropagation
+many, an equal share of ``most_rows``, but one row of each at least) gives ``windows_per_text`` windows of ``steps`` bytes for each row,
+which executors draw at seeded places of the whole texts, longer texts more of them, and only which come to the driver. A small network (a forward and a backward GRU, whose states label every position) is trained in numpy by backpropagation
 through time with Adam. Scoring: every text is cut into windows of ``steps`` bytes, all of them are labelled at every position,
 many windows at a time, and a document's probabilities are the mean of its positions' log probabilities, normalised.
 
@@ -145,19 +145,23 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(lang), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch], n: int, steps: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """n windows of each text, at places that depend on the text alone; none of an empty one."""
+def _windows(batches: Iterator[pa.RecordBatch], steps: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """``n`` windows of each text, at places that depend on the text alone; none of an empty one."""
     for batch in batches:
         out = []
-        for t in common.utf8(batch.column("text")):
+        for t, n in zip(common.utf8(batch.column("text")), batch.column("n").to_pylist()):
             starts = np.random.default_rng([seed, zlib.crc32(t)]).integers(0, max(len(t) - steps, 0) + 1, n).tolist() if t else []
             out.append(b"".join(t[a : a + steps].ljust(steps, b"\0") for a in starts))
         yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("lang"), pa.array(out, pa.binary())], names=["place", "lang", "windows"])
 
 
 def learn(labelled: DataFrame, per_lang: int = 150, most_rows: int = 3000, windows_per_text: int = 8, steps: int = STEPS, seed: int = 7) -> Model | None:
-    """A model from labelled(doc_id, text, lang). Only windows of the sample named above come to the driver."""
-    counts = common.materialise(labelled.groupBy("lang").count(), "counts")
+    """A model from labelled(doc_id, text, lang). Only windows of the sample named above come to the driver.
+
+    A language's windows, ``windows_per_text`` times its sampled texts in all, are dealt to these texts by their lengths, one at least.
+    """
+    scratch = common.Scratch(labelled.sparkSession)
+    counts = scratch.put("counts", labelled.groupBy("lang").count())
     n_langs = counts.count()
     share = min(per_lang, max(most_rows // max(n_langs, 1), 1))
     if n_langs <= BROADCAST_ROWS:  # else a shuffled join, in which a frequent language is a large group that Spark splits
@@ -166,8 +170,12 @@ def learn(labelled: DataFrame, per_lang: int = 150, most_rows: int = 3000, windo
     rows = labelled.join(counts, "lang").withColumn("place", place).filter(F.col("place") * F.col("count") < F.lit(2 * share + 50) * 1_000_000)
     # the filter leaves each language some more rows than its share, so that the windows are small
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))).filter(F.col("nth") <= share)
-    drawn = rows.select("place", "lang", "text").mapInArrow(lambda it: _windows(it, windows_per_text, steps, seed), "place long, lang string, windows binary")
+    mine = Window.partitionBy("lang")  # as many rows as the sample has of it
+    share_of_all = F.octet_length("text") * F.count("*").over(mine) * windows_per_text / F.greatest(F.sum(F.octet_length("text")).over(mine), F.lit(1))
+    rows = rows.withColumn("n", F.greatest(F.round(share_of_all), F.lit(1)).cast("int"))
+    drawn = rows.select("place", "lang", "text", "n").mapInArrow(lambda it: _windows(it, steps, seed), "place long, lang string, windows binary")
     rows = drawn.orderBy("place", "lang", "windows").collect()
+    scratch.drop("counts")
     langs = sorted({r["lang"] for r in rows if r["windows"]})
     x = [np.frombuffer(r["windows"], np.uint8).reshape(-1, steps) for r in rows if r["windows"]]
     y = [np.full(len(r["windows"]) // steps, langs.index(r["lang"])) for r in rows if r["windows"]]
