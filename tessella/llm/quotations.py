@@ -131,5 +131,33 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     return out.orderBy("conv_id", "thread", "turn")
 
 
+def quoting(messages: DataFrame) -> DataFrame:
+    """messages(conv_id, turn, role, text) with a line that names each message in its own text, and quotes of the two messages before it.
+
+    The message before is quoted at the first level by its naming line, the one before that at the second, as mail programs do.
+    """
+    turns = messages.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn").distinct()
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    before = turns.withColumns({"b1": F.lag("turn", 1).over(order), "b2": F.lag("turn", 2).over(order)})
+    name = lambda turn: F.concat(F.lit("message "), F.col("conv_id").cast("string"), F.lit(" turn "), turn.cast("string"), F.lit(" here."))
+    quote = lambda marks, turn: F.when(turn.isNotNull(), F.concat(F.lit(f"{marks} "), name(turn)))
+    d = messages.join(before, ["conv_id", "turn"])
+    text = F.concat_ws("\n", F.when(F.col("b1").isNotNull(), F.lit("On Monday someone wrote:")), quote(">>", F.col("b2")), quote(">", F.col("b1")), F.coalesce("text", F.lit("")), name(F.col("turn")))
+    return d.select("conv_id", "turn", "role", text.alias("text"))
+
+
+def quoted_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations' messages with quotes put before them, linked: each answers the one before it, in one thread a conversation."""
+    linked = link_quotations(quoting(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return linked.select("conv_id", "turn", "thread", "depth", "reply_to", "n_quotes", "n_linked")
+
+
+THREADS_SQL = """
+WITH t AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+o AS (SELECT conv_id, turn, min(turn) OVER (PARTITION BY conv_id) AS thread, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS depth, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS reply_to FROM t)
+SELECT conv_id, turn, thread, CAST(depth AS BIGINT) AS depth, reply_to, CAST(least(depth, 2) AS INTEGER) AS n_quotes, CAST(least(depth, 2) AS BIGINT) AS n_linked FROM conversations JOIN o USING (conv_id, turn)
+"""
+
+
 def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))

@@ -12,6 +12,7 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_quotation_linking": quotations.op7_quotation_linking,
+    "quoted_threads": quotations.quoted_threads,
     "op8_quality_attention": quality_mil.op8_quality_attention,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_packing": packing.op10_packing,
@@ -23,6 +24,7 @@ ORACLES: dict[str, str] = {
     "op3_jaccard_join": jaccard_join.ORACLE_SQL,
     "op5_mixing": mixing.ORACLE_SQL,
     "op6_quality_rules": quality_rules.ORACLE_SQL,
+    "quoted_threads": quotations.THREADS_SQL,
     "op11_vector_codes": vector_codes.ORACLE_SQL,
     "op12_target_resampling": target_resampling.ORACLE_SQL,
     "op13_page_text": page_differencing.ORACLE_SQL,
