@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text
 from tessella.plans.registry import Tables, query
+from tessella.sources import xml
 
 from .relational import best
 
@@ -269,12 +270,29 @@ def tables_of(pages: DataFrame, key: str, html: str, most_rows: int = 20) -> Dat
     return d.select(key, "table", caption.alias("caption"), cells(F.col("t"), "th").alias("headers"), F.slice(F.filter(rows, lambda r: F.size(r) > 0), 1, most_rows).alias("rows"))
 
 
-def xml_records(rows: DataFrame, key: str, xml: str, fields: dict[str, str], record: str = "record") -> DataFrame:
-    """A row for each record element, with the texts of its fields (name: element) as lists; an element may have a prefix."""
-    d = rows.select(key, F.posexplode(F.regexp_extract_all(F.coalesce(xml, F.lit("")), F.lit(rf"(?s)<(?:\w+:)?{record}\b[^>]*>(.*?)</(?:\w+:)?{record}>"), F.lit(1))).alias("nth", "r"))
-    plain = lambda c: F.replace(F.replace(F.replace(text.collapse(F.regexp_replace(c, r"<[^>]*>", "")), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
-    get = lambda e: F.filter(F.transform(F.regexp_extract_all("r", F.lit(rf"(?s)<(?:\w+:)?{e}\b[^>]*>(.*?)</(?:\w+:)?{e}>"), F.lit(1)), plain), lambda x: x != "")
-    return d.select(key, "nth", *[get(e).alias(name) for name, e in fields.items()])
+_GOOD = "[^\\x09\\x0A\\x0D\\x20-\\x{D7FF}\\x{E000}-\\x{FFFD}\\x{10000}-\\x{10FFFF}]"
+
+
+@query(
+    "article_parts",
+    r"""
+WITH d AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g'), chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL),
+p AS (SELECT doc_id, l[1] AS first, array_to_string(l[2:], chr(10)) AS rest FROM d),
+c AS (SELECT doc_id, trim(regexp_replace(first, '[\s\p{Z}\x{85}\x1C-\x1F]+', ' ', 'g')) AS first, trim(regexp_replace(rest, '[\s\p{Z}\x{85}\x1C-\x1F]+', ' ', 'g')) AS rest FROM p)
+SELECT doc_id, 'Document ' || doc_id AS title, CAST(2 AS INTEGER) AS sections, md5(first) AS outer_hash, md5(rest) AS inner_hash, md5(trim(regexp_replace('First ' || first || ' Rest ' || rest, ' +', ' ', 'g'))) AS body_hash FROM c
+""",
+)
+def article_parts(t: Tables) -> DataFrame:
+    """Documents put into articles with a section inside a section, and read again: the first line stands in the outer one, the rest in the inner one."""
+    clean = F.regexp_replace(F.coalesce("text", F.lit("")), _GOOD, " ")
+    safe = F.replace(F.replace(F.replace(clean, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.split(safe, "\n", -1)
+    d = t.documents.filter("doc_id IS NOT NULL").select("doc_id", lines.alias("l"))
+    parts = ["<a:set xmlns:a='x'><article><front><article-meta><title-group><article-title>Document <i>", F.col("doc_id").cast("string"), "</i></article-title></title-group></article-meta></front><body><sec><title>First</title><p>", F.get("l", F.lit(0)), "</p><sec><title>Rest</title><p>", F.array_join(F.expr("slice(l, 2, size(l))"), "\n"), "</p></sec></sec></body></article></a:set>"]
+    made = d.select("doc_id", F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("xml"))
+    a = xml.articles(made, "doc_id", "xml")
+    text_of = lambda i: F.md5(F.get("sections", F.lit(i))["text"])
+    return a.select("doc_id", "title", F.size("sections").alias("sections"), text_of(0).alias("outer_hash"), text_of(1).alias("inner_hash"), F.md5("body").alias("body_hash"))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text
 from tessella.operators import evidence, figures, resolve, wording, workflow
+from tessella.sources import xml as xml_source
 
 
 @pytest.fixture(scope="module")
@@ -103,7 +104,7 @@ def test_tables_and_records(spark):
     got = wording.tables_of(spark.createDataFrame([(1, html), (2, None)], "id int, html string"), "id", "html").collect()
     assert [(r["id"], r["table"], r["caption"], r["headers"], r["rows"]) for r in got] == [(1, 0, "Protein of beans", ["Food", "g"], [["Bean", "21"]]), (1, 1, "", [], [])]
     xml = "<oai><record><dc:title>A &amp; B</dc:title><dc:creator>x</dc:creator><dc:creator>y</dc:creator></record><record><dc:title/></record></oai>"
-    got = wording.xml_records(spark.createDataFrame([(1, xml)], "id int, xml string"), "id", "xml", {"title": "title", "people": "creator"}).collect()
+    got = xml_source.records(spark.createDataFrame([(1, xml)], "id int, xml string"), "id", "xml", {"title": "title", "people": "creator"}).collect()
     assert [(r["nth"], r["title"], r["people"]) for r in got] == [(0, ["A & B"], ["x", "y"]), (1, [], [])]
 
 
