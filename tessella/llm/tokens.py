@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 
@@ -127,13 +129,13 @@ class WordEncoder:
             self.known = {}
         if len(self.bare) > 50_000:
             self.bare = {}
-        cut: list[tuple[list[str], list[bytes | None]]] = []
+        cut: list[tuple[list[str], list[bytes | None], list[str]]] = []
         unknown: set[str] = set()
         first: set[str] = set()
         get = self.known.get
         for t in texts:
             if not t:
-                cut.append(([], []))
+                cut.append(([], [], []))
                 continue
             if not self.marks_blank and not _HIGH.search(t):
                 t = t.lower()  # as the normalizer does; it makes fewer words to learn
@@ -143,9 +145,9 @@ class WordEncoder:
                 words = t.split(" ")
             first.add(words[0])
             ids = list(map(get, words))
-            if None in ids:
-                unknown.update([w for w, i in zip(words, ids) if i is None])
-            cut.append((words, ids))
+            missed = list(compress(words, map(is_, ids, repeat(None))))
+            unknown.update(missed)
+            cut.append((words, ids, missed))
         # a part that holds blanks of its own goes to the library whole
         odd = [w for w in unknown if not w or w[0] == "\n" or " " in w]
         if odd:
@@ -157,10 +159,12 @@ class WordEncoder:
         if new:
             self.bare.update(zip(new, self._library(new)))
         out, known = [], self.known
-        for words, ids in cut:
+        for words, ids, missed in cut:
+            at = -1
+            for w in missed:
+                at = ids.index(None, at + 1)
+                ids[at] = known[w]
             if ids:
                 ids[0] = self.bare[words[0]]
-                if None in ids:
-                    ids = [known[w] if i is None else i for w, i in zip(words, ids)]
             out.append(b"".join(ids))
         return out
