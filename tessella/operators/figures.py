@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.plans.registry import Tables, query
+from tessella.sources import shared
 
 from .relational import best
 
@@ -96,11 +97,11 @@ def mean_confidence(values: str, default: float = 0.5) -> Column:
 
 @query(
     "mean_confidences",
-    "SELECT l_suppkey, round(coalesce(greatest(0.0, least(1.0, avg(CASE WHEN l_returnflag = 'R' THEN l_discount * 15 END))), 0.5), 6) AS confidence FROM lineitem WHERE l_quantity > 30 GROUP BY l_suppkey",
+    "SELECT l_suppkey, round(coalesce(greatest(0.0, least(1.0, avg(CASE WHEN l_returnflag = 'R' THEN l_discount * 15 END))), 0.5), 6) AS confidence FROM lineitem GROUP BY l_suppkey",
 )
 def mean_confidences(t: Tables) -> DataFrame:
     """Confidence by supplier from its returned lines, a half where there are none."""
-    d = t.lineitem.filter("l_quantity > 30").select("l_suppkey", F.when(F.col("l_returnflag") == "R", F.col("l_discount") * 15).alias("v"))
+    d = t.lineitem.select("l_suppkey", F.when(F.col("l_returnflag") == "R", F.col("l_discount") * 15).alias("v"))
     return d.groupBy("l_suppkey").agg(F.round(mean_confidence("v"), 6).alias("confidence"))
 
 
@@ -123,13 +124,13 @@ def union_categories(*sources: DataFrame, key: str, name: str) -> DataFrame:
 @query(
     "category_conflicts",
     """
-SELECT p_size, count(DISTINCT p_type) AS names, string_agg(DISTINCT p_type, ' | ' ORDER BY p_type) AS found FROM part WHERE p_partkey % 3 = 0 OR p_brand = 'Brand#13' GROUP BY p_size HAVING count(DISTINCT p_type) > 1
+SELECT p_size, count(DISTINCT x) AS names, string_agg(DISTINCT x, ' | ' ORDER BY x) AS found FROM (SELECT p_size, p_type AS x FROM part UNION ALL SELECT p_size, p_brand FROM part) GROUP BY p_size HAVING count(DISTINCT x) > 1
 """,
 )
 def category_conflicts(t: Tables) -> DataFrame:
     """Two lists of categories put together: ids that stand for different names."""
-    a = t.part.filter("p_partkey % 3 = 0").select("p_size", "p_type")
-    return name_conflicts(a.unionByName(t.part.filter("p_brand = 'Brand#13'").select("p_size", "p_type")), "p_size", "p_type")
+    a, b = (t.part.select("p_size", F.col(c).alias("name")) for c in ("p_type", "p_brand"))
+    return name_conflicts(a.unionByName(b), "p_size", "name")
 
 
 def implausible(rows: DataFrame, limits: DataFrame) -> DataFrame:
@@ -189,13 +190,13 @@ def exploring_score(good: Column, bad: Column, least: int = 5) -> Column:
 @query(
     "best_terms",
     """
-WITH u AS (SELECT p_name AS term, count(*) FILTER (l_returnflag = 'R' AND l_discount > 0.07) AS good, count(*) FILTER (l_returnflag = 'A' AND l_discount > 0.09) AS bad FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_size > 48 GROUP BY p_name)
+WITH u AS (SELECT p_name AS term, count(*) FILTER (l_returnflag = 'R' AND l_discount > 0.07) AS good, count(*) FILTER (l_returnflag = 'A' AND l_discount > 0.09) AS bad FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY p_name)
 SELECT term, good, bad, round(CASE WHEN good + bad < 5 THEN 1.0 ELSE good / (good + bad) END, 6) AS score FROM u ORDER BY score DESC, good DESC, term LIMIT 12
 """,
 )
 def best_terms(t: Tables) -> DataFrame:
     """A top-k report: the twelve best terms, with untried ones first."""
-    d = t.part.filter("p_size > 48").join(t.lineitem, F.col("l_partkey") == F.col("p_partkey"))
+    d = t.part.join(t.lineitem, F.col("l_partkey") == F.col("p_partkey"))
     u = d.groupBy(F.col("p_name").alias("term")).agg(F.count_if((F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.07)).alias("good"), F.count_if((F.col("l_returnflag") == "A") & (F.col("l_discount") > 0.09)).alias("bad"))
     return u.withColumn("score", F.round(exploring_score(F.col("good"), F.col("bad")), 6)).orderBy(F.col("score").desc(), F.col("good").desc(), "term").limit(12)
 
@@ -303,13 +304,13 @@ def pending_inputs(rows: DataFrame, done: DataFrame, key: str, text: Column) ->
 @query(
     "pending_embeddings",
     """
-WITH d AS (SELECT doc_id, sha256(concat_ws(chr(10), lang, source, left(text, 2000))) AS input_hash FROM documents), e AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'old' ELSE input_hash END AS input_hash FROM d WHERE doc_id % 4 <> 1)
+WITH d AS (SELECT doc_id, sha256(concat_ws(chr(10), lang, source, text)) AS input_hash FROM documents), e AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'old' ELSE input_hash END AS input_hash FROM d WHERE doc_id % 4 <> 1)
 SELECT doc_id, input_hash FROM d WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = d.doc_id AND e.input_hash = d.input_hash)
 """,
 )
 def pending_embeddings(t: Tables) -> DataFrame:
-    """Documents that are new or have changed since they were embedded; an embedder sees a text's head by design."""
-    text = F.concat_ws("\n", "lang", "source", F.substring("text", 1, 2000))
+    """Documents that are new or have changed anywhere since they were embedded."""
+    text = F.concat_ws("\n", "lang", "source", "text")
     made = t.documents.select("doc_id", F.when(F.col("doc_id") % 10 == 3, "old").otherwise(F.sha2(text, 256)).alias("input_hash")).filter("doc_id % 4 <> 1")
     return pending_inputs(t.documents.select("doc_id", "lang", "source", "text"), made, "doc_id", text).select("doc_id", "input_hash")
 
@@ -342,14 +343,26 @@ def display_order(t: Tables) -> DataFrame:
     return g.withColumn("place", F.row_number().over(Window.orderBy(display_rank(F.col("event_type"), ["purchase", "view", "click"]), "event_type", "unit")))
 
 
+def nth_rows(rows: DataFrame, kind: str, order: list[str], n: int) -> DataFrame:
+    """Each n-th row of a kind, in order: ranges of kind and order are written and counted, and each range goes on where those before it end."""
+    path = shared.shared_dir(rows.sparkSession, "ranges")
+    rows.repartitionByRange(kind, *order).withColumn("__range", F.spark_partition_id()).write.parquet(path)
+    dealt = rows.sparkSession.read.parquet(path)
+    counts = dealt.groupBy(kind, "__range").count()  # a row for each kind and range
+    before = F.sum("count").over(Window.partitionBy(kind).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(F.col(kind).alias("__kind"), F.col("__range").alias("__at"), F.coalesce(before, F.lit(0)).alias("__before"))
+    d = dealt.join(F.broadcast(starts), dealt[kind].eqNullSafe(F.col("__kind")) & (F.col("__range") == F.col("__at")))
+    rn = F.row_number().over(Window.partitionBy("__range", kind).orderBy(*order))
+    return d.withColumn("__rn", F.col("__before") + rn).filter(F.col("__rn") % n == 0).select(*rows.columns)
+
+
 @query(
     "every_nth",
     "SELECT event_id, event_type FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events) WHERE rn % 100 = 0",
 )
 def every_nth(t: Tables) -> DataFrame:
     """Each hundredth event of a kind, for an audit: a sampling operator."""
-    rn = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    return t.events.select("event_id", "event_type", rn.alias("rn")).filter("rn % 100 = 0").drop("rn")
+    return nth_rows(t.events.select("event_id", "event_type", "ts"), "event_type", ["ts", "event_id"], 100).drop("ts")
 
 
 @query(

@@ -300,7 +300,7 @@ def weighted_terms(counts: DataFrame, good: int, bad: int, priors: dict[str, flo
 @query(
     "seeded_terms",
     """
-WITH d AS (SELECT doc_id, quality, list_distinct(regexp_extract_all(lower(left(text, 80)), '[\\p{L}\\p{N}]+')) AS a, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS b FROM documents JOIN labels USING (doc_id)),
+WITH d AS (SELECT doc_id, quality, list_distinct(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[\\p{L}\\p{N}]+')) AS a, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS b FROM documents JOIN labels USING (doc_id)),
 t AS (SELECT unnest(a) AS term, quality, 1 AS f FROM d UNION ALL SELECT unnest(b), quality, 2 FROM d),
 c AS (SELECT term, count(*) FILTER (f = 1 AND quality = 1) AS gt, count(*) FILTER (f = 1 AND quality = 0) AS bt, count(*) FILTER (f = 2 AND quality = 1) AS gx, count(*) FILTER (f = 2 AND quality = 0) AS bx FROM t GROUP BY term),
 o AS (SELECT term, ln((gt + 0.5) / 101.0) - ln((bt + 0.5) / 51.0) AS tn, ln((gx + 0.5) / 101.0) - ln((bx + 0.5) / 51.0) AS xn FROM c WHERE gt + bt + gx + bx >= 12 OR term IN ('the', 'water'))
@@ -308,10 +308,10 @@ SELECT term, round(1.5 * tn + xn + CASE term WHEN 'the' THEN -0.5 WHEN 'water' T
 """,
 )
 def seeded_terms(t: Tables) -> DataFrame:
-    """Document frequencies in heads and in whole texts, as log odds with seed priors."""
+    """Document frequencies in first lines and in whole texts, as log odds with seed priors."""
     d = t.documents.select("doc_id", "text").join(t.labels.select("doc_id", "quality"), "doc_id")
     field = lambda c, f: F.transform(F.array_distinct(text.words(c)), lambda w: F.struct(w.alias("term"), F.lit(f).alias("f")))
-    e = d.select("quality", F.explode(F.concat(field(F.substring("text", 1, 80), 1), field(F.col("text"), 2))).alias("t")).select("quality", "t.*")
+    e = d.select("quality", F.explode(F.concat(field(F.substring_index("text", "\n", 1), 1), field(F.col("text"), 2))).alias("t")).select("quality", "t.*")
     n = lambda f, q: F.count_if((F.col("f") == f) & (F.col("quality") == q))
     c = e.groupBy("term").agg(n(1, 1).alias("good_title"), n(1, 0).alias("bad_title"), n(2, 1).alias("good_text"), n(2, 0).alias("bad_text"))
     return weighted_terms(c, 100, 50, {"the": -0.5, "water": 2.0}, least=12).select("term", F.round("net", 6).alias("net"))

@@ -156,7 +156,7 @@ def word_forms(t: Tables) -> DataFrame:
 @query(
     "edge_phrases",
     r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\b[a-z]{3,}\b') AS w FROM documents WHERE lang = 'en'),
+WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{3,}')) AS w FROM documents),
 g AS (SELECT unnest(list_concat([w[i] || ' ' || w[i+1] FOR i IN range(1, greatest(len(w), 1)) IF w[i] NOT IN ('the', 'and') AND w[i+1] NOT IN ('the', 'and')],
   [w[i] || ' ' || w[i+1] || ' ' || w[i+2] FOR i IN range(1, greatest(len(w) - 1, 1)) IF w[i] NOT IN ('the', 'and') AND w[i+2] NOT IN ('the', 'and')])) AS phrase FROM w)
 SELECT phrase, count(*) AS n FROM g GROUP BY phrase HAVING count(*) >= 20
@@ -164,7 +164,7 @@ SELECT phrase, count(*) AS n FROM g GROUP BY phrase HAVING count(*) >= 20
 )
 def edge_phrases(t: Tables) -> DataFrame:
     """Phrases of two and three words that neither begin nor end with a stop word, of some frequency."""
-    d = t.documents.filter("lang = 'en'").select(F.explode(text.edge_ngrams(F.col("text"), ("the", "and"))).alias("phrase"))
+    d = t.documents.select(F.explode(text.edge_ngrams(F.col("text"), ("the", "and"))).alias("phrase"))
     return d.groupBy("phrase").agg(F.count("*").alias("n")).filter("n >= 20")
 
 
@@ -244,13 +244,13 @@ def quote_found(body: Column, quote: Column, least: int = 8) -> Column:
 @query(
     "quotes_with_gaps",
     r"""
-WITH p AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}_/%]+', ' ', 'g')) AS t FROM documents WHERE lang = 'en' AND text IS NOT NULL)
+WITH p AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}_/%]+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL)
 SELECT count(*) FILTER (regexp_matches(t, 'that.*the and.*thin')) AS gapped, count(*) FILTER (contains(t, 'and the that')) AS whole, count(*) FILTER (regexp_matches(t, 'thin.*zzzz')) AS absent FROM p
 """,
 )
 def quotes_with_gaps(t: Tables) -> DataFrame:
     """How many documents hold a quote whole, or its pieces in order."""
-    d = t.documents.filter("lang = 'en' AND text IS NOT NULL")
+    d = t.documents.filter("text IS NOT NULL")
     n = lambda q, name: F.count_if(quote_found(F.col("text"), F.lit(q))).alias(name)
     return d.agg(n("That ... the and ... thin!", "gapped"), n("and the that", "whole"), n("thin … zzzz", "absent"))
 

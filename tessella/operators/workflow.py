@@ -88,15 +88,15 @@ def lookup_ladder(rows: DataFrame, known: DataFrame, id_: str, keys: list[str])
 @query(
     "existing_lookup",
     """
-WITH r AS (SELECT p_partkey, p_name || p_size AS a, p_brand || p_type AS b, p_size AS c FROM part WHERE p_partkey % 3 = 0), k AS (SELECT p_partkey AS id, p_name || p_size AS a, p_brand || p_type AS b, p_size AS c FROM part WHERE p_partkey % 7 = 1)
+WITH r AS (SELECT p_partkey, p_name || p_size AS a, p_brand || p_type || (p_size + 2) AS b, p_size AS c FROM part), k AS (SELECT p_partkey AS id, p_name || (p_size + 7) AS a, p_brand || p_type || p_size AS b, p_size + 1 AS c FROM part)
 SELECT p_partkey, coalesce(x.id, y.id, z.id) AS found_id, CASE WHEN x.id IS NOT NULL THEN 'a' WHEN y.id IS NOT NULL THEN 'b' WHEN z.id IS NOT NULL THEN 'c' END AS found_by FROM r
 LEFT JOIN (SELECT a, min(id) AS id FROM k GROUP BY a) x ON x.a = r.a LEFT JOIN (SELECT b, min(id) AS id FROM k GROUP BY b) y ON y.b = r.b LEFT JOIN (SELECT c, min(id) AS id FROM k GROUP BY c) z ON z.c = r.c
 """,
 )
 def existing_lookup(t: Tables) -> DataFrame:
-    """Which known part a new one is, by the best of three keys."""
-    cols = [F.concat("p_name", F.col("p_size").cast("string")).alias("a"), F.concat("p_brand", "p_type").alias("b"), F.col("p_size").alias("c")]
-    rows, known = t.part.filter("p_partkey % 3 = 0").select("p_partkey", *cols), t.part.filter("p_partkey % 7 = 1").select(F.col("p_partkey").alias("id"), *cols)
+    """Which known part a new one is, by the best of three keys; sizes were counted in another way when the known ones were written."""
+    keys = lambda a, b, c: [F.concat("p_name", (F.col("p_size") + a).cast("string")).alias("a"), F.concat("p_brand", "p_type", (F.col("p_size") + b).cast("string")).alias("b"), (F.col("p_size") + c).alias("c")]
+    rows, known = t.part.select("p_partkey", *keys(0, 2, 0)), t.part.select(F.col("p_partkey").alias("id"), *keys(7, 0, 1))
     return lookup_ladder(rows, known, "id", ["a", "b", "c"]).select("p_partkey", "found_id", "found_by")
 
 
@@ -281,11 +281,12 @@ def refuse_audit(factors: DataFrame, reviewed: DataFrame) -> DataFrame:
 @query(
     "refuse_factors",
     """
-WITH f AS (SELECT l_partkey AS food_code, list_sort(list_distinct(list(CAST(l_discount * 100 AS INTEGER) // 9))) AS v FROM lineitem WHERE l_tax > 0.07 GROUP BY l_partkey), r AS (SELECT p_partkey AS food_code, p_size % 2 AS r FROM part WHERE p_size > 45)
+WITH f AS (SELECT l_partkey AS food_code, list_sort(list_distinct(list(CAST(l_discount * 100 AS INTEGER) // 9))) AS v FROM lineitem GROUP BY l_partkey), r AS (SELECT p_partkey AS food_code, p_size % 2 AS r FROM part WHERE p_size % 5 = 0)
 SELECT food_code, CAST(coalesce(r, CASE WHEN len(v) = 1 THEN v[1] END) AS INTEGER) AS refuse, CASE WHEN r IS NOT NULL THEN CASE WHEN list_contains(v, r) THEN 'reviewed' ELSE 'unsupported' END WHEN len(v) > 1 THEN 'conflict' ELSE 'agreed' END AS state FROM f LEFT JOIN r USING (food_code)
 """,
 )
 def refuse_factors(t: Tables) -> DataFrame:
     value = F.floor(F.round(F.col("l_discount") * 100) / 9).cast("int")
-    f = t.lineitem.filter("l_tax > 0.07").select(F.col("l_partkey").alias("food_code"), F.col("l_suppkey").alias("source"), value.alias("refuse"), F.lit("Core").alias("description"))
-    return refuse_audit(f, t.part.filter("p_size > 45").select(F.col("p_partkey").alias("food_code"), (F.col("p_size") % 2).alias("refuse")))
+    f = t.lineitem.select(F.col("l_partkey").alias("food_code"), F.col("l_suppkey").alias("source"), value.alias("refuse"), F.lit("Core").alias("description"))
+    # every fifth size was looked at by a person
+    return refuse_audit(f, t.part.select(F.col("p_partkey").alias("food_code"), F.when(F.col("p_size") % 5 == 0, F.col("p_size") % 2).alias("refuse")))
