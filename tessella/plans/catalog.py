@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.operators import autocomplete, documents, events, evidence, figures, layout, lexical, mentions, planning, relational, release, resolve, text_index, vector_index, vectors, wording, workflow
+from tessella.operators import autocomplete, documents, events, evidence, figures, layout, lexical, mentions, planning, relational, release, resolve, review, text_index, vector_index, vectors, wording, workflow
 from tessella.streaming import queries as streams
 
 from .registry import ORACLES, QUERIES
@@ -25,4 +25,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-MODULES = (autocomplete, documents, events, evidence, figures, layout, lexical, mentions, planning, relational, release, resolve, streams, text_index, vector_index, vectors, wording, workflow)
+MODULES = (autocomplete, documents, events, evidence, figures, layout, lexical, mentions, planning, relational, release, resolve, review, streams, text_index, vector_index, vectors, wording, workflow)
