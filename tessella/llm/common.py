@@ -80,8 +80,16 @@ def numbered(scratch: Scratch, df: DataFrame, order: list, name: str) -> DataFra
     return dealt.join(first, "__range").withColumn(name, (F.col("__before") + place).cast("long")).drop("__range", "__before")
 
 
+#: Under this size a core, a Parquet table is often a single row group, which one task would read.
+SMALL = 4 << 20
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The table documents; the rows of a small one are dealt to all cores, those of a large one stay where its files have them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(cores) if size < cores * SMALL else docs
 
 
 def crc_mod(col: str, n: int) -> Column:
