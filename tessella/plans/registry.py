@@ -10,6 +10,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Bytes a core under which a table of texts counts as small.
+SMALL = 4 << 20
+
+
 class Tables:
     """The Parquet tables below a folder, by attribute."""
 
@@ -19,6 +23,15 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @property
+    def documents(self) -> DataFrame:
+        """Texts take long to work on: the rows of a small table, which is often a single row group that one task would read, are dealt
+        to all cores; those of a large one stay where its files have them."""
+        docs = self.spark.read.parquet(f"{self.sf_dir}/documents.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return docs.repartition(cores) if size < cores * SMALL else docs
+
 
 def query(name: str, oracle: str | None = None) -> Callable:
     """Register a function of Tables under a name."""
