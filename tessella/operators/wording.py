@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text
 from tessella.plans.registry import Tables, query
-from tessella.sources import xml
+from tessella.sources import artifacts, shared, xml
 
 from .relational import best
 
@@ -295,6 +295,26 @@ def article_parts(t: Tables) -> DataFrame:
     return a.select("doc_id", "title", F.size("sections").alias("sections"), text_of(0).alias("outer_hash"), text_of(1).alias("inner_hash"), F.md5("body").alias("body_hash"))
 
 
+@query(
+    "article_index",
+    r"""
+WITH p AS (SELECT url, arg_max(html, page_id) AS html FROM pages WHERE url IS NOT NULL GROUP BY url)
+SELECT url, CASE WHEN length(url) % 2 = 0 THEN 2 ELSE 1 END AS times_parsed, regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1) || CASE WHEN length(url) % 2 = 0 THEN ' (2)' ELSE '' END AS title FROM p
+""",
+)
+def article_index(t: Tables) -> DataFrame:
+    """Pages dropped as JSON lines, then dropped again with every other one changed, and indexed after each drop: what is the same isn't parsed again."""
+    title = F.concat(F.regexp_extract("body", r"(?is)<title\b[^>]*>(.*?)</title>", 1), F.when(F.endswith("body", F.lit("<!--2-->")), " (2)").otherwise(""))
+    path = shared.shared_dir(t.spark, "articles")
+    index = artifacts.ArticleIndex(t.spark, f"{path}/index", lambda d: d.select("url", title.alias("title")))
+    for drop in (1, 2):
+        body = F.when((F.length("url") % 2 == 0) & (F.lit(drop) == 2), F.concat("html", F.lit("<!--2-->"))).otherwise(F.col("html"))
+        rows = t.pages.select("url", body.alias("body"), (F.to_timestamp(F.lit(f"2024-01-0{drop}")) + F.expr("make_interval(0, 0, 0, 0, 0, 0, page_id)")).alias("fetched"))
+        rows.write.json(f"{path}/drops/{drop}")
+        index.ingest(f"{path}/drops")
+    return index.current().select("url", F.col("times_parsed").cast("int").alias("times_parsed"), "title")
+
+
 @query(
     "page_fields",
     r"""
