@@ -9,6 +9,11 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def arrow_batches(spark: SparkSession) -> None:
+    """Pages and vectors can be long rows: batches between Spark and Python are bounded by bytes, not only by rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir. Where that is unset, a temporary one is made in local mode only: executors of a cluster would not share it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
