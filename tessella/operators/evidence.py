@@ -5,13 +5,16 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
 from tessella.functions import text
 from tessella.plans.registry import Tables, query
+from tessella.sources import shared
 
 from .linking import common_length, components, passage_links
 
@@ -176,9 +179,8 @@ def evidence_statuses(t: Tables) -> DataFrame:
     return evidence_status(t.events.select(F.col("user_id").alias("id")).distinct(), m)
 
 
-def _rows_of_page(g: pd.DataFrame, row_gap: float, word_gap: float) -> Iterator[tuple[int, int, str]]:
-    """(row, fragment, text) of a page's words, from the top: a word joins a row whose mean height it is near."""
-    words = g.sort_values(["y", "x"], ascending=[False, True])[["x", "right", "y", "word"]].to_numpy()
+def _rows_of_page(words: list[tuple[float, float, float, str]], row_gap: float, word_gap: float) -> Iterator[tuple[int, int, str]]:
+    """(row, fragment, text) of a page's words (x, right, y, word), which come from the top: a word joins a row whose mean height it is near."""
     rows: list[tuple[float, list]] = []
     for x, right, y, word in words:
         if rows and abs(rows[-1][0] - y) <= row_gap:
@@ -202,14 +204,25 @@ def _rows_of_page(g: pd.DataFrame, row_gap: float, word_gap: float) -> Iterator[
 def layout_rows(words: DataFrame, page: str, row_gap: float = 3.0, word_gap: float = 12.0) -> DataFrame:
     """page, row, fragment, text from words(page, x, right, y, word): rows by a running mean of heights, fragments by gaps.
 
-    The mean depends on the order, so a page is one group; pages hold a few thousand words at most.
+    The mean depends on the order, so a page is one list; pages hold a few thousand words at most. Arrow batches bring many pages at a time.
     """
     kind = words.schema[page].dataType.simpleString()
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(g[page].iloc[0], *r) for r in _rows_of_page(g, row_gap, word_gap)], columns=[page, "row", "fragment", "text"])
-
-    return words.groupBy(page).applyInPandas(one, f"{page} {kind}, row int, fragment int, text string")
+    shared.arrow_batches(words.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            flat, sizes = column.flatten(), column.value_lengths().to_numpy()
+            x, right, y = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            order = np.lexsort((x, -y, np.repeat(np.arange(len(sizes)), sizes)))
+            every = list(zip(x[order].tolist(), right[order].tolist(), y[order].tolist(), flat.field(3).take(pa.array(order)).to_pylist()))
+            ends = np.cumsum(sizes)
+            found = [(at, *r) for at, (i, j) in enumerate(zip((ends - sizes).tolist(), ends.tolist())) for r in _rows_of_page(every[i:j], row_gap, word_gap)]
+            at, row, part, texts = zip(*found) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(row, pa.int32()), pa.array(part, pa.int32()), pa.array(texts, pa.string())], names=[page, "row", "fragment", "text"])
+
+    listed = words.groupBy(page).agg(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in ("x", "right", "y")], "word")).alias("words"))
+    return listed.mapInArrow(run, f"{page} {kind}, row int, fragment int, text string")
 
 
 @query("layout_regions")
