@@ -22,6 +22,8 @@ from tessella.sources import shared
 
 from .vectors import nearest
 
+#: NEAR_ROWS vectors are compared with all centres at a time, and TAKEN rows leave a task in one batch.
+NEAR_ROWS, TAKEN = 512, 1 << 16
 BLOCK, SAMPLE_A_CELL, MOST_CELLS, ROUNDS = 2048, 64, 4096, 6
 
 
@@ -42,6 +44,11 @@ def _start(m: np.ndarray, cells: int) -> np.ndarray:
     return distinct[np.linspace(0, len(distinct) - 1, min(cells, len(distinct))).astype(int)]
 
 
+def _first(s: np.ndarray, probes: int) -> np.ndarray:
+    """The places of each row's greatest values, the greatest first, equal ones in their order."""
+    return s.argmax(axis=1)[:, None] if probes == 1 else np.argsort(-s, axis=1, kind="stable")[:, :probes]
+
+
 class VectorIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.centres, self.kind = spark, path.rstrip("/"), np.zeros((0, 0), np.float32), "float"
@@ -100,14 +107,18 @@ class VectorIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                m, at = matrix(batch.column("embedding"), dim)
-                if not len(m):
-                    continue
-                near = np.argsort(-(m @ sent.value.T), axis=1, kind="stable")[:, :probes]
-                took = pa.array(np.repeat(at, near.shape[1]))
-                nth = np.tile(np.arange(near.shape[1], dtype=np.int32), len(near))
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), batch.column("vec_id").take(took), batch.column("embedding").take(took), pa.array(nth)], names=["cell", "id", "vector", "nth"])
-
+                for r in range(0, batch.num_rows, NEAR_ROWS):
+                    ids, vectors_ = (batch.column(c).slice(r, NEAR_ROWS) for c in ("vec_id", "embedding"))
+                    m, at = matrix(vectors_, dim)
+                    if not len(m):
+                        continue
+                    near = _first(m @ sent.value.T, probes)
+                    cell, took, nth = near.ravel(), np.repeat(at, near.shape[1]), np.tile(np.arange(near.shape[1], dtype=np.int32), len(near))
+                    for p in range(0, len(cell), TAKEN):
+                        take = pa.array(took[p : p + TAKEN])
+                        yield pa.RecordBatch.from_arrays([pa.array(cell[p : p + TAKEN], pa.int32()), ids.take(take), vectors_.take(take), pa.array(nth[p : p + TAKEN])], names=["cell", "id", "vector", "nth"])
+
+        shared.arrow_batches(self.spark)
         typed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{self.kind}>").alias("embedding"))
         return typed.mapInArrow(run, f"cell int, id long, vector array<{self.kind}>, nth int")
 
@@ -141,9 +152,10 @@ class VectorIndex:
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for i in range(batch.num_rows):
+                for i, part in ((i, p) for i in range(batch.num_rows) for p in range(0, len(batch.column("q_ids")[i].values), NEAR_ROWS)):
                     ids, q_ids = (np.asarray(batch.column(n)[i].values) for n in ("ids", "q_ids"))
                     v, q = (np.asarray(batch.column(n)[i].values).astype(np.float64).reshape(-1, dim) for n in ("flat", "q_flat"))
+                    q_ids, q = q_ids[part : part + NEAR_ROWS], q[part : part + NEAR_ROWS]
                     v, q = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (v, q))
                     s = np.round(q @ v.T, 5)
                     s[q_ids[:, None] == ids] = -np.inf

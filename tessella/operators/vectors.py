@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.plans.registry import Tables, query
+from tessella.sources import shared
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -20,44 +22,80 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-#: Bytes of the queries that one scan answers, and of them at a time.
-SCAN_BYTES, STEP = 64 << 20, 2000
+#: Bytes of the queries that one scan answers; queries and vectors whose products are held at a time, and rows found that are held for each query.
+SCAN_BYTES, STEP, ROWS, HELD = 64 << 20, 1024, 1024, 4
+#: Pairs whose products are taken in doubles at a time.
+PAIRS = 1 << 16
+
+
+def _slack(dim: int) -> float:
+    """How far a product of unit vectors in float32 may be off, with half of the fifth decimal to which similarities are rounded, and more."""
+    return 1e-5 + dim * 2.5e-7
 
 
 def _units(column: pa.Array, dim: int) -> np.ndarray:
     """Rows as vectors of length 1; those without a direction, or of another length, as NaN."""
-    rows = column.to_pylist()
-    v = np.array([r if r is not None and len(r) == dim else [np.nan] * dim for r in rows], float).reshape(len(rows), dim)
+    out = np.full((len(column), dim), np.nan)
+    fits = pc.fill_null(pc.equal(pc.list_value_length(column), dim), False)
+    out[np.asarray(fits)] = column.filter(fits).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dim)
     with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
-        return v / np.linalg.norm(v, axis=1, keepdims=True)
+        return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
-def _nearest(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    """For each query the k nearest of a task's vectors, others than itself; what can't be among a query's best any more is dropped at once."""
-    at, found, sims = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    bar = np.full(len(ids), -np.inf)
-    for batch in batches:
-        own = np.asarray(batch.column("vec_id"))
-        if not len(own):
-            continue
-        v = _units(batch.column("embedding"), queries.shape[1])
-        new = [(at, found, sims)]
-        for q in range(0, len(ids), STEP):
-            with np.errstate(invalid="ignore"):
-                s = np.round(queries[q : q + STEP] @ v.T, 5)
-                s[ids[q : q + STEP, None] == own] = np.nan
-                row, col = np.nonzero(s >= bar[q : q + STEP, None])
-            new.append((row + q, own[col], s[row, col]))
-        at, found, sims = (np.concatenate(x) for x in zip(*new))
+class _Best:
+    """The k best of some queries so far, by similarity and id; what is found is held until it pays to sort it in."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k, self.bar, self.last = n, k, np.full(n, -np.inf), np.zeros(n, np.int64)
+        self.parts, self.held = [(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0))], 0
+
+    def add(self, at: np.ndarray, found: np.ndarray, sims: np.ndarray) -> None:
+        self.parts.append((at.astype(np.int32), found, sims))
+        self.held += len(at)
+        if self.held > HELD * self.k * self.n:
+            self.sort()
+
+    def sort(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at, found, sims = (np.concatenate(x) for x in zip(*self.parts))
         order = np.lexsort((found, -sims, at))
         at, found, sims = at[order], found[order], sims[order]
-        first = np.searchsorted(at, at)  # where each row's query begins
-        keep = np.arange(len(at)) - first < k
+        keep = np.arange(len(at)) - np.searchsorted(at, at) < self.k  # searchsorted: where each row's query begins
         at, found, sims = at[keep], found[keep], sims[keep]
-        count = np.bincount(at, minlength=len(ids))
-        full = np.flatnonzero(count == k)
-        bar[full] = sims[np.cumsum(count)[full] - 1]
-    yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(found, pa.int64()), pa.array(sims, pa.float64())], names=["q_id", "vec_id", "similarity"])
+        count = np.bincount(at, minlength=self.n)
+        full = np.flatnonzero(count == self.k)
+        self.bar[full], self.last[full] = (x[np.cumsum(count)[full] - 1] for x in (sims, found))
+        self.parts, self.held = [(at, found, sims)], 0
+        return at, found, sims
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """For each query the k nearest of a task's vectors, others than itself.
+
+    Products are taken in float32, STEP queries by ROWS vectors at a time; those that may reach a query's k-th best so far are taken again in
+    doubles, rounded and compared. So a task holds its queries, k rows (and a few more) for each of them, and one such block.
+    """
+    starts, slack = range(0, len(ids), STEP), _slack(queries.shape[1])
+    narrow, best = queries.astype(np.float32), [_Best(len(ids[q : q + STEP]), k) for q in starts]
+    for batch in batches:
+        every = np.asarray(batch.column("vec_id"))
+        for r in range(0, len(every), ROWS):
+            own, v = every[r : r + ROWS], _units(batch.column("embedding").slice(r, ROWS), queries.shape[1])
+            few = v.astype(np.float32).T
+            for q, b in zip(starts, best):
+                mine = ids[q : q + STEP]
+                with np.errstate(invalid="ignore"):
+                    row, col = np.divmod(np.flatnonzero(narrow[q : q + STEP] @ few >= (b.bar - slack).astype(np.float32)[:, None]), len(own))
+                other = mine[row] != own[col]
+                row, col = row[other], col[other]
+                for p in range(0, len(row), PAIRS):
+                    i, j = row[p : p + PAIRS], col[p : p + PAIRS]
+                    s = np.round(np.einsum("ij,ij->i", queries[q + i], v[j]), 5)
+                    fits = (s > b.bar[i]) | ((s == b.bar[i]) & (own[j] < b.last[i]))
+                    if fits.any():
+                        b.add(i[fits], own[j[fits]], s[fits])
+    for q, b in zip(starts, best):
+        at, found, sims = b.sort()
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q + at], pa.int64()), pa.array(found, pa.int64()), pa.array(sims, pa.float64())], names=["q_id", "vec_id", "similarity"])
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, scan_bytes: int = SCAN_BYTES) -> DataFrame:
@@ -68,6 +106,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, scan_bytes: int = SC
     direction, find nothing and are found by none.
     """
     spark = vectors.sparkSession
+    shared.arrow_batches(spark)
     vectors, q = (d.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter("vec_id IS NOT NULL") for d in (vectors, queries))
     n, dim = q.filter("embedding IS NOT NULL").agg(F.count("*"), F.mode(F.size("embedding"))).first()
     scans = max(-(-n * (dim or 1) * 8 // scan_bytes), 1)
@@ -77,7 +116,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, scan_bytes: int = SC
         rows = q.filter(F.col("__block") == b).orderBy("vec_id").toArrow()
         if not len(rows):
             continue
-        sent = spark.sparkContext.broadcast((np.asarray(rows.column("vec_id")), _units(rows.column("embedding"), dim)))
+        rows = rows.combine_chunks()
+        sent = spark.sparkContext.broadcast((np.asarray(rows.column("vec_id")), _units(rows.column("embedding").chunk(0), dim)))
         found = found.unionByName(vectors.mapInArrow(lambda it, sent=sent: _nearest(it, *sent.value, k), "q_id long, vec_id long, similarity double"))
     place = F.row_number().over(Window.partitionBy("q_id").orderBy(F.col("similarity").desc(), "vec_id"))
     return found.withColumn("place", place).filter(F.col("place") <= k)
