@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from tessella.functions import ids, text
 from tessella.plans.registry import Tables, query
+from tessella.sources import shared
 
 #: Phrases for the relevance queries, in the order in which they are looked for.
 LEXICON = ("the", "of the", "in the", "and the", "is the", "that", "under", "data", "license", "copyright")
 
+#: Terms of 40 characters at most that are sent to all tasks: about 100 bytes each.
+SENT_TERMS = 1_000_000
+
 
 @query(
     "canonical_identity",
@@ -151,11 +155,17 @@ SELECT doc_id, round(greatest(-6, least(6, sum(weight))), 4) AS score, count(*)
 """,
 )
 def feedback_score(t: Tables) -> DataFrame:
-    """Labelled documents scored by the clamped weights of their n-grams. Rare terms are dropped before the join."""
+    """Labelled documents scored by the clamped weights of their n-grams. Rare terms are dropped before the join, and where those left are
+    few enough to be sent to all tasks, the documents' terms are not shuffled a second time."""
     docs = t.documents.select("doc_id", "text").join(t.labels, "doc_id")
     n = docs.agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
     odds = F.log((F.col("good_df") + 0.5) / (F.col("good") + 1.0)) - F.log((F.col("bad_df") + 0.5) / (F.col("bad") + 1.0))
     w = term_frequencies(docs).filter("good_df + bad_df >= 20").join(F.broadcast(n), F.lit(True)).select("term", F.greatest(F.lit(-2.5), F.least(F.lit(2.5), odds)).alias("weight"))
+    path = shared.shared_dir(t.spark, "weights")
+    w.write.parquet(path)
+    w = t.spark.read.schema(w.schema).parquet(path)
+    if w.count() <= SENT_TERMS:
+        w = F.broadcast(w)
     terms = docs.select("doc_id", F.explode(text.distinct_ngrams(text.words(F.col("text")))).alias("term"))
     return terms.join(w, "term").groupBy("doc_id").agg(F.round(F.greatest(F.lit(-6), F.least(F.lit(6), F.sum("weight"))), 4).alias("score"), F.count("*").alias("terms"))
 
@@ -200,10 +210,11 @@ def benchmark_overlap(t: Tables) -> DataFrame:
 )
 def inverted_index_roundtrip(t: Tables) -> DataFrame:
     """Word positions inverted to an index and turned back into text."""
-    # one shuffle, of the texts: both aggregations below find their rows in place
-    pos = t.documents.select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(text.words(F.col("text"))).alias("pos", "word"))
-    index = pos.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at"))
-    back = index.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list(F.transform("at", lambda p: F.struct(p.alias("p"), F.col("word").alias("w")))))).alias("t"))
+    # a document is inverted and turned back in its own row: no word is shuffled or sorted among those of other documents
+    d = t.documents.select("doc_id", text.words(F.col("text")).alias("w")).filter("size(w) > 0")
+    places = F.transform("w", lambda w, i: F.struct(w.alias("word"), i.alias("p")))
+    index = text.with_runs(d, places, "index", lambda word, run: F.struct(word.alias("word"), F.transform(run, lambda x: x["p"]).alias("at"))).select("doc_id", "index")
+    back = index.select("doc_id", F.sort_array(F.flatten(F.transform("index", lambda x: F.transform(x["at"], lambda p: F.struct(p.alias("p"), x["word"].alias("w")))))).alias("t"))
     return back.select("doc_id", F.md5(F.array_join(F.transform("t", lambda x: x["w"]), " ")).alias("text_hash"), F.size("t").cast("long").alias("n_words"))
 
 
