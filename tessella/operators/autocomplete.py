@@ -66,7 +66,8 @@ class TermDictionary:
 
     def add(self, names: DataFrame, name: str) -> None:
         """Add the words of a column of names that aren't there yet; what is there stays."""
-        words = names.select(F.explode(tokens(F.col(name))).alias("term")).distinct()
+        # distinct names first: they are fewer, and dealt to all tasks, where a small file of many rows is read by one
+        words = names.select(F.col(name).alias("name")).distinct().select(F.explode(tokens(F.col("name"))).alias("term")).distinct()
         if shared.exists(self.spark, f"{self.path}/terms"):
             words = words.join(self.spark.read.parquet(f"{self.path}/terms"), "term", "left_anti")
         words = words.withColumn("form", singular(F.col("term")))
@@ -121,11 +122,12 @@ class Typed:
     def generic(self) -> bool:
         return len(self.words) == 1
 
-    def relation(self, words: Column, q: str) -> tuple[Column, Column, Column]:
-        """Whether a list of words has q itself, a longer word that begins with it, or a slip, and where the first of the best kind is."""
+    def relation(self, words: Column, q: str) -> Column:
+        """How a list of words has q: `kind` 1 itself, 2 as a longer word that begins with it, 3 as a slip, 0 not; and `at`, where the first of that kind is."""
         exact, longer, slip = _place(words, lambda x: _same(x, q)), _place(words, lambda x: _longer(x, q)), _place(words, lambda x: _has(x, self.slips[q]))
-        kind = F.when(exact >= 0, 1).when(longer >= 0, 2).when(slip >= 0, 3).otherwise(0)
-        return kind, F.when(exact >= 0, exact).when(longer >= 0, longer).otherwise(slip), kind > 0
+        places = F.struct(exact.alias("exact"), longer.alias("longer"), slip.alias("slip"))
+        best = lambda p: F.when(p["exact"] >= 0, F.struct(F.lit(1).alias("kind"), p["exact"].alias("at"))).when(p["longer"] >= 0, F.struct(F.lit(2).alias("kind"), p["longer"].alias("at"))).otherwise(F.struct(F.when(p["slip"] >= 0, 3).otherwise(0).alias("kind"), p["slip"].alias("at")))
+        return text.bound(places, best)
 
     def useless(self, *lists: Column) -> Column:
         """For a single word: whether none of the words has anything to do with it."""
@@ -137,12 +139,12 @@ class Typed:
         fits = lambda x: (forms(x) & (F.length(x) >= 2)) | F.startswith(x, F.lit(q)) | _has(x, self.slips[q])
         return ~F.exists(F.concat(*lists), fits)
 
-    def prefix(self, words: Column) -> tuple[Column, Column]:
-        """How many letters longer the nearest word that begins with the single typed word is (null: none), and the first such word's place."""
+    def prefix(self, words: Column) -> Column:
+        """`least`: how many letters longer the nearest word that begins with the single typed word is (null: none); `at`: the first such word's place."""
         q = self.words[0]
         over = F.transform(words, lambda x: F.when(F.startswith(x, F.lit(q)), F.length(x) - len(q)))
-        least = F.array_min(over)
-        return least, (F.array_position(over, least) - 1).cast("int")
+        nearest = lambda o: text.bound(F.array_min(o), lambda least: F.struct(least.alias("least"), (F.array_position(o, least) - 1).cast("int").alias("at")))
+        return text.bound(over, nearest)
 
 
 def _sum(parts: list[Column]) -> Column:
@@ -153,44 +155,71 @@ def _of(test: Column, points: int) -> Column:
     return F.when(test, points).otherwise(0)
 
 
-def _covered(typed: Typed, lists: list[tuple[Column, dict[int, int]]], whole: int, step: int) -> list[Column]:
+def _covered(typed: Typed, lists: list[tuple[Column, dict[int, int]]], whole: int, step: int) -> Column:
     """Points for each typed word by the best kind of match, over lists with their points by kind; for all being there; and for early places."""
-    parts, hits, places = [], [], []
-    for q in typed.words:
-        found = [(typed.relation(words, q), points) for words, points in lists]
-        got = F.lit(0)
-        for kind in (3, 2, 1):
-            for (k, _, _), points in reversed(found):
-                got = F.when(k == kind, points[kind]).otherwise(got)
-        parts.append(got)
-        hits.append((got > 0).cast("int"))
-        places += [F.when((got > 0) & (at >= 0), at) for (_, at, _), _ in found]
+    if not typed.words:
+        return F.lit(0)
+
+    def one(q: str) -> Column:
+        found = F.struct(*[typed.relation(words, q).alias(f"r{i}") for i, (words, _) in enumerate(lists)])
+
+        def scored(r: Column) -> Column:
+            got = F.lit(0)
+            for kind in (3, 2, 1):
+                for i, (_, points) in reversed(list(enumerate(lists))):
+                    got = F.when(r[f"r{i}"]["kind"] == kind, points[kind]).otherwise(got)
+            at = F.array_min(F.array(*[F.when(r[f"r{i}"]["at"] >= 0, r[f"r{i}"]["at"]) for i in range(len(lists))]))
+            return text.bound(got, lambda g: F.struct(g.alias("got"), F.when(g > 0, at).alias("at")))
+
+        return text.bound(found, scored)
+
     n = len(typed.words)
-    if n:
-        matched = _sum(hits)
-        parts.append(F.when(matched == n, whole).otherwise((matched - n) * 180))
-        first = F.array_min(F.array(*places))
-        parts.append(F.coalesce(first * -step, F.lit(0)))
-    return parts
+
+    def total(every: Column) -> Column:
+        matched = F.size(F.filter(every, lambda x: x["got"] > 0))
+        first = F.array_min(F.transform(every, lambda x: x["at"]))
+        points = F.aggregate(every, F.lit(0), lambda s, x: s + x["got"])
+        return points + F.when(matched == n, whole).otherwise((matched - n) * 180) + F.coalesce(first * -step, F.lit(0))
+
+    return text.bound(F.array(*map(one, typed.words)), total)
+
+
+def _near(typed: Typed, has, lists: list[tuple[Column, int, int, int]]) -> list[Column]:
+    """Points for lists without the single typed word by their nearest word that begins with it; (list, most, less by letter, less by place)."""
+
+    def one(c: Column, top: int, by: int, step: int) -> Column:
+        points = lambda p: F.when(~has(c) & p["least"].isNotNull(), F.greatest(top - p["least"] * by, F.lit(0)) - p["at"] * step).otherwise(0)
+        return text.bound(typed.prefix(c), points)
+
+    return [one(*x) for x in lists]
 
 
 def food_points(name: Column, typed: Typed) -> Column:
     """Points of a food's name (its base before the first comma, aliases in brackets) for what is typed; null if it has nothing to do with it."""
     parts_of = F.filter(F.transform(F.split(name, ","), lambda x: F.trim(x)), lambda x: x != "")
-    noisy = (F.size(parts_of) > 1) & _has(plain(F.get(parts_of, F.lit(0))), NOISY_PREFIXES)
-    base = F.coalesce(F.when(noisy, F.get(parts_of, F.lit(1))).otherwise(F.get(parts_of, F.lit(0))), name)
-    aliases = F.filter(F.transform(F.regexp_extract_all(name, F.lit(r"\(([^)]+)\)"), F.lit(1)), lambda x: F.trim(x)), lambda x: x != "")
-    plain_aliases = F.transform(aliases, plain)
-    words, own, other = tokens(name), tokens(base), tokens(F.array_join(aliases, " "))
+    noisy = lambda x: (F.size(x) > 1) & _has(plain(F.get(x, F.lit(0))), NOISY_PREFIXES)
+    base = text.bound(parts_of, lambda x: F.coalesce(F.when(noisy(x), F.get(x, F.lit(1))).otherwise(F.get(x, F.lit(0))), name))
+    # each step is bound, so that a name is taken apart once, however often its parts are used
+    first = F.struct(name.alias("name"), base.alias("base"), _aliases(name).alias("aliases"))
+    forms = lambda x: F.struct(x["name"], plain(x["name"]).alias("plain_name"), plain(x["base"]).alias("plain_base"), F.transform(x["aliases"], plain).alias("plain_aliases"), tokens(x["name"]).alias("words"), tokens(x["base"]).alias("own"), tokens(F.array_join(x["aliases"], " ")).alias("other"))
+    return text.bound(first, lambda x: text.bound(forms(x), lambda y: _food_points(y, typed)))
+
+
+def _aliases(name: Column) -> Column:
+    return F.filter(F.transform(F.regexp_extract_all(name, F.lit(r"\(([^)]+)\)"), F.lit(1)), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def _food_points(x: Column, typed: Typed) -> Column:
+    name, plain_name, plain_base, plain_aliases, words, own, other = (x[c] for c in ("name", "plain_name", "plain_base", "plain_aliases", "words", "own", "other"))
     p, g = F.lit(typed.plain), typed.generic
     first = lambda c: F.get(c, F.lit(0)).eqNullSafe(F.lit(typed.words[0] if typed.words else None).cast("string"))
     parts = [
-        _of(plain(name) == p, 2000), _of(plain(base) == p, 1700), _of(F.exists(plain_aliases, lambda a: a == p), 1600),
-        _of(F.startswith(plain(name), p), 900), _of(F.startswith(plain(base), p), 1200), _of(F.exists(plain_aliases, lambda a: F.startswith(a, p)), 800),
+        _of(plain_name == p, 2000), _of(plain_base == p, 1700), _of(F.exists(plain_aliases, lambda a: a == p), 1600),
+        _of(F.startswith(plain_name, p), 900), _of(F.startswith(plain_base, p), 1200), _of(F.exists(plain_aliases, lambda a: F.startswith(a, p)), 800),
         _of(first(words), 180), _of(first(own), 260), _of(first(other), 180),
     ]
     lists = [(own, {1: 260, 2: 180 if g else 80, 3: 130 if g else 60}), (words, {1: 180, 2: 120 if g else 40, 3: 90 if g else 45}), (other, {1: 170, 2: 110 if g else 30, 3: 80 if g else 35})]
-    parts += _covered(typed, lists, 260, 35)
+    parts.append(_covered(typed, lists, 260, 35))
     parts += [F.greatest(F.size(own) - max(len(typed.words), 1), F.lit(0)) * -18, F.greatest(F.size(words) - F.size(own), F.lit(0)) * -10]
     if g:
         q = typed.words[0]
@@ -202,18 +231,19 @@ def food_points(name: Column, typed: Typed) -> Column:
             _of(has(own), 220), _of(has(words), 100), _of(has(other), 150), F.least(count(lambda x: _has(x, WHOLE_FOOD_HINTS)), F.lit(2)) * 45, count(lambda x: _longer(x, q)) * -140,
             _of(F.exists(after, lambda x: x), -180), _of(F.exists(words, lambda x: x.isin("babyfood", "baby")), -180), _of(F.array_contains(words, "restaurant"), -180),
         ]
-        for c, top, by, step in ((own, 260, 70, 25), (words, 170, 55, 18), (other, 200, 60, 10)):
-            over, at = typed.prefix(c)
-            parts.append(F.when(~has(c) & over.isNotNull(), F.greatest(top - over * by, F.lit(0)) - at * step).otherwise(0))
+        parts += _near(typed, has, [(own, 260, 70, 25), (words, 170, 55, 18), (other, 200, 60, 10)])
     parts.append(F.regexp_count(name, F.lit(",")) * -8)
     return F.when(~typed.useless(words, other), _sum(parts)).cast("int")
 
 
 def nutrient_points(name: Column, typed: Typed) -> Column:
     """Points of a nutrient's name (aliases in brackets) for what is typed; null if it has nothing to do with it."""
-    aliases = F.filter(F.transform(F.regexp_extract_all(name, F.lit(r"\(([^)]+)\)"), F.lit(1)), lambda x: F.trim(x)), lambda x: x != "")
-    plain_aliases, whole = F.transform(aliases, plain), plain(name, "()")
-    words, other = tokens(name), tokens(F.array_join(aliases, " "))
+    forms = lambda aliases: F.struct(F.transform(aliases, plain).alias("plain_aliases"), plain(name, "()").alias("whole"), tokens(name).alias("words"), tokens(F.array_join(aliases, " ")).alias("other"))
+    return text.bound(_aliases(name), lambda x: text.bound(forms(x), lambda y: _nutrient_points(y, typed)))
+
+
+def _nutrient_points(x: Column, typed: Typed) -> Column:
+    plain_aliases, whole, words, other = (x[c] for c in ("plain_aliases", "whole", "words", "other"))
     p, g, q = F.lit(typed.with_parens), typed.generic, typed.words[0] if typed.words else ""
     first = lambda c: F.coalesce(F.get(c, F.lit(0)) == q, F.lit(False))
     parts = [
@@ -221,20 +251,18 @@ def nutrient_points(name: Column, typed: Typed) -> Column:
         _of(first(words), 220), _of(first(other), 260),
     ]
     lists = [(other, {1: 240, 2: 150 if g else 50, 3: 95 if g else 45}), (words, {1: 180, 2: 110 if g else 30, 3: 80 if g else 35})]
-    parts += _covered(typed, lists, 220, 30)
+    parts.append(_covered(typed, lists, 220, 30))
     parts.append(F.greatest(F.size(words) - max(len(typed.words), 1), F.lit(0)) * -20)
     if g:
         has = lambda c: F.exists(c, lambda x: _same(x, q))
         parts += [_of(has(other), 280), _of(has(words), 120), F.size(F.filter(words, lambda x: _longer(x, q))) * -180]
-        for c, top, by, step in ((other, 240, 60, 8), (words, 140, 45, 14)):
-            over, at = typed.prefix(c)
-            parts.append(F.when(~has(c) & over.isNotNull(), F.greatest(top - over * by, F.lit(0)) - at * step).otherwise(0))
+        parts += _near(typed, has, [(other, 240, 60, 8), (words, 140, 45, 14)])
     return F.when(~typed.useless(words, other), _sum(parts)).cast("int")
 
 
 def suggested(names: DataFrame, key: str, name: str, points: Column, limit: int = 15) -> DataFrame:
     """The first names by points, then by name and key; a name of one key counts once."""
-    d = names.select(key, name, points.alias("points")).filter("points > -5000").dropDuplicates([key])
+    d = names.select(key, name).repartition(key).select(key, name, points.alias("points")).filter("points > -5000").dropDuplicates([key])
     return d.orderBy(F.col("points").desc(), name, key).limit(limit)
 
 
