@@ -190,32 +190,41 @@ def decide(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, "food_id", F.when(certain, "direct").otherwise("review").alias("decision"))
 
 
+#: Portions that are sent to all tasks: about 200 bytes each.
+SENT_PORTIONS = 200_000
+
+
 def grams_of(requests: DataFrame, portions: DataFrame, key: str) -> DataFrame:
     """requests with grams, portion_id and state: weights directly, else the only portion with the unit, the size words, or the item.
 
     requests(key, food_id, value, unit, phrase), portions(food_id, portion_id, description, amount, gram_weight).
     """
     unit = F.lower(F.trim(F.coalesce("unit", F.lit(""))))
-    r = requests.withColumn("__u", unit).withColumn("__size", F.array_sort(F.array_intersect(text.words(F.col("phrase")), F.array(*map(F.lit, SIZES)))))
-    d = r.select(key, "food_id", "__u", "__size", "phrase").join(portions, "food_id")
+    sizes = F.array(*map(F.lit, SIZES))
+    said = text.words(F.col("phrase"))
+    r = requests.withColumn("__u", unit).withColumn("__size", F.array_sort(F.array_intersect(said, sizes)))
     stem = F.regexp_replace("__u", "s+$", "")
-    words = text.words(F.col("description"))
-    counted = text.singular(F.col("__u")).isin(*COUNTS) | F.array_contains(F.transform(text.words(F.col("phrase")), text.singular), text.singular(F.col("__u")))
+    r = r.withColumns({"__stem": stem, "__counted": F.coalesce(text.singular(F.col("__u")).isin(*COUNTS) | F.array_contains(F.transform(said, text.singular), text.singular(F.col("__u"))), F.lit(False))})
+    # a food's portions are one list, which each request filters: requests are neither grouped nor sorted
     one = F.coalesce(F.nullif(F.col("amount"), F.lit(0)), F.lit(1))
+    words = text.words(F.col("description"))
+    portion = F.struct(words.alias("words"), F.array_sort(F.array_intersect(words, sizes)).alias("size"), ((one == 1) & ~F.col("description").rlike(NOT_ITEMS)).alias("item"), "portion_id", (F.col("gram_weight") / one).alias("each"))
+    of_food = portions.groupBy("food_id").agg(F.collect_list(portion).alias("__portions"))
+    if portions.count() <= SENT_PORTIONS:
+        of_food = F.broadcast(of_food)
+    r = r.join(of_food, "food_id", "left")
     tests = {
-        "__by_unit": (stem != "") & (F.array_contains(words, stem) | F.array_contains(words, F.concat(stem, F.lit("s")))),
-        "__by_size": (F.size("__size") > 0) & (F.array_sort(F.array_intersect(words, F.array(*map(F.lit, SIZES)))) == F.col("__size")),
-        "__by_item": counted & (one == 1) & ~F.col("description").rlike(NOT_ITEMS),
+        "__by_unit": lambda p: (F.col("__stem") != "") & (F.array_contains(p["words"], F.col("__stem")) | F.array_contains(p["words"], F.concat("__stem", F.lit("s")))),
+        "__by_size": lambda p: (F.size("__size") > 0) & (p["size"] == F.col("__size")),
+        "__by_item": lambda p: F.col("__counted") & p["item"],
     }
-    pick = lambda ok: F.struct(F.count_if(ok).alias("n"), F.max(F.when(ok, F.struct("portion_id", (F.col("gram_weight") / one).alias("each")))).alias("p"))
-    found = d.groupBy(key).agg(*[pick(ok).alias(name) for name, ok in tests.items()])
-    out = r.join(found, key, "left")
-    only = F.coalesce(*[F.when(F.col(f"{name}.n") == 1, F.col(f"{name}.p")) for name in tests])
+    out = r.withColumns({name: F.filter("__portions", ok) for name, ok in tests.items()})
+    only = F.coalesce(*[F.when(F.size(name) == 1, F.get(name, F.lit(0))) for name in tests])
     known = F.col("value").isNotNull() & (F.col("__u") != "")
     grams = F.when(F.col("__u").isin(*GRAMS), F.col("value")).when(F.col("__u").isin(*KILOGRAMS), F.col("value") * 1000).otherwise(F.col("value") * only["each"])
     by_weight = F.col("__u").isin(*GRAMS, *KILOGRAMS)
     out = out.withColumns({"grams": F.when(known, grams), "portion_id": F.when(known & ~by_weight, only["portion_id"])})
-    return out.withColumn("state", F.when(F.col("grams").isNotNull(), "resolved").otherwise("unresolved")).drop("__u", "__size", *tests)
+    return out.withColumn("state", F.when(F.col("grams").isNotNull(), "resolved").otherwise("unresolved")).select(*requests.columns, "grams", "portion_id", "state")
 
 
 def weight_basis(said: Column, phrase: Column, name: Column, usable_factor: Column) -> Column:
