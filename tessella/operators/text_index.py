@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions import text
 from tessella.plans.registry import Tables, query
 from tessella.sources import shared
 
@@ -90,16 +91,21 @@ class TextIndex:
         """Index the texts in the columns of `weights`, a row for each key; rows without a key or a word are left out. Gives the segment."""
         segment = self._next()
         made = postings(docs.filter(F.col(key).isNotNull()), key, weights)
+        # a document's terms are summed in its own row, and written once for all that follows
+        weigh = lambda term, run: F.struct(term.alias("term"), F.aggregate(run, F.lit(0.0), lambda s, x: s + x["weight"]).alias("w"))
+        made = text.with_runs(made, F.col("tokens"), "terms", weigh).select("key", "length", "terms")
+        path = shared.shared_dir(self.spark, "terms")
+        made.write.parquet(path)
+        made = self.spark.read.schema(made.schema).parquet(path)
         n = made.count()
         blocks = max(-(-n // self.docs_a_block), 1)
         made = made.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
         self._write(made.select("key", "length", "block"), "documents", segment)
-        # one shuffle, by term and block, serves both sums below; no term is one group
-        each = made.select("key", "length", "block", F.explode("tokens").alias("t")).select("key", "length", "block", F.col("t.token").alias("term"), F.col("t.weight").alias("w")).repartition("term", "block")
-        one = each.groupBy("term", "block", "key", "length").agg(F.sum("w").alias("w"))
-        rows = one.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("key", "w", "length"))).alias("d"))
+        # one shuffle, by ranges of term and block, in which they are listed and written; no term is one group
+        each = made.select("key", "length", "block", F.explode("terms").alias("t")).select("key", "length", "block", "t.term", "t.w").repartitionByRange("term", "block")
+        rows = each.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("key", "w", "length"))).alias("d"))
         rows = rows.select("term", "block", F.size("d").alias("n"), F.array_max("d.w").alias("top"), F.array_min("d.length").alias("shortest"), F.col("d.key").alias("keys"), F.col("d.w").alias("ws"), F.col("d.length").alias("lengths"))
-        self._write(rows.repartitionByRange("term", "block").sortWithinPartitions("term", "block"), "postings", segment)
+        self._write(rows.sortWithinPartitions("term", "block"), "postings", segment)
         at = self.spark.read.parquet(f"{self.path}/documents/segment={segment}")
         retired = self._retire(at, segment)
         docs_n, words_n = at.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
