@@ -99,11 +99,94 @@ def common_length(a: str, b: str) -> int:
 ALWAYS, SHARE, SHORT = 40, (3, 5), 20
 
 
+#: Characters up to which the texts of a group are compared in one task, by their order in a partition; runs of larger groups are dealt to all tasks.
+TOGETHER = 1 << 20
+
+
 def _needed(n: int) -> int:
     """How long a run a text of n characters must have in common with one at least as long."""
     return n if n < SHORT else min(ALWAYS, -(-n * SHARE[0] // SHARE[1]))
 
 
+def _same(value: object) -> object:
+    """A group's value so that equal ones compare as in Spark: not-a-number equals itself."""
+    if isinstance(value, dict):
+        return tuple(map(_same, value.values()))
+    return "nan" if isinstance(value, float) and value != value else value
+
+
+def _own(n: int) -> int:
+    """The kind of run that a text of n characters needs: -n, the whole of it, if it is short."""
+    return -n if n < SHORT else _needed(n)
+
+
+def _has(n: int, kind: int) -> bool:
+    """Whether a text of n characters gives runs of a kind: whole short texts can stand in any text, other runs matter to texts that need no shorter ones."""
+    return n >= -kind if kind < 0 else n >= SHORT and _needed(n) >= kind
+
+
+def text_roots(texts: list[str]) -> list[int]:
+    """For each text of a group the place of the first text of its component; the links are those of passage_links."""
+    root = list(range(len(texts)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    hashes = [[RunHashes(t, b) for b in _BASES] for t in texts] if len(texts) > 1 else []
+    for kind in {_own(len(t)) for t in texts}:
+        of = [i for i, t in enumerate(texts) if _has(len(t), kind)]
+        if len(of) < 2:
+            continue
+        h1, h2 = (np.concatenate([hashes[i][b].of(abs(kind)) for i in of]) for b in (0, 1))
+        who = np.repeat(np.array(of), [len(texts[i]) - abs(kind) + 1 for i in of])
+        order = np.argsort(h1)
+        twice = h1[order][1:] == h1[order][:-1]
+        at = order[np.append(twice, False) | np.append(False, twice)]  # most runs stand in one place
+        at = at[np.lexsort((who[at], h2[at], h1[at]))]
+        begin = np.flatnonzero(np.append(True, (h1[at][1:] != h1[at][:-1]) | (h2[at][1:] != h2[at][:-1]))) if len(at) else at
+        own = np.array([_own(len(t)) == kind for t in texts])
+        centre = np.minimum.reduceat(np.where(own[who[at]], who[at], len(texts)), begin) if len(at) else at
+        centre = np.repeat(centre, np.diff(np.append(begin, len(at))))
+        links = np.unique(np.stack([who[at], centre]), axis=1)
+        for i, j in links[:, (links[1] < len(texts)) & (links[0] != links[1])].T.tolist():
+            i, j = find(i), find(j)
+            root[max(i, j)] = min(i, j)
+    return [find(i) for i in range(len(texts))]
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in order of g, whole groups in a partition -> u, v: each node that isn't the first of its component, and that one."""
+    held: list[pa.RecordBatch] = []
+    group: list[str] = []
+    last = None
+
+    def links() -> pa.RecordBatch:
+        nodes = pa.concat_arrays([b.column("node") for b in held])
+        pairs = [(i, r) for i, r in enumerate(text_roots(group)) if i != r]
+        u, v = (nodes.take(pa.array([p[k] for p in pairs], pa.int64())) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([u, v], names=["u", "v"])
+
+    for batch in batches:
+        keys, start = [_same(g) for g in batch.column("g").to_pylist()], 0
+        texts = batch.column("text").to_pylist()
+        for i in range(len(keys) + 1):
+            if i < len(keys) and keys[i] == (keys[i - 1] if i else last):
+                continue
+            if i > start or i == len(keys):  # the rows from start to i go with what is held
+                held.append(batch.slice(start, i - start))
+                group += texts[start:i]
+            if i < len(keys):
+                if len(group) > 1:
+                    yield links()
+                held, group, start = [], [], i
+        last = keys[-1] if keys else last
+    if len(group) > 1:
+        yield links()
+
+
 def passage_links(texts: DataFrame, group: str, node: str, text: str) -> DataFrame:
     """u, v: links between nodes of one group whose components are those of all pairs of texts of one passage.
 
@@ -111,9 +194,18 @@ def passage_links(texts: DataFrame, group: str, node: str, text: str) -> DataFra
     itself alone. So runs of the lengths that a group's texts need are the keys: all texts that have such a run are linked with one
     that needs no longer run, which proves each link without comparing texts, and a passage that all texts
     share gives one link a text. Lengths are at most ALWAYS, so a text has a bounded number of runs for each character.
+
+    Runs are many times their text. So groups of up to TOGETHER characters are sorted together and compared within a task, which gives one
+    link a text and moves nothing but the texts; only runs of larger groups are dealt out by key.
     """
     spark = texts.sparkSession
     d = texts.select(F.col(group).alias("g"), F.col(node).alias("node"), F.col(text).alias("text")).filter(F.length("text") > 0)
+    sizes = d.groupBy("g").agg(F.sum(F.length("text")).alias("__size"))
+    sized, node_type = d.join(sizes, "g"), d.schema["node"].dataType.simpleString()
+    shared.arrow_batches(spark)
+    small = sized.filter(F.col("__size") <= TOGETHER).select("g", "node", "text").repartition("g").sortWithinPartitions("g")
+    found = small.mapInArrow(_together, f"u {node_type}, v {node_type}")
+    d = sized.filter(F.col("__size") > TOGETHER).select("g", "node", "text")
     n = F.length("text")
     needs = F.when(n < SHORT, n).otherwise(F.least(F.lit(ALWAYS), F.ceil(n * SHARE[0] / SHARE[1]))).cast("int")
     # -length for whole short texts, which any text can hold; length for runs, which texts of SHORT characters at least share
@@ -124,15 +216,15 @@ def passage_links(texts: DataFrame, group: str, node: str, text: str) -> DataFra
         for batch in batches:
             at, kind, own, h1, h2, starts = [], [], [], [], [], [0]
             for i, (t, kinds) in enumerate(zip(batch.column("text").to_pylist(), batch.column("kinds").to_pylist())):
-                mine = -len(t) if len(t) < SHORT else _needed(len(t))
+                mine = _own(len(t))
                 hashes = [RunHashes(t, b) for b in _BASES]
-                for k in {*kinds, ALWAYS}:
-                    if abs(k) > len(t) or (k > 0 and len(t) < SHORT):
+                for k in kinds:
+                    if not _has(len(t), k):
                         continue
                     both = np.unique(np.stack([h.of(abs(k)) for h in hashes]), axis=1)
                     at.append(i)
                     kind.append(k)
-                    own.append(k in (mine, ALWAYS))
+                    own.append(k == mine)
                     h1.append(both[0])
                     h2.append(both[1])
                     starts.append(starts[-1] + both.shape[1])
@@ -148,4 +240,4 @@ def passage_links(texts: DataFrame, group: str, node: str, text: str) -> DataFra
     r.write.parquet(path)
     r = spark.read.schema(r.schema).parquet(path)
     centres = r.groupBy("g", "kind", "h1", "h2").agg(F.min(F.when(F.col("own"), F.col("node"))).alias("centre"), F.count("*").alias("n")).filter("n > 1 AND centre IS NOT NULL").drop("n")
-    return r.join(centres, ["g", "kind", "h1", "h2"]).filter("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
+    return found.unionByName(r.join(centres, ["g", "kind", "h1", "h2"]).filter("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct())
