@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.plans.registry import Tables, query
+from tessella.plans.registry import Tables, query, stored_bytes
 
 from .relational import best
 
@@ -164,16 +164,18 @@ def _opened(conflicts: DataFrame, kind: str, pairs: DataFrame) -> DataFrame:
     return kept.unionByName(new)
 
 
-def refresh(state: State, papers: DataFrame) -> State:
+def refresh(state: State, papers: DataFrame, parts: int | None = None) -> State:
     """Settle papers(paper, now).
 
     A slot waits until all its live assignments have a submission. If these agree, or their conflict was decided, it has an official
     submission (that of a primary member, or the latest); else it is a conflict. Once the first two official slots both have one, equal
     reviews or a decision between them make the paper's outcome, and different ones a conflict of the paper.
+    parts: over how many partitions the assignments are dealt to find their submissions and their slot, which bounds a task's memory; Spark chooses if it is not given.
     """
+    dealt = lambda df, *keys: df.repartition(parts, *keys) if parts else df
     a = state.assignments.join(papers, "paper").filter("status <> 'cancelled'")
     s = state.submissions.select(F.col("id").alias("latest"), "hash", F.col("at").alias("__sent"))
-    a = a.join(s, "latest", "left")
+    a = dealt(dealt(a, "latest").join(dealt(s, "latest"), "latest", "left"), "paper", "slot")
     sent = F.col("latest").isNotNull()
     pick = lambda order: F.max_by("latest", order)
     per = a.groupBy("paper", "slot", "now").agg(
@@ -242,6 +244,10 @@ def changes(before: State, after: State) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Stored bytes of lines a partition: several times as many in the memory of the sorts that follow.
+A_PART = 2 << 20
+
+
 @query(
     "review_outcomes",
     """
@@ -257,7 +263,9 @@ def review_outcomes(t: Tables) -> DataFrame:
     """Orders as papers and their lines as reviews in two official slots, settled."""
     at = F.to_timestamp(F.lit("2024-01-01")) + F.expr("make_interval(0, 0, 0, 0, 0, 0, l_linenumber)")
     null = lambda kind: F.lit(None).cast(kind)
-    lines = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"), F.max("l_quantity").alias("l_quantity"))
+    parts = max(t.spark.sparkContext.defaultParallelism, stored_bytes(t.lineitem) // A_PART)
+    # dealt by paper before anything else: slots, papers and their joins need no shuffle of their own, and tasks do not grow with the table
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity").repartition(parts, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"), F.max("l_quantity").alias("l_quantity"))
     d = lines.select(F.col("l_orderkey").alias("paper"), F.concat(F.lit("slot"), (F.col("l_linenumber") % 2).cast("string")).alias("slot"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_linenumber").cast("long").alias("reviewer"), (F.col("l_suppkey") % 8 != 0).alias("sent"), (F.col("l_quantity").cast("int") % 2).cast("string").alias("hash"), at.alias("at"))
     slots = d.select("paper", "slot").distinct().select("paper", "slot", F.lit(True).alias("official"), F.lit("pending").alias("status"), null("long").alias("official_id"), null("timestamp").alias("submitted_at"), null("timestamp").alias("resolved_at"))
     sent_at = F.when(F.col("sent"), F.col("at"))
@@ -265,5 +273,5 @@ def review_outcomes(t: Tables) -> DataFrame:
     submissions = d.filter("sent").select("id", F.col("id").alias("assignment"), "paper", F.col("reviewer").alias("user"), F.lit("has_data").alias("decision"), "hash", "at")
     empty = lambda name: t.spark.createDataFrame([], SCHEMAS[name])
     papers = d.select("paper").distinct().withColumn("now", F.to_timestamp(F.lit("2024-02-01")))
-    s = refresh(State(slots, assignments, submissions, empty("conflicts"), empty("outcomes")), papers)
+    s = refresh(State(slots, assignments, submissions, empty("conflicts"), empty("outcomes")), papers, parts)
     return s.slots.join(s.outcomes.select("paper", "source"), "paper", "left").select("paper", "slot", "status", "official_id", "source")

@@ -14,6 +14,10 @@ ORACLES: dict[str, str] = {}
 SMALL = 4 << 20
 
 
+def stored_bytes(table: DataFrame) -> int:
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 class Tables:
     """The Parquet tables below a folder, by attribute."""
 
@@ -29,8 +33,7 @@ class Tables:
         to all cores; those of a large one stay where its files have them."""
         docs = self.spark.read.parquet(f"{self.sf_dir}/documents.parquet")
         cores = self.spark.sparkContext.defaultParallelism
-        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        return docs.repartition(cores) if size < cores * SMALL else docs
+        return docs.repartition(cores) if stored_bytes(docs) < cores * SMALL else docs
 
 
 def query(name: str, oracle: str | None = None) -> Callable:
