@@ -99,7 +99,7 @@ def deletion_variants(c: Column) -> Column:
 def edge_ngrams(c: Column, stop: tuple[str, ...], least: int = 3) -> Column:
     """Runs of two and of three words whose first and last aren't stop words; a word has letters alone, `least` or more."""
     w = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(rf"\b([a-z]{{{least},}})\b"), F.lit(1))
-    ends = lambda run: ~F.element_at(F.split(run, " "), 1).isin(*stop) & ~F.element_at(F.split(run, " "), -1).isin(*stop)
+    ends = lambda run: ~F.substring_index(run, " ", 1).isin(*stop) & ~F.substring_index(run, " ", -1).isin(*stop)
     return bound(w, lambda t: F.filter(F.concat(_runs(t, 2), _runs(t, 3)), ends))
 
 
