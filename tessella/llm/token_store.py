@@ -48,7 +48,7 @@ def repair(ids: np.ndarray, vocab: int, rounds: int | None = None, rules_per_rou
     for _ in count() if rounds is None else range(rounds):
         if len(seq) < 2 * least:
             break
-        h = _bucket(seq[:-1], seq[1:])
+        h = _bucket(seq[:-1], seq[1:]).astype(np.intp)  # cast once, not by each look-up
         counts = np.bincount(h, minlength=1 << _BITS)
         often = np.flatnonzero(counts >= least)
         if len(often) > 2 * rules_per_round:
@@ -57,8 +57,9 @@ def repair(ids: np.ndarray, vocab: int, rounds: int | None = None, rules_per_rou
             break
         mark = np.zeros(1 << _BITS, bool)
         mark[often] = True
-        at = np.flatnonzero(mark[h])
-        pairs, n = np.unique(seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1], return_counts=True)
+        at = np.flatnonzero(mark.take(h))
+        one_of, next_of = seq.take(at), seq.take(at + 1)
+        pairs, n = np.unique(one_of.astype(np.uint64) << np.uint64(32) | next_of, return_counts=True)
         order = np.lexsort((pairs, -n))
         order = order[n[order] >= least]
         ph = _bucket((pairs[order] >> np.uint64(32)).astype(np.uint32), pairs[order].astype(np.uint32))
@@ -71,8 +72,8 @@ def repair(ids: np.ndarray, vocab: int, rounds: int | None = None, rules_per_rou
         b = _bucket(left, right)
         table_l[b], table_r[b] = left, right
         table_s[b] = vocab + made + np.arange(len(order), dtype=np.uint32)
-        hb = h[at]
-        hit = (table_l[hb] == seq[at]) & (table_r[hb] == seq[at + 1])
+        hb = h.take(at)
+        hit = (table_l.take(hb) == one_of) & (table_r.take(hb) == next_of)
         at, hb = at[hit], hb[hit]
         if len(at):  # in a run of neighbouring hits each second one would overlap
             start = np.concatenate(([True], np.diff(at) > 1))
@@ -90,26 +91,22 @@ def repair(ids: np.ndarray, vocab: int, rounds: int | None = None, rules_per_rou
 
 def expansion_lengths(rules: np.ndarray, vocab: int) -> np.ndarray:
     """Ids each nonterminal stands for; a rule only uses symbols made before it."""
-    out = np.ones(len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[k] = (out[a - vocab] if a >= vocab else 1) + (out[b - vocab] if b >= vocab else 1)
-    return out
+    out: list[int] = []
+    for a, b in rules.tolist():
+        out.append((out[a - vocab] if a >= vocab else 1) + (out[b - vocab] if b >= vocab else 1))
+    return np.array(out, np.int64)
 
 
 def _dictionary(rules: np.ndarray, lengths: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray]:
-    starts = np.concatenate(([0], np.cumsum(lengths)))
-    flat = np.zeros(int(starts[-1]), np.uint32)
-    for k, (a, b) in enumerate(rules.tolist()):
-        at = int(starts[k])
-        for x in (a, b):
-            if x < vocab:
-                flat[at] = x
-                at += 1
-            else:
-                n = int(lengths[x - vocab])
-                flat[at : at + n] = flat[starts[x - vocab] : starts[x - vocab] + n]
-                at += n
-    return flat, starts
+    """All rules' expansions, one behind the other, and where each starts: every pass puts the two symbols of its rule for each nonterminal left."""
+    flat = rules.astype(np.uint32).ravel()
+    while (inner := flat >= vocab).any():
+        sizes = inner + 1
+        pairs = rules[flat[inner] - vocab]
+        at = (np.cumsum(sizes) - sizes)[inner]
+        flat = np.repeat(flat, sizes)
+        flat[at], flat[at + 1] = pairs[:, 0], pairs[:, 1]
+    return flat, np.concatenate(([0], np.cumsum(lengths)))
 
 
 class Shard:

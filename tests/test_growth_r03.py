@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
+from tessella.llm import token_store
 from tessella.operators import evidence, linking, review, wording
 from tessella.plans import catalog
 
@@ -79,3 +81,24 @@ def test_rare_phrases_are_not_moved(spark, tmp_path):
     d = catalog.queries()["edge_phrases"](spark, str(tmp_path))
     assert sorted(map(tuple, d.collect())) == [("apple pie", 3000), ("green apple", 3000), ("green apple pie", 3000)]
     assert "likely(" in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rules_are_expanded_many_at_a_time():
+    """op1: as one by one, and without a step of Python for each rule of a large grammar."""
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 500):
+        rules = np.array([rng.integers(0, 50 + k, 2) if k < 40 else rng.integers(0, 90, 2) for k in range(n)], np.uint32).reshape(-1, 2)
+        expand = lambda x: [x] if x < 50 else [i for y in rules[x - 50].tolist() for i in expand(y)]  # noqa: B023, E731
+        want = [expand(50 + k) for k in range(n)]
+        lengths = token_store.expansion_lengths(rules, 50)
+        flat, starts = token_store._dictionary(rules, lengths, 50)
+        assert lengths.tolist() == [len(w) for w in want] and flat.tolist() == [x for w in want for x in w] and starts.tolist() == [0, *np.cumsum(lengths).tolist()]
+    reads = []
+
+    class Counted(np.ndarray):
+        def tolist(self):
+            reads.append(len(self))
+            return super().tolist()
+
+    token_store._dictionary(rules.view(Counted), lengths, 50)
+    assert not reads
