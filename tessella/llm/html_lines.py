@@ -48,18 +48,22 @@ STATES = {"has", "is", "no", "with", "without", "js", "not", "show", "hide", "en
 
 
 class Place(NamedTuple):
-    """Where text stands: round an article by strong or weak signs; in main (1) or an article (2); its path, as a checksum; the block's name."""
+    """Where text stands: round an article by strong or weak signs; in main (1) or an article (2); its path, as a checksum; the block's
+    name; the number of the outermost article element on the page, from 1; whether in a link."""
 
     strong: bool = False
     weak: bool = False
     region: int = 0
     slot: int = 0
     block: str = ""
+    part: int = 0
+    link: bool = False
 
 
 class Line(NamedTuple):
     text: str
     place: Place
+    linked: bool = False  # all of it stands in links
 
 
 def _signs(attributes: str) -> tuple[str, str, bool, bool, bool]:
@@ -84,15 +88,15 @@ def _enter(name: str, attributes: str, up: Place) -> Place:
     block = name if name in BLOCKS else up.block
     if name == "article" or role == "article":
         if up.strong or comments or hidden:
-            return Place(True, up.weak, up.region, slot, block)
-        return Place(False, up.region == 2 and up.weak, 2, slot, block)
+            return Place(True, up.weak, up.region, slot, block, up.part, up.link)
+        return Place(False, up.region == 2 and up.weak, 2, slot, block, up.part, up.link)
     if name == "main" or role == "main":
-        return Place(up.strong or hidden, up.region > 0 and up.weak, max(up.region, 1), slot, block)
+        return Place(up.strong or hidden, up.region > 0 and up.weak, max(up.region, 1), slot, block, up.part, up.link)
     if name in ("html", "body"):
-        return Place(up.strong, up.weak, up.region, slot, block)
+        return Place(up.strong, up.weak, up.region, slot, block, up.part, up.link)
     strong = up.strong or name in AROUND or comments or hidden or role in ROLES
     weak = up.weak or around or (name in AROUND_WEAK and not (name == "header" and up.region))
-    return Place(strong, weak, up.region, slot, block)
+    return Place(strong, weak, up.region, slot, block, up.part, up.link or (name == "a" and "href" in attributes.lower()))
 
 
 class _Reader:
@@ -103,6 +107,8 @@ class _Reader:
         self.now = Place()
         self.parts: list[str] = []
         self.at: Place | None = None
+        self.linked = True
+        self.articles = 0
 
     def text(self, raw: str) -> None:
         if not raw:
@@ -112,17 +118,19 @@ class _Reader:
         if self.at is not None and off != (self.at.strong or self.at.weak) and not text.isspace():
             if off:  # an aside within a line does not end it
                 if text := " ".join(text.split()):
-                    self.lines.append(Line(text, now))
+                    self.lines.append(Line(text, now, now.link))
                 return
             self.flush()
         if self.at is None and not text.isspace():
             self.at = now
+        if not now.link and self.linked and not text.isspace():
+            self.linked = False
         self.parts.append(text)
 
     def flush(self) -> None:
         if self.at is not None:
-            self.lines.append(Line(" ".join("".join(self.parts).split()), self.at))
-        self.parts, self.at = [], None
+            self.lines.append(Line(" ".join("".join(self.parts).split()), self.at, self.linked))
+        self.parts, self.at, self.linked = [], None, True
 
     def pop_to(self, depth: int) -> None:
         while len(self.stack) > depth:
@@ -154,9 +162,13 @@ class _Reader:
         if name == "body":
             self.close_above({"head"}, set())
         if name not in VOID:
-            self.stack.append((name, self.now))
+            up = self.now
+            self.stack.append((name, up))
             self.open[name] += 1
-            self.now = _enter(name, attributes, self.now)
+            self.now = _enter(name, attributes, up)
+            if self.now.region == 2 and up.region < 2:
+                self.articles += 1
+                self.now = self.now._replace(part=self.articles)
 
     def end(self, name: str) -> None:
         if name in BLOCKS or name == "br":

@@ -5,12 +5,15 @@ lines of both (``html_lines``) are aligned by longest common subsequence. A line
 advert ...) counts as equal when it stands in an equal place, any other one when place and text are equal. Lines that are shared
 with at least half of the pages compared are deleted; pages whose source is equal are not compared.
 
-Two rules go beside it, as differencing alone would give wrong texts. What stands in the page's own article element is never
-deleted as shared, or copied articles would vanish. And what is marked as standing round an article is deleted even where no near page
-shares it, as on hosts with one page. Pages with an article element keep only what is in it; failing that, what is in a main
-element; failing that, all lines that are left.
+Lines in article elements take part too, but articles are copied, and what is copied is not round an article. So there a near page
+that shares half of the article's text or more is a copy and not counted, and of what at least two others and half of all others
+share only these go: whole article elements beside one that is the page's own (teasers, notices) and lines that are links from end to end (menus), which
+no heading or table holds. Something of the article always stays.
 
-Only keys of lines travel for the comparison: pages are numbered in order by ranges (``common.numbered``), dealt out in blocks of
+What is marked as standing round an article is deleted even where no near page shares it, as on hosts with one page. Pages with
+an article element keep only what is in it; failing that, what is in a main element; failing that, all lines that are left.
+
+Only keys and sizes of lines travel for the comparison: pages are numbered in order by ranges (``common.numbered``), dealt out in blocks of
 consecutive numbers with two pages of either neighbour, and each block is aligned by itself, however many pages a host has.
 
 Defined results: null or empty html, and pages without a block of text, give an empty text and n_chars 0. A null url, or one
@@ -29,11 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .html_lines import Line, lines
+from .html_lines import HEADINGS, Line, lines
 
 NEAR, PAGES_A_BLOCK = 2, 512
 #: Bits of alignment rows that are held at once; longer pairs of pages are split in halves first.
 MOST_BITS = 1 << 28
+#: Links in these blocks are part of an article, though near pages have the same ones.
+SAID = HEADINGS | {"caption", "dt", "figcaption", "td", "th"}
 
 
 def _row(a: list[int], masks: dict[int, int], m: int) -> Iterator[int]:
@@ -112,13 +117,26 @@ def _wanted(page: list[Line]) -> list[int]:
     return [0 if _off(x) or not want(x) else 2 if best == 2 else 1 for x in page]
 
 
+def _held(page: list[Line]) -> tuple[list[int], list[int]]:
+    """For each line that is wanted always twice its length, and one more if it is a link from end to end, 0 for others; their article elements' numbers, if not all are 1."""
+    wanted = _wanted(page)
+    if 2 not in wanted:
+        return [], []
+    held = [2 * len(x.text) + (x.linked and x.place.block not in SAID) if w == 2 else 0 for x, w in zip(page, wanted)]
+    parts = [x.place.part for x in page]
+    return held, parts if any(h and p != 1 for h, p in zip(held, parts)) else []
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = []
+        keys, held, parts = [], [], []
         for page in batch.column("html").to_pylist():
             found = lines(page or "")
-            keys.append([_key(x) for x, w in zip(found, _wanted(found)) if w < 2])
-        yield pa.RecordBatch.from_arrays([batch.column("id1"), batch.column("id2"), batch.column("url"), pa.array(keys, pa.list_(pa.int64()))], names=["id1", "id2", "url", "keys"])
+            keys.append([_key(x) for x in found])
+            for out, values in zip((held, parts), _held(found)):
+                out.append(values)
+        columns = [batch.column(n) for n in ("id1", "id2", "url", "source")] + [pa.array(keys, pa.list_(pa.int64())), pa.array(held, pa.list_(pa.int32())), pa.array(parts, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["id1", "id2", "url", "source", "keys", "held", "parts"])
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,6 +149,27 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("page_id", "url", "id1", "id2")] + [pa.array(texts, pa.list_(pa.string())), pa.array(wanted, pa.list_(pa.int32()))], names=["page_id", "url", "id1", "id2", "lines", "wanted"])
 
 
+def _gone(page: dict, near: list[dict]) -> list[int]:
+    """The places of a page's lines that the pages near it take away."""
+    n = len(page["keys"])
+    held = np.array(page["held"] or [0] * n, np.int64)
+    parts = np.array(page["parts"] or [1] * n, np.int64)
+    body, sizes, links = (held > 0) & (parts > 0), held // 2, held % 2 > 0
+    votes, inner, others = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
+    for x in near:
+        at = np.zeros(n, bool)
+        at[shared(page["keys"], x["keys"])] = True
+        votes += at
+        if 2 * sizes[body & at].sum() < sizes[body].sum():
+            others += 1
+            left = np.bincount(parts[body & ~at], minlength=parts.max() + 1)
+            inner += body & at & (links | (left[parts] == 0))
+    own = (inner > 1) & (2 * inner >= others)
+    if not (body & ~own).any():
+        own[:] = False
+    return np.flatnonzero(own | ((held == 0) & (votes > 0) & (2 * votes >= len(near)))).tolist()
+
+
 def _align(table: pa.Table) -> pa.Table:
     """A block of consecutive pages with their neighbours -> for its own pages the places of lines that are shared."""
     rows = sorted(table.to_pylist(), key=lambda r: r["place"])
@@ -140,10 +179,7 @@ def _align(table: pa.Table) -> pa.Table:
             continue
         near = [rows[j] for j in range(max(0, i - NEAR), min(len(rows), i + NEAR + 1)) if j != i and abs(rows[j]["place"] - r["place"]) <= NEAR]
         near = [x for x in near if r["host"] and x["host"] == r["host"] and x["source"] != r["source"]]
-        votes = np.zeros(len(r["keys"]), np.int64)
-        for x in near:
-            votes[shared(r["keys"], x["keys"])] += 1
-        out.append((r["id1"], r["id2"], np.flatnonzero((votes > 0) & (2 * votes >= len(near))).tolist()))
+        out.append((r["id1"], r["id2"], _gone(r, near) if near and r["keys"] else []))
     return pa.table([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int32()))], names=["id1", "id2", "gone"])
 
 
@@ -154,18 +190,17 @@ def _identified(pages: DataFrame) -> DataFrame:
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """id1, id2, gone: for each distinct page with a host the places, among its lines outside an article, of those that near pages share."""
+    """id1, id2, gone: for each distinct page with a host the places, among its lines, of those that near pages take away."""
     found = _identified(pages)
     scratch = common.Scratch(pages.sparkSession)
-    keyed = found.select("id1", "id2", "url", "html").mapInArrow(_keys, "id1 long, id2 long, url string, keys array<long>").dropDuplicates(["id1", "id2"])
-    sources = found.select("id1", "id2", "source").dropDuplicates(["id1", "id2"])
+    keyed = found.select("id1", "id2", "url", "source", "html").mapInArrow(_keys, "id1 long, id2 long, url string, source long, keys array<long>, held array<int>, parts array<int>").dropDuplicates(["id1", "id2"])
     address = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)([^?#]*)", 1)
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)([^?#]*)", 2)
-    keyed = keyed.join(sources, ["id1", "id2"]).withColumn("host", F.lower(address)).withColumn("path", path).filter("host <> ''")
+    keyed = keyed.withColumn("host", F.lower(address)).withColumn("path", path).filter("host <> ''")
     placed = common.numbered(scratch, keyed, ["host", "path", "url", "id1", "id2"], "place")
     block = lambda by: F.floor((F.col("place") + by) / PAGES_A_BLOCK)
     dealt = placed.withColumn("block", F.explode(F.array_distinct(F.array(block(0), block(-NEAR), block(NEAR))))).withColumn("own", F.col("block") == block(0))
-    dealt = dealt.select("block", "own", "place", "host", "source", "id1", "id2", "keys")
+    dealt = dealt.select("block", "own", "place", "host", "source", "id1", "id2", "keys", "held", "parts")
     return dealt.groupBy("block").applyInArrow(_align, "id1 long, id2 long, gone array<int>")
 
 
@@ -175,13 +210,11 @@ def extract(pages: DataFrame) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
     read = _identified(pages).select("page_id", "url", "html", "id1", "id2").mapInArrow(_lines, f"page_id {kind}, url string, id1 long, id2 long, lines array<string>, wanted array<int>")
     both = read.join(shared_lines(pages), ["id1", "id2"], "left")
-    # the places in `gone` count the lines that are not wanted always
-    outside = F.filter(F.transform("wanted", lambda w, i: F.when(w < 2, i)), lambda i: i.isNotNull())
-    both = both.withColumn("outside", outside).withColumn("gone", F.transform(F.coalesce("gone", F.array().cast("array<int>")), lambda g: F.get("outside", g)))
+    both = both.withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     kept = F.filter("lines", lambda x, i: (F.get("wanted", i) > 0) & ~F.array_contains("gone", i))
     both = both.withColumn("text", F.array_join(kept, "\n"))
     n = F.size("lines").cast("long")
-    marked = F.size(F.filter("outside", lambda i: (F.get("wanted", i) == 0) & ~F.array_contains("gone", i))).cast("long")
+    marked = F.size(F.filter("wanted", lambda w, i: (w == 0) & ~F.array_contains("gone", i))).cast("long")
     return both.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), n.alias("n_lines"), F.size("gone").cast("long").alias("n_shared"), marked.alias("n_marked"))
 
 

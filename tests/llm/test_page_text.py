@@ -124,3 +124,31 @@ def test_empty_table_and_clashing_columns(spark):
     assert diff.extract(none).count() == 0
     one = spark.createDataFrame([(None, "http://h/x", PAGES["article"][0])], SCHEMA).withColumns({n: F.lit(1) for n in ("lines", "wanted", "gone", "text", "id1", "source", "host", "place")})
     assert diff.extract(one).first()["text"] == PAGES["article"][1]
+
+
+def story(host, path, words, teaser="Latest news and a line of it", menu="Home"):
+    article = f'<article><h1>{words[0]}</h1><div><a href="/all">All stories</a></div><p>{words[1]}</p><p>A passage that all stories have</p><h2><a href="#how">How</a></h2><p>By <a href="/x">X</a></p><p>{words[2]}</p></article>'
+    return f"https://{host}/{path}", f"<html><body><nav>{menu}</nav>{article}<div><article><h3>More</h3><p>{teaser}</p></article></div><footer>f</footer></body></html>"
+
+
+def test_near_pages_decide_lines_in_article_elements(spark):
+    rng = random.Random(9)
+    words = lambda: [" ".join(str(rng.randrange(10**6)) for _ in range(12)) for _ in range(3)]
+    own, copied = [words() for _ in range(8)], words()
+    pages = [story("a.example", i, w) for i, w in enumerate(own)]
+    pages += [story("copies.example", i, copied, menu=f"Menu {i}") for i in range(6)]
+    pages += [story("two.example", i, own[i]) for i in range(2)] + [story("rare.example", i, own[i], f"Teaser {i}") for i in range(6)]
+    rows = [(i, *p) for i, p in enumerate(pages)]
+    table = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = [r["text"].split("\n") for r in diff.extract(table).orderBy("page_id").collect()]
+    text = lambda w, link=True, teaser=None: [w[0], *["All stories"] * link, w[1], "A passage that all stories have", "How", "By X", w[2], *(["More", teaser] if teaser else [])]
+    same = "Latest news and a line of it"
+    assert got[:8] == [text(w, False) for w in own]
+    assert got[8:14] == [text(copied, True, same)] * 6  # copies of an article say nothing of it
+    assert got[14:16] == [text(own[i], True, same) for i in range(2)]  # one near page is not enough
+    assert got[16:] == [text(own[i], False, f"Teaser {i}") for i in range(6)]
+
+
+def test_links_and_article_elements_of_lines():
+    page = '<main><article><p><a href="/x">All <b>of</b> it</a> <a href="/y">linked</a></p><p>Not <a href="/x">all</a></p><p><a name="x">No link</a></p></article><p>Between<article><p>Two<article><p>Within</article></article></main>'
+    assert [(x.text, x.linked, x.place.part) for x in lines(page)] == [("All of it linked", True, 1), ("Not all", False, 1), ("No link", False, 1), ("Between", False, 0), ("Two", False, 2), ("Within", False, 2)]
